@@ -1,0 +1,52 @@
+"""Queries of the training-data problems tagged llm, over the test tables, and their SQL where SQL can express them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.llm.capping import over_share
+from corvane.llm.groups import group_items
+from corvane.operators.latest import latest
+from corvane.runtime import table
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of every linked item within its experiment."""
+    return group_items(table(spark, sf_dir, "cluster_candidate_pairs"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records to drop from the last snapshot so that no contributor holds more than 2 %."""
+    posts = table(spark, sf_dir, "posts").select("snapshot_id", "post_id", "ingested_at", "subreddit", "score")
+    last = posts.agg(F.max("snapshot_id")).first()[0]
+    posts = latest(posts.where(F.col("snapshot_id") == last), ["post_id"], ["ingested_at"], ["score", "subreddit"])
+    forum = F.regexp_replace(F.lower(F.trim("subreddit")), "^r/", "")
+    posts = posts.select(F.nullif(forum, F.lit("")).alias("contributor"), F.col("post_id").alias("record_id"), F.col("score").alias("quality"))
+    items = table(spark, sf_dir, "items").select("snapshot_date", "item_id", "provider", "raw_engagement")
+    last = items.agg(F.max("snapshot_date")).first()[0]
+    liked = F.coalesce(*(F.try_element_at("raw_engagement", F.lit(k)) for k in ("score", "points", "votes")))
+    items = items.where(F.col("snapshot_date") == last).select("item_id", "provider", F.nanvl(liked, F.lit(None).cast("double")).alias("quality"))
+    items = items.groupBy(F.col("item_id").alias("record_id")).agg(F.max("provider").alias("contributor"), F.max("quality").alias("quality"))
+    named = lambda df, name: df.select(F.lit(name).alias("field_name"), "record_id")
+    return named(over_share(posts), "posts.subreddit").unionByName(named(over_share(items), "items.provider"))
+
+
+P7_SQL = """
+with p as (
+  select 'posts.subreddit' as field_name, post_id as record_id,
+    nullif(regexp_replace(lower(trim(arg_max({'s': subreddit}, ingested_at).s)), '^r/', ''), '') as contributor,
+    cast(arg_max({'s': score}, ingested_at).s as double) as quality
+  from posts where snapshot_id = (select max(snapshot_id) from posts) group by post_id),
+i as (
+  select 'items.provider' as field_name, item_id as record_id, max(provider) as contributor,
+    max(coalesce(raw_engagement['score'], raw_engagement['points'], raw_engagement['votes'])) as quality
+  from items where snapshot_date = (select max(snapshot_date) from items) group by item_id),
+r as (select * from p union all select * from i),
+n as (select *, row_number() over (partition by field_name, contributor order by quality desc nulls last, record_id) as k,
+  count(*) over (partition by field_name) as total from r)
+select field_name, record_id from n where contributor is not null and k > greatest(1, (total * 2) // 100)
+"""
+
+QUERIES = {"p1_found": p1_found, "p7_found": p7_found}
+ORACLE = {"p7_found": P7_SQL}
