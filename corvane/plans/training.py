@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators.latest import latest
 from corvane.operators.snapshot_diff import snapshot_changes
+from corvane.operators.timestamps import NORMAL, with_utc_micros
 from corvane.runtime import table
 
 
@@ -55,5 +56,26 @@ select c.table_name, days.snapshot_date, c.record_id, c.change_type
 from c join days using (seq) where c.change_type is not null and c.seq > 1
 """
 
-QUERIES = {"p2_found": p2_found}
+def time_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct (field_name, record_id, raw_value, zone, date_order) of the fields of problem 5."""
+    items = table(spark, sf_dir, "items")
+    sources = table(spark, sf_dir, "sources").select("provider", F.col("tz_name").alias("zone"), "date_order")
+    nothing = F.lit(None).cast("string")
+    of = lambda df, name, key, zone, order: df.select(
+        F.lit(name).alias("field_name"), F.col(key).alias("record_id"), F.col(name.split(".")[1]).alias("raw_value"), zone.alias("zone"), order.alias("date_order")
+    )
+    published = items.select("item_id", "published_at", "provider").distinct().join(sources, "provider", "left")
+    values = of(published, "items.published_at", "item_id", F.col("zone"), F.col("date_order"))
+    values = values.unionByName(of(items.select("item_id", "observed_at").distinct(), "items.observed_at", "item_id", nothing, nothing))
+    return values.unionByName(of(table(spark, sf_dir, "posts").select("post_id", "created_utc").distinct(), "posts.created_utc", "post_id", nothing, nothing))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The instant of every time value that isn't already in the normal form."""
+    values = time_values(spark, sf_dir).where("raw_value is not null and record_id is not null").where(~F.col("raw_value").rlike(NORMAL))
+    found = with_utc_micros(values, "raw_value", "zone", "date_order")
+    return found.where("utc_us is not null").select("field_name", "record_id", "raw_value", "utc_us").distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found}
 ORACLE = {"p2_found": P2_SQL}
