@@ -73,5 +73,18 @@ class Scratch:
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Makes this package importable in the executors' Python workers, once per application."""
+    context = spark.sparkContext
+    if getattr(ship_package, "application", None) != context.applicationId:
+        package = os.path.dirname(os.path.abspath(__file__))
+        made = tempfile.mkdtemp(prefix="corvane-zip-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        archive = shutil.make_archive(os.path.join(made, "corvane-package"), "zip", os.path.dirname(package), os.path.basename(package))
+        context.addPyFile(archive)  # served by the driver to every executor
+        ship_package.application = context.applicationId
+    return spark
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.limit(1).count()
