@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.capping import over_share
+from corvane.llm.encoding import count_tokens, encode, vocabulary_path
 from corvane.llm.groups import group_items
+from corvane.llm.packing import pack
 from corvane.operators.latest import latest
-from corvane.runtime import table
+from corvane.runtime import Scratch, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,5 +50,21 @@ n as (select *, row_number() over (partition by field_name, contributor order by
 select field_name, record_id from n where contributor is not null and k > greatest(1, (total * 2) // 100)
 """
 
-QUERIES = {"p1_found": p1_found, "p7_found": p7_found}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each document by byte_bpe_50k."""
+    return encode(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary_path("byte_bpe_50k"))
+
+
+def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container of every document, or part of one, for each capacity in pack_targets."""
+    targets = table(spark, sf_dir, "pack_targets").orderBy("target_id").collect()  # a few capacities
+    documents, scratch, out = table(spark, sf_dir, "documents"), Scratch(spark, "packing"), None
+    counted = {name: scratch.save(count_tokens(documents, "doc_id", "text", vocabulary_path(name)), f"tokens-{name}") for name in sorted({t["tokenizer"] for t in targets})}
+    for t in targets:
+        packed = pack(counted[t["tokenizer"]], "doc_id", t["capacity_tokens"], t["target_id"])
+        out = packed if out is None else out.unionByName(packed)
+    return out
+
+
+QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_packed": p9_packed}
 ORACLE = {"p7_found": P7_SQL}
