@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.llm.capping import over_share
 from corvane.llm.encoding import count_tokens, encode, vocabulary_path
 from corvane.llm.groups import group_items
+from corvane.llm.lookalikes import disputed_spellings, identical_looking, normalize, text_forms
 from corvane.llm.packing import pack
 from corvane.operators.latest import latest
 from corvane.runtime import Scratch, table
@@ -66,5 +67,18 @@ def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_packed": p9_packed}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that look the same and aren't the same characters."""
+    documents, scratch = table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "lookalikes")
+    spellings = disputed_spellings(documents, "text")
+    return identical_looking(scratch.save(text_forms(documents, "doc_id", "text", 12, spellings), "forms"), "doc_id")
+
+
+def p10_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text in its one form."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return normalize(documents, "doc_id", "text", disputed_spellings(documents, "text")).select("doc_id", "canonical")
+
+
+QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found, "p10_text": p10_text}
 ORACLE = {"p7_found": P7_SQL}
