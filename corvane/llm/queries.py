@@ -9,6 +9,7 @@ from corvane.llm.capping import over_share
 from corvane.llm.encoding import count_tokens, encode, vocabulary_path
 from corvane.llm.groups import group_items
 from corvane.llm.lookalikes import disputed_spellings, identical_looking, normalize, text_forms
+from corvane.llm.neardup import near_duplicate_pairs
 from corvane.llm.packing import pack
 from corvane.operators.latest import latest
 from corvane.runtime import Scratch, table
@@ -19,6 +20,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_items(table(spark, sf_dir, "cluster_candidate_pairs"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of items whose words have at least 0.6 in common."""
+    return near_duplicate_pairs(table(spark, sf_dir, "items").select("item_id", "title", "excerpt"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records to drop from the last snapshot so that no contributor holds more than 2 %."""
     posts = table(spark, sf_dir, "posts").select("snapshot_id", "post_id", "ingested_at", "subreddit", "score")
@@ -80,5 +86,5 @@ def p10_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize(documents, "doc_id", "text", disputed_spellings(documents, "text")).select("doc_id", "canonical")
 
 
-QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found, "p10_text": p10_text}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found, "p10_text": p10_text}
 ORACLE = {"p7_found": P7_SQL}
