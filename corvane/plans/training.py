@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators.latest import latest
@@ -56,25 +56,33 @@ select c.table_name, days.snapshot_date, c.record_id, c.change_type
 from c join days using (seq) where c.change_type is not null and c.seq > 1
 """
 
-def time_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct (field_name, record_id, raw_value, zone, date_order) of the fields of problem 5."""
-    items = table(spark, sf_dir, "items")
+def time_values(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Distinct (record_id, raw_value) with zone and date_order, of each field of problem 5."""
     sources = table(spark, sf_dir, "sources").select("provider", F.col("tz_name").alias("zone"), "date_order")
-    nothing = F.lit(None).cast("string")
-    of = lambda df, name, key, zone, order: df.select(
-        F.lit(name).alias("field_name"), F.col(key).alias("record_id"), F.col(name.split(".")[1]).alias("raw_value"), zone.alias("zone"), order.alias("date_order")
-    )
-    published = items.select("item_id", "published_at", "provider").distinct().join(sources, "provider", "left")
-    values = of(published, "items.published_at", "item_id", F.col("zone"), F.col("date_order"))
-    values = values.unionByName(of(items.select("item_id", "observed_at").distinct(), "items.observed_at", "item_id", nothing, nothing))
-    return values.unionByName(of(table(spark, sf_dir, "posts").select("post_id", "created_utc").distinct(), "posts.created_utc", "post_id", nothing, nothing))
+    items, posts = table(spark, sf_dir, "items"), table(spark, sf_dir, "posts")
+
+    def of(rows: DataFrame, raw: str, key: str, provider: Column) -> DataFrame:
+        rows = rows.where(F.col(raw).isNotNull() & F.col(key).isNotNull() & ~F.col(raw).rlike(NORMAL))
+        return rows.groupBy(F.col(key).alias("record_id"), F.col(raw).alias("raw_value")).agg(F.max(provider).alias("provider"))
+
+    nowhere = {"zone": F.lit(None).cast("string"), "date_order": F.lit(None).cast("string")}
+    return {
+        "items.published_at": of(items, "published_at", "item_id", F.col("provider")).join(sources, "provider", "left"),
+        "items.observed_at": of(items, "observed_at", "item_id", F.lit(None)).withColumns(nowhere),
+        "posts.created_utc": of(posts, "created_utc", "post_id", F.lit(None)).withColumns(nowhere),
+    }
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The instant of every time value that isn't already in the normal form."""
-    values = time_values(spark, sf_dir).where("raw_value is not null and record_id is not null").where(~F.col("raw_value").rlike(NORMAL))
-    found = with_utc_micros(values, "raw_value", "zone", "date_order")
-    return found.where("utc_us is not null").select("field_name", "record_id", "raw_value", "utc_us").distinct()
+    out = None
+    for field, values in time_values(spark, sf_dir).items():
+        found = with_utc_micros(values, "raw_value", "zone", "date_order")
+        # Grouped, not filtered: a pushed filter would repeat the whole cascade in front of the scan.
+        found = found.groupBy("record_id", "raw_value").agg(F.max("utc_us").alias("utc_us")).where("utc_us is not null")
+        found = found.select(F.lit(field).alias("field_name"), "record_id", "raw_value", "utc_us")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 QUERIES = {"p2_found": p2_found, "p5_found": p5_found}
