@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from corvane.llm.capping import over_share
 from corvane.llm.encoding import count_tokens, encode, vocabulary_path
 from corvane.llm.groups import group_items
+from corvane.llm.history import known_items
 from corvane.llm.lookalikes import disputed_spellings, identical_looking, normalize, text_forms
 from corvane.llm.neardup import near_duplicate_pairs
 from corvane.llm.packing import pack
+from corvane.functions.pages import page_key
 from corvane.operators.latest import latest
 from corvane.runtime import Scratch, table
 
@@ -25,6 +27,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, sf_dir, "items").select("item_id", "title", "excerpt"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that an accepted item of an earlier batch already covers."""
+    items = table(spark, sf_dir, "items").select("snapshot_date", "item_id", "dedupe_group_id", "canonical_url", "title", "excerpt")
+    exact = [F.col("item_id"), F.nullif("dedupe_group_id", F.lit("")), page_key(F.col("canonical_url"))]
+    return known_items(items, "snapshot_date", "item_id", ["title", "excerpt"], exact)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records to drop from the last snapshot so that no contributor holds more than 2 %."""
     posts = table(spark, sf_dir, "posts").select("snapshot_id", "post_id", "ingested_at", "subreddit", "score")
@@ -86,5 +95,5 @@ def p10_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize(documents, "doc_id", "text", disputed_spellings(documents, "text")).select("doc_id", "canonical")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found, "p10_text": p10_text}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found, "p10_text": p10_text}
 ORACLE = {"p7_found": P7_SQL}
