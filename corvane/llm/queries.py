@@ -12,6 +12,7 @@ from corvane.llm.history import known_items
 from corvane.llm.lookalikes import disputed_spellings, identical_looking, normalize, text_forms
 from corvane.llm.neardup import near_duplicate_pairs
 from corvane.llm.packing import pack
+from corvane.llm.pii import find_pii, known_names, redact
 from corvane.functions.pages import page_key
 from corvane.operators.latest import latest
 from corvane.runtime import Scratch, table
@@ -27,6 +28,24 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, sf_dir, "items").select("item_id", "title", "excerpt"))
 
 
+def free_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(field_name, record_id, text) of the fields with personal information."""
+    of = lambda name, field, key: table(spark, sf_dir, name).select(
+        F.lit(f"{name}.{field}").alias("field_name"), F.col(key).alias("record_id"), F.col(field).alias("text")
+    )
+    return of("comments", "body", "comment_id").unionByName(of("comments", "author", "comment_id")).unionByName(of("posts", "selftext", "post_id"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of personal information."""
+    return find_pii(free_texts(spark, sf_dir), known_names(table(spark, sf_dir, "person_names")))
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct texts with placeholders for what p4_found finds."""
+    return redact(free_texts(spark, sf_dir).distinct(), known_names(table(spark, sf_dir, "person_names")))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that an accepted item of an earlier batch already covers."""
     items = table(spark, sf_dir, "items").select("snapshot_date", "item_id", "dedupe_group_id", "canonical_url", "title", "excerpt")
@@ -95,5 +114,5 @@ def p10_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize(documents, "doc_id", "text", disputed_spellings(documents, "text")).select("doc_id", "canonical")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found, "p10_text": p10_text}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found, "p10_text": p10_text}
 ORACLE = {"p7_found": P7_SQL}
