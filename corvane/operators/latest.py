@@ -13,5 +13,5 @@ def latest(rows: DataFrame, keys: list[str], order: list[str], values: list[str]
     first, so that the result doesn't depend on the order of the input. Combined in the
     map tasks before the shuffle: a key that holds a third of all rows sends one row per task.
     """
-    best = F.max(F.struct(*order, *values))
-    return rows.groupBy(*keys).agg(best.alias("_best")).select(*keys, *(F.col(f"_best.{v}").alias(v) for v in values))
+    best = F.max(F.struct(F.struct(*order).alias("order"), F.struct(*values).alias("row"))).alias("_best")
+    return rows.groupBy(*keys).agg(best).select(*keys, *(F.col(f"_best.row.{v}").alias(v) for v in values))
