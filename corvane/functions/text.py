@@ -54,8 +54,9 @@ def canonical_key(title: Column) -> Column:
 
 
 def entities(title: Column) -> Column:
-    """Distinct names, numbers, amounts and acronyms in lower case."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(title, F.lit("")), F.lit(ENTITY), F.lit(0)), lambda e: F.lower(e)))
+    """Distinct names, numbers, amounts and acronyms in lower case; letters outside ASCII end a word."""
+    plain = F.regexp_replace(F.coalesce(title, F.lit("")), r"[^\x00-\x7f]", " ")
+    return F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit(ENTITY), F.lit(0)), lambda e: F.lower(e)))
 
 
 def pulse_tokens(title: Column) -> Column:

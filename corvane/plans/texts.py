@@ -50,7 +50,7 @@ def c7_canonical_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posts.where(F.size(words) == F.size(F.array_distinct(words))).select("post_id", text.canonical_key(F.col("title")).alias("raw_key"))
 
 
-@query(rf"""with {P_SQL}, e as (select post_id, unnest(list_distinct(list_transform(regexp_extract_all(title, '{text.ENTITY}'), lambda x: lower(x)))) as entity from p) select entity, count(*) as n from e group by 1""")
+@query(rf"""with {P_SQL}, e as (select post_id, unnest(list_distinct(list_transform(regexp_extract_all(regexp_replace(title, '[^\x00-\x7f]', ' ', 'g'), '{text.ENTITY}'), lambda x: lower(x)))) as entity from p) select entity, count(*) as n from e group by 1""")
 def c3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities of titles, counted."""
     rows = posts_now(spark, sf_dir).select("post_id", F.explode(text.entities(F.col("title"))).alias("entity"))
