@@ -15,41 +15,42 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.neardup import Signature, bucket_rows, common_words, set_digest, words_of
-from corvane.runtime import Scratch
+from corvane.runtime import Scratch, is_empty
 
 #: Hash buckets of each history table. A probe reads a bucket in one task, so a large history wants thousands.
 BUCKETS = 32
+#: A band bucket that takes more texts of one batch is asked for its first text before all others.
+CROWDED = 16
 
 
 class History:
     """Keys of accepted records in the shared folder, and the probe of a batch against them."""
 
-    def __init__(self, spark: SparkSession, shared: int = 3, of: int = 5, how: Signature = Signature(), buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, shared: int = 3, of: int = 5, how: Signature = Signature(bands=24), buckets: int = BUCKETS):
         self.spark, self.shared, self.of, self.how, self.buckets = spark, shared, of, how, buckets
         self.scratch, self.name = Scratch(spark, "history"), f"history_{uuid.uuid4().hex}"
-        self.batches, self.common = 0, None
+        self.batches, self.common, self.crowded = 0, None, False
         self._create("exact", "key binary", "key")
         self._create("bands", "bucket bigint, id bigint", "bucket")
         self._create("sets", "id bigint, words array<bigint>", "id")
 
     def _create(self, table: str, columns: str, by: str) -> None:
         where = self.scratch.path(f"kept-{table}")
-        self.spark.sql(
-            f"create table {self.name}_{table} ({columns}) using parquet clustered by ({by}) sorted by ({by}) into {self.buckets} buckets location '{where}'"
-        )
+        self.spark.sql(f"create table {self.name}_{table} ({columns}) using parquet clustered by ({by}) into {self.buckets} buckets location '{where}'")
+
+    def _drop(self, table: str) -> None:
+        self.spark.sql(f"drop table if exists {self.name}_{table}")
+        self.scratch.drop(f"kept-{table}")
 
     def _kept(self, table: str) -> DataFrame:
         return self.spark.table(f"{self.name}_{table}")
 
     def _append(self, rows: DataFrame, table: str, by: str) -> None:
-        rows = rows.select(self._kept(table).columns)  # inserted by position
-        rows.repartition(self.buckets, by).sortWithinPartitions(by).write.insertInto(f"{self.name}_{table}")
+        rows.select(self._kept(table).columns).repartition(self.buckets, by).write.insertInto(f"{self.name}_{table}")
 
     def close(self) -> None:
         for table in ("exact", "bands", "sets"):
-            self.spark.sql(f"drop table if exists {self.name}_{table}")
-        for table in ("exact", "bands", "sets"):
-            self.scratch.drop(f"kept-{table}")
+            self._drop(table)
 
     def _verified(self, candidates: DataFrame, sets: DataFrame) -> DataFrame:
         """(id) of the batch's sets with a candidate (id, kept) that shares enough words."""
@@ -59,20 +60,19 @@ class History:
         enough = common * self.of >= (F.size("words") + F.size("kept_words") - common) * self.shared
         return both.where(enough).select("id").distinct()
 
-    def known_sets(self, sets: DataFrame, buckets: DataFrame, batch: str) -> DataFrame:
-        """(id) of the sets that are near-duplicates of an accepted one.
+    def _near(self, sets: DataFrame, stage: DataFrame, batch: str) -> DataFrame:
+        """(id) of the sets that are near-duplicates of an accepted one; stage: (bucket, id) of the batch.
 
-        First every bucket is asked for one accepted text only; what that leaves open is
-        compared with all texts of its buckets. A bucket of many near-copies is thus settled
-        by its first, and none is cut off.
+        Crowded buckets are asked for their first text, and only what that leaves open meets
+        all their texts. Many near-copies are thus settled by one, and none is cut off.
         """
-        of_bucket = self._kept("bands").groupBy("bucket").agg(F.min("id").alias("kept"))
-        first = buckets.join(of_bucket, "bucket").select("id", "kept").distinct()
-        found = self.scratch.save(self._verified(first, sets), f"{batch}-first")
-        open_ = buckets.join(found, "id", "left_anti")
-        rest = open_.join(self._kept("bands").withColumnRenamed("id", "kept"), "bucket").select("id", "kept").distinct()
-        rest = rest.join(first, ["id", "kept"], "left_anti")
-        return found.union(self._verified(rest, sets))
+        kept = self._kept("bands").withColumnRenamed("id", "kept")
+        if not self.crowded:
+            return self._verified(stage.join(kept, "bucket").select("id", "kept").distinct(), sets)
+        hubs = self.spark.read.parquet(self.scratch.path("crowded"))
+        found = self.scratch.save(self._verified(stage.join(hubs, "bucket").select("id", "kept").distinct(), sets), f"{batch}-first")
+        open_ = stage.join(found, "id", "left_anti")
+        return found.union(self._verified(open_.join(kept, "bucket").select("id", "kept").distinct(), sets))
 
     def take(self, items: DataFrame, key: str, texts: list[str], exact: list[Column]) -> DataFrame:
         """Probes a batch, appends what is new, and returns the (key) of the records already known.
@@ -85,35 +85,43 @@ class History:
         """
         number, self.batches = self.batches, self.batches + 1
         batch, scratch = f"batch-{number}", self.scratch
-        text = F.concat_ws(" ", *(F.coalesce(t, F.lit("")) for t in texts))
         h1, h2 = set_digest(F.col("words"))
-        rows = items.where(F.col(key).isNotNull()).withColumn("_text", text).withColumn("words", words_of(F.col("_text")))
-        worded = F.when(F.size("words") > 0, F.concat(F.hex(h1), F.hex(h2)))
-        named = [F.concat(F.lit(f"{i}:"), k) for i, k in enumerate([*exact, worded])]
-        digests = F.array_distinct(F.transform(F.array_compact(F.array(*named)), lambda k: F.unhex(F.md5(k))))
-        rows = scratch.save(rows.select(F.col(key).alias("record"), F.col("_text").alias("text"), digests.alias("digests"), h1.alias("h1"), h2.alias("h2"), (F.size("words") > 0).alias("worded")), f"{batch}-rows")
-        keys = rows.select("record", F.explode("digests").alias("key")).distinct()
-        exact_hits = keys.join(self._kept("exact"), "key", "left_semi").select("record").distinct() if number else rows.select("record").limit(0)
-        exact_hits = scratch.save(exact_hits, f"{batch}-exact")
-        new = rows.join(exact_hits, "record", "left_anti")
-        sets = new.where("worded").groupBy("h1", "h2").agg(F.first("text").alias("text"))
-        offset = F.lit(number).cast("bigint") * (1 << 48)
-        sets = sets.select((F.monotonically_increasing_id() + offset).alias("id"), words_of(F.col("text")).alias("words"), "h1", "h2")
-        sets = scratch.save(sets, f"{batch}-sets")
+        rows = items.where(F.col(key).isNotNull()).withColumn("text", F.concat_ws(" ", *(F.coalesce(t, F.lit("")) for t in texts)))
+        rows = rows.withColumn("words", words_of(F.col("text"))).withColumns({"h1": h1, "h2": h2, "worded": F.size("words") > 0})
+        named = [*exact, F.when(F.col("worded"), F.concat(F.hex("h1"), F.hex("h2")))]
+        digests = F.array_compact(F.array(*(F.unhex(F.md5(F.concat(F.lit(f"{i}:"), k))) for i, k in enumerate(named))))
+        rows = scratch.save(rows.select(F.col(key).alias("record"), "text", digests.alias("digests"), "h1", "h2", "worded"), f"{batch}-rows")
+        keys = rows.select("record", F.explode("digests").alias("key"))
+        hits = rows.select("record").limit(0)
+        if number:
+            hits = scratch.save(keys.join(self._kept("exact"), "key", "left_semi").select("record").distinct(), f"{batch}-exact")
+        new = rows.join(hits, "record", "left_anti").where("worded")
+        sets = new.groupBy("h1", "h2").agg(F.first("text").alias("text"))
+        unique = F.monotonically_increasing_id() + F.lit(number).cast("bigint") * (1 << 48)
+        sets = scratch.save(sets.select(unique.alias("id"), words_of(F.col("text")).alias("words"), "h1", "h2"), f"{batch}-sets")
         if self.common is None:
             self.common = common_words(sets, "words", sets.count(), self.how)
-        buckets = bucket_rows(sets, "id", "words", self.common, self.how, local=False).select("bucket", F.col("a").alias("id"))
-        buckets = scratch.save(buckets, f"{batch}-bands")
-        near = scratch.save(self.known_sets(sets.select("id", "words"), buckets, batch) if number else sets.select("id").limit(0), f"{batch}-near")
+        # The batch's keys lie in the same buckets as the history's: neither side moves again.
+        self._create(batch.replace("-", "_"), "bucket bigint, id bigint", "bucket")
+        self._append(bucket_rows(sets, "id", "words", self.common, self.how, local=False).select("bucket", F.col("a").alias("id")), batch.replace("-", "_"), "bucket")
+        stage = self._kept(batch.replace("-", "_"))
+        near = sets.select("id").limit(0)
+        if number:
+            near = scratch.save(self._near(sets.select("id", "words"), stage, batch), f"{batch}-near")
         near_sets = sets.join(near, "id", "left_semi").select("h1", "h2")
-        near_hits = new.where("worded").join(near_sets, ["h1", "h2"], "left_semi").select("record")
-        known = scratch.save(exact_hits.union(near_hits).distinct(), f"{batch}-known")
+        known = hits.union(new.join(near_sets, ["h1", "h2"], "left_semi").select("record")).distinct()
+        known = scratch.save(known, f"{batch}-known")
         self._append(keys.join(known, "record", "left_anti").select("key").distinct(), "exact", "key")
-        accepted = rows.join(known, "record", "left_anti").select("h1", "h2").distinct()
+        accepted = new.join(known, "record", "left_anti").select("h1", "h2").distinct()
         accepted = scratch.save(sets.join(accepted, ["h1", "h2"], "left_semi").select("id", "words"), f"{batch}-accepted")
         self._append(accepted, "sets", "id")
-        self._append(buckets.join(accepted.select("id"), "id", "left_semi"), "bands", "bucket")
-        scratch.drop(*(f"{batch}-{t}" for t in ("rows", "exact", "sets", "bands", "first", "near", "accepted")))
+        self._append(stage.join(near, "id", "left_anti") if number else stage, "bands", "bucket")
+        crowded = scratch.save(stage.groupBy("bucket").agg(F.min("id").alias("kept"), F.count("*").alias("n")).where(F.col("n") > CROWDED).select("bucket", "kept"), f"{batch}-crowded")
+        if not is_empty(crowded):
+            scratch.append(crowded, "crowded")
+            self.crowded = True
+        self._drop(batch.replace("-", "_"))
+        scratch.drop(*(f"{batch}-{t}" for t in ("rows", "exact", "sets", "first", "near", "accepted", "crowded")))
         return known.select(F.col("record").alias(key))
 
 
