@@ -90,15 +90,15 @@ class History:
         rows = rows.withColumn("words", words_of(F.col("text"))).withColumns({"h1": h1, "h2": h2, "worded": F.size("words") > 0})
         named = [*exact, F.when(F.col("worded"), F.concat(F.hex("h1"), F.hex("h2")))]
         digests = F.array_compact(F.array(*(F.unhex(F.md5(F.concat(F.lit(f"{i}:"), k))) for i, k in enumerate(named))))
-        rows = scratch.save(rows.select(F.col(key).alias("record"), "text", digests.alias("digests"), "h1", "h2", "worded"), f"{batch}-rows")
+        rows = scratch.save(rows.select(F.col(key).alias("record"), "words", digests.alias("digests"), "h1", "h2", "worded"), f"{batch}-rows")
         keys = rows.select("record", F.explode("digests").alias("key"))
         hits = rows.select("record").limit(0)
         if number:
             hits = scratch.save(keys.join(self._kept("exact"), "key", "left_semi").select("record").distinct(), f"{batch}-exact")
         new = rows.join(hits, "record", "left_anti").where("worded")
-        sets = new.groupBy("h1", "h2").agg(F.first("text").alias("text"))
+        sets = new.groupBy("h1", "h2").agg(F.first("words").alias("words"))
         unique = F.monotonically_increasing_id() + F.lit(number).cast("bigint") * (1 << 48)
-        sets = scratch.save(sets.select(unique.alias("id"), words_of(F.col("text")).alias("words"), "h1", "h2"), f"{batch}-sets")
+        sets = scratch.save(sets.select(unique.alias("id"), "words", "h1", "h2"), f"{batch}-sets")
         if self.common is None:
             self.common = common_words(sets, "words", sets.count(), self.how)
         # The batch's keys lie in the same buckets as the history's: neither side moves again.
