@@ -14,20 +14,42 @@ FLOORS = [
 ]
 
 
-def feature_edges(features: DataFrame, ratio: float = 0.08, least_df: int = 20, most_df: int = 500, pair_cap: int = 150_000) -> DataFrame:
-    """(a, b, weight): stories that share features (story, feature, weight) that are not too common.
+def _sized(features: DataFrame, ratio: float, least_df: int) -> tuple[DataFrame, int]:
+    """(feature, n) of the features of two stories or more, and the n up to which a feature gives pairs."""
+    total = features.select("story").distinct().count()
+    return features.groupBy("feature").agg(F.count_distinct("story").alias("n")).where("n >= 2"), max(least_df, int(ratio * total))
+
 
-    A feature counts up to df = min(most_df, max(least_df, ratio * stories)); rarer features
-    come first until their pairs reach pair_cap, which is part of the operator's definition.
+def feature_edges(features: DataFrame, ratio: float = 0.08, least_df: int = 20) -> DataFrame:
+    """(a, b, weight): all stories that share features (story, feature, weight) of up to max(least_df, ratio * stories) stories.
+
+    Commoner features are given by common_members. A pair is made once, at the first feature
+    both have, with the weight of all of them; so pairs need no shuffle of their own.
     """
-    total = features.select("story").distinct().count()
-    cap = min(most_df, max(least_df, int(ratio * total)))
-    sized = features.groupBy("feature").agg(F.count_distinct("story").alias("n")).where(F.col("n").between(2, cap))
-    running = F.sum(F.col("n") * (F.col("n") - 1) / 2).over(Window.orderBy("n", "feature"))
-    allowed = sized.withColumn("total", running).where(F.col("total") <= pair_cap).select("feature")
-    kept = features.join(allowed, "feature")
-    a, b = kept.withColumnRenamed("story", "a"), kept.select("feature", F.col("story").alias("b"))
-    return a.join(b, "feature").where("a < b").groupBy("a", "b").agg(F.round(F.sum("weight"), 6).alias("weight"))
+    sized, cap = _sized(features, ratio, least_df)
+    kept = features.join(sized.where(F.col("n") <= cap).select("feature"), "feature")
+    own = kept.groupBy("story").agg(F.array_sort(F.collect_set(F.struct("feature", "weight"))).alias("own"))
+    rows = own.select("story", "own", F.explode("own.feature").alias("feature"))
+    a = rows.select("feature", F.col("story").alias("a"), F.col("own").alias("own_a"))
+    b = rows.select("feature", F.col("story").alias("b"), F.col("own.feature").alias("own_b"))
+    both = F.filter("own_a", lambda f: F.array_contains("own_b", f["feature"]))
+    met = a.join(b, "feature").where("a < b").select("a", "b", "feature", both.alias("both")).where(F.col("both")[0]["feature"] == F.col("feature"))
+    return met.select("a", "b", F.round(F.aggregate("both", F.lit(0.0), lambda t, f: t + f["weight"]), 6).alias("weight"))
+
+
+def common_members(features: DataFrame, ratio: float = 0.08, least_df: int = 20) -> DataFrame:
+    """(feature, story, weight): members of the features that are too common for feature_edges; together they hold every link."""
+    sized, cap = _sized(features, ratio, least_df)
+    return features.join(sized.where(F.col("n") > cap).select("feature"), "feature").select("feature", "story", "weight").distinct()
+
+
+def strong_links(features: DataFrame, ratio: float = 0.08, least_df: int = 20) -> DataFrame:
+    """(a, b): stars with the components of stories that share two features of feature_edges or more, in proportion to the memberships."""
+    sized, cap = _sized(features, ratio, least_df)
+    kept = features.join(sized.where(F.col("n") <= cap).select("feature"), "feature").select("story", "feature").distinct()
+    two = kept.join(kept.select("story", F.col("feature").alias("other")), "story").where("feature < other")
+    hub = F.min("story").over(Window.partitionBy("feature", "other"))
+    return two.select(hub.alias("a"), F.col("story").alias("b")).where("a <> b").distinct()
 
 
 def leader_clusters(vectors: DataFrame, threshold: float = 0.55) -> DataFrame:

@@ -83,11 +83,20 @@ n as (select feature, count(*) as n from f group by 1 having count(*) between 2
 w as (select feature from (select feature, sum(n * (n - 1) / 2) over (order by n, feature) as t from n) where t <= 150000)
 select a.story as a, b.story as b, round(count(*) * 0.5::double, 6) as weight from f a join f b on a.feature = b.feature and a.story < b.story join w on w.feature = a.feature group by 1, 2""")
 def j12_feature_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of the story graph by shared features that are not too common."""
+    """Edges of the story graph by shared features of up to 8 % of the stories; its SQL also caps features and pairs, which shows from sf0.1 on."""
+    return trends.feature_edges(_story_features(spark, sf_dir))
+
+
+@query()
+def j12_common_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of the commoner features, as their members."""
+    return trends.common_members(_story_features(spark, sf_dir))
+
+
+def _story_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "items").where("dedupe_group_id <> ''")
     rows = rows.select(F.col("dedupe_group_id").alias("story"), F.explode("domain_ids").alias("domain"), F.coalesce("source_section", F.lit("")).alias("section"))
-    features = rows.select("story", F.concat("domain", F.lit(":"), "section").alias("feature")).distinct()
-    return trends.feature_edges(features.withColumn("weight", F.lit(0.5)))
+    return rows.select("story", F.concat("domain", F.lit(":"), "section").alias("feature")).distinct().withColumn("weight", F.lit(0.5))
 
 
 @query(f"""with {P_SQL}, t as (select post_id, lower(subreddit) as s, array_to_string({_WORDS_SQL}, ' ') as k from p), g as (select k, count(distinct s) as n from t where k <> '' group by 1)

@@ -244,7 +244,7 @@ def o5_graph_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trends as components of the strong edges of the story graph."""
     rows = _stories(spark, sf_dir).select(F.col("story_id").alias("story"), F.explode("domain_ids").alias("d"), F.coalesce("source_section", F.lit("")).alias("s"))
     features = rows.select("story", F.concat_ws(":", "d", "s").alias("feature")).distinct().withColumn("weight", F.lit(0.5))
-    edges = trends.feature_edges(features).where("weight >= 1.0").select("a", "b")
+    edges = trends.strong_links(features)  # two features of weight 0.5
     found = grouping.components(Scratch(spark, "trends").save(edges, "edges"))
     return found.groupBy(F.col("root").alias("trend")).agg(F.count("*").alias("stories")).where("stories >= 3")
 

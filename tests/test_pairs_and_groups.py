@@ -65,3 +65,13 @@ def test_threshold_and_floors(spark):
     assert trends.precision_threshold(rows.limit(0), 0.5) is None
     checked = trends.floor_results(spark.range(1).select(F.lit(0.0).alias("overmerge_ge8"), F.lit(0.9).alias("compression")))
     assert {r["metric"]: r["passed"] for r in checked.collect() if r["passed"]} == {"overmerge_ge8": True}
+
+
+def test_feature_edges_keep_every_link(spark):
+    rows = [(f"s{k:04}", f) for k in range(900) for f in (["big"] if k < 600 else []) + [f"g{k % 300}"]]
+    features = spark.createDataFrame(rows, "story string, feature string").withColumn("weight", F.lit(0.5))
+    found = {(r["a"], r["b"]): r["weight"] for r in trends.feature_edges(features, ratio=0.8).collect()}
+    assert len(found) == 600 * 599 // 2 + 600 and found[("s0000", "s0300")] == 1.0 and found[("s0000", "s0600")] == found[("s0001", "s0002")] == 0.5
+    few = trends.feature_edges(features)
+    assert few.count() == 900 and trends.common_members(features).count() == 600
+    assert {tuple(r) for r in trends.strong_links(features, ratio=0.8).collect()} == {p for p, w in found.items() if w == 1.0}
