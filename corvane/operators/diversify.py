@@ -5,23 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Candidates that can reach the feed at most; beyond the caps' product nothing can change it.
-POOL = 10_000
-
-
 def capped_feed(rows: DataFrame, caps: dict[str, int], most: int, key: str = "item_id", score: str = "rank_score") -> DataFrame:
     """(key, place): by falling score, ties by key, a row is taken unless one of its groups has its cap already.
 
-    A row refused by one cap doesn't use up another, so the caps are folded in order. First
-    each group of the first cap is cut to what could be taken, then at most POOL rows come
-    to the driver; the feed itself is a page.
+    A row refused by one cap doesn't use up another, so the caps are folded in order. Rows
+    that share all their groups are taken from the best down, and at most the least cap of
+    them: this pool is exact, and the driver reads it in order until the feed is full.
     """
     order = [F.desc(score), F.col(key)]
-    first = next(iter(caps))
-    deep = F.row_number().over(Window.partitionBy(first).orderBy(*order))
-    pool = rows.withColumn("_n", deep).where(F.col("_n") <= max(most, caps[first])).orderBy(*order).limit(POOL)
+    deep = F.row_number().over(Window.partitionBy(*caps).orderBy(*order))
+    pool = rows.withColumn("_n", deep).where(F.col("_n") <= min(most, *caps.values())).orderBy(*order)
     taken, used = [], {}
-    for row in pool.select(key, score, *caps).collect():
+    for row in pool.select(key, score, *caps).toLocalIterator():
         groups = [(g, row[g]) for g in caps]
         if all(used.get(g, 0) < caps[g[0]] for g in groups):
             for g in groups:
