@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,44 +30,73 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def medoid_groups(pairs: DataFrame, least_edge: float = 0.55, most: int = 10_000) -> DataFrame:
+def merged(a: np.ndarray, b: np.ndarray, score: np.ndarray, least_edge: float) -> tuple[list[str], list[str]]:
+    """Items and stories of one component's edges, by greedy merging.
+
+    A merge changes only items with edges between the two groups: of the joined group's
+    items just these and the two medoids can be its medoid. So a step costs as much as the
+    edges of the group with fewer of them, and a component may have any size.
+    """
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, n = ends[: len(a)], ends[len(a) :], len(names)
+    points = np.rint(score * 10_000).astype(np.int64)  # scores have four decimals: sums are exact
+    near = (score >= least_edge).astype(np.int64)
+    order = np.lexsort((y, x, -score))
+    side, other = np.concatenate([x, y]), np.concatenate([y, x])
+    by = np.argsort(side, kind="stable")
+    start = np.searchsorted(side[by], np.arange(n + 1)).tolist()
+    other, weight, close = other[by].tolist(), np.tile(points, 2)[by].tolist(), np.tile(near, 2)[by].tolist()
+    # The smaller id wins ties, and of two ids of which one begins the other the longer one.
+    rank = {i: k for k, i in enumerate(sorted(range(n), key=lambda i: [-ord(c) for c in names[i]]))}
+    group, members, medoid = list(range(n)), [[i] for i in range(n)], list(range(n))
+    total, direct, edges = [0] * n, [0] * n, [start[i + 1] - start[i] for i in range(n)]
+    for i, j in zip(x[order].tolist(), y[order].tolist()):
+        small, large = group[i], group[j]
+        if small == large:
+            continue
+        if edges[small] > edges[large]:
+            small, large = large, small
+        more, nearer = {}, {}
+        for u in members[small]:
+            for k in range(start[u], start[u + 1]):
+                v = other[k]
+                if group[v] == large:
+                    for w in (u, v):
+                        more[w] = more.get(w, 0) + weight[k]
+                        nearer[w] = nearer.get(w, 0) + close[k]
+        best = max({medoid[small], medoid[large], *more}, key=lambda u: (total[u] + more.get(u, 0), rank[u]))
+        if direct[best] + nearer.get(best, 0) < len(members[small]) + len(members[large]) - 1:
+            continue
+        for u, gain in more.items():
+            total[u] += gain
+            direct[u] += nearer[u]
+        keep, gone = (small, large) if len(members[small]) > len(members[large]) else (large, small)
+        for u in members[gone]:
+            group[u] = keep
+        members[keep] += members[gone]
+        members[gone] = []
+        edges[keep] += edges[gone]
+        medoid[keep] = best
+    least = [min(m, default=0) for m in members]
+    return names.tolist(), [names[least[g]] for g in group]
+
+
+def medoid_groups(pairs: DataFrame, least_edge: float = 0.55) -> DataFrame:
     """(item_id, story): groups in which every member has an accepted edge of `least_edge` or more to the medoid.
 
     pairs: (a, b, score, decision). Accepted (auto) edges are merged from the highest score
     down, ties by ids; a merge that leaves a member without such an edge to the medoid is
     refused. Greedy merging never crosses a component of accepted edges, so each is solved by
-    itself. A component of over `most` items is cut into its edges of score 1 first.
+    itself, whatever its size; one task holds the edges of a component.
     """
     auto = pairs.where("decision = 'auto'").select("a", "b", "score")
-    labels = components(auto)
-    sizes = labels.groupBy("root").count()
-    large = sizes.where(F.col("count") > most).select("root")
-    rooted = auto.join(labels.withColumnRenamed("node", "a"), "a")
-    tight = rooted.join(large, "root", "left_semi").where("score >= 1")
-    small = rooted.join(large, "root", "left_anti")
+    rooted = auto.join(components(auto).withColumnRenamed("node", "a"), "a")
 
     def solve(edges: pd.DataFrame) -> pd.DataFrame:
-        score = {(a, b): s for a, b, s in zip(edges["a"], edges["b"], edges["score"])}
-        of = lambda x, y: score.get((x, y) if x < y else (y, x), 0.0)
-        group = {x: x for pair in score for x in pair}
-        members = {x: [x] for x in group}
-        for a, b in sorted(score, key=lambda p: (-score[p], p)):
-            ga, gb = group[a], group[b]
-            if ga == gb:
-                continue
-            joined = sorted(members[ga] + members[gb])
-            medoid = max(joined, key=lambda x: (sum(of(x, y) for y in joined if y != x), [-ord(c) for c in x]))
-            if all(of(medoid, x) >= least_edge for x in joined if x != medoid):
-                keep, gone = min(ga, gb), max(ga, gb)
-                members[keep] = joined
-                for x in members.pop(gone):
-                    group[x] = keep
-                for x in joined:
-                    group[x] = keep
-        return pd.DataFrame({"item_id": list(group), "story": [min(members[g]) for g in group.values()]})
-
-    solved = small.groupBy("root").applyInPandas(solve, "item_id string, story string")
-    return solved.unionByName(components(tight.select("a", "b")).select(F.col("node").alias("item_id"), F.col("root").alias("story")))
+        items, stories = merged(edges["a"].to_numpy(dtype=str), edges["b"].to_numpy(dtype=str), edges["score"].to_numpy(), least_edge)
+        return pd.DataFrame({"item_id": items, "story": stories})
+
+    return rooted.groupBy("root").applyInPandas(solve, "item_id string, story string")
 
 
 def carried_identity(old: DataFrame, new: DataFrame) -> DataFrame:
