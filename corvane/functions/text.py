@@ -124,12 +124,28 @@ def title_similarity(fuzzy: Column, shared: Column) -> Column:
     return 0.6 * shared + 0.4 * fuzzy
 
 
+def title_shingles(words: Column) -> Column:
+    """Distinct runs of three words; of fewer words the words themselves."""
+    return F.array_distinct(F.when(F.size(words) < 3, words).otherwise(shingles(words, 3)))
+
+
+def near_features(words: Column) -> Column:
+    """What a title's fingerprint sums: its distinct words and shingles."""
+    return F.array_union(title_shingles(words), words)
+
+
+def min_hashes(words: Column) -> Column:
+    """Keys of the four smallest shingle hashes."""
+    hashed = F.array_sort(F.transform(title_shingles(words), lambda s: F.xxhash64(s)))
+    return F.transform(F.slice(hashed, 1, 4), lambda h: F.concat(F.lit("m:"), h.cast("string")))
+
+
 def simhash(words: Column) -> Column:
-    """63 sign bits of the summed word hashes as a bigint; 0 for no words."""
+    """64 sign bits of the summed word hashes as a bigint; 0 for no words."""
     one = lambda i: F.aggregate(words, F.lit(0), lambda acc, w: acc + 2 * F.getbit(F.xxhash64(w), F.lit(i)).cast("int") - 1)
     out = F.lit(0).cast("bigint")
-    for i in range(63):
-        out = out + F.when(one(i) > 0, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    for i in range(64):
+        out = out.bitwiseOR(F.when(one(i) > 0, F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
     return out
 
 

@@ -189,12 +189,18 @@ def c24_stable_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items_now(spark, sf_dir).select("item_id", ids.stable_id(F.col("provider"), F.col("title")).alias("stable_id"))
 
 
+def _near_keys(titles: DataFrame) -> DataFrame:
+    """(post_id, mark, band): fingerprint of a title's words and shingles (t), with each of its near-duplicate keys."""
+    marked = titles.withColumn("mark", text.simhash(text.near_features(F.split("t", " "))))
+    keys = F.concat(text.bands(F.col("mark")), text.min_hashes(F.split("t", " ")))
+    return marked.select("post_id", "mark", F.explode(keys).alias("band"))
+
+
 @query()
 def c26_fingerprint_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles whose fingerprints share a band and differ in at most 18 bits; identical titles count once."""
+    """Titles that share a band of the fingerprint or one of the four least shingle hashes and differ in at most 18 bits; identical titles count once."""
     titles = posts_now(spark, sf_dir).groupBy(text.normalized_title(F.col("title")).alias("t")).agg(F.min("post_id").alias("post_id")).where("t <> ''")
-    marked = titles.withColumn("mark", text.simhash(F.array_distinct(F.split("t", " "))))
-    keyed = marked.select("post_id", "mark", F.explode(text.bands(F.col("mark"))).alias("band"))
+    keyed = _near_keys(titles)
     a = keyed.select("band", F.col("post_id").alias("post_a"), F.col("mark").alias("x"))
     b = keyed.select("band", F.col("post_id").alias("post_b"), F.col("mark").alias("y"))
     near = text.hamming(F.col("x"), F.col("y"))
