@@ -192,33 +192,34 @@ def near_duplicate_pairs(
     excerpt, each counted once; a null title or excerpt is empty. A record delivered more
     than once counts with each of its texts. Records with a null key are ignored, texts
     without words match nothing, other columns don't matter, an empty table gives nothing.
-    Records of one word set pair with each other and with those of similar sets; where a set
-    has over COPIES_PAIRED records, they pair with its smallest key and with the smallest
-    key (and few copies) of each similar set, so copies cost in proportion to their number.
+    Records of one word set pair with each other and with those of similar sets; where a text
+    (title and excerpt) has over COPIES_PAIRED records, they pair with its smallest key and with the
+    smallest key (and few copies) of each other such text, so copies cost in proportion to their number.
     """
     scratch = Scratch(items.sparkSession, "neardup")
     text = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(excerpt, F.lit("")))
-    rows = items.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), text.alias("text"))
+    copy = F.xxhash64(F.coalesce(title, F.lit("")), F.coalesce(excerpt, F.lit("")))
+    rows = items.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), text.alias("text"), copy.alias("copy"))
     first, second = set_digest(F.col("words"))
     rows = rows.withColumn("words", words_of(F.col("text"))).where(F.size("words") > 0)
-    rows = rows.select("key", "text", first.alias("h1"), second.alias("h2"))
+    rows = rows.select("key", "text", "copy", first.alias("h1"), second.alias("h2"))
     # One text stands for its word set: it travels smaller than the hashes of its words.
     sets = rows.groupBy("h1", "h2").agg(F.first("text").alias("text"))
     sets = sets.select("h1", "h2", words_of(F.col("text")).alias("words"), F.monotonically_increasing_id().alias("id"))
     sets = scratch.save(sets, "sets", **{"parquet.dictionary.page.size": str(16 << 20)})
-    members = rows.select("h1", "h2", "key").distinct().join(sets.select("h1", "h2", "id"), ["h1", "h2"])
-    members = scratch.save(members.select("id", "key"), "members")
+    members = rows.select("h1", "h2", "copy", "key").distinct().join(sets.select("h1", "h2", "id"), ["h1", "h2"])
+    members = scratch.save(members.select("id", "copy", "key"), "members")
     links = scratch.save(similar_sets(scratch, sets.select("id", "words"), sets.count(), shared, of, how), "similar")
     scratch.drop("sets", "edges", "links")
     return expand(links, members, key)
 
 
 def expand(links: DataFrame, members: DataFrame, key: str) -> DataFrame:
-    """Pairs of records from links (a, b) between sets and the members (id, key) of each set."""
-    sizes = members.groupBy("id").agg(F.count("*").alias("copies"), F.min("key").alias("least"))
-    sized = members.join(sizes, "id")
+    """Pairs of records from links (a, b) between sets and the members (id, copy, key) of each set, copy standing for the text."""
+    sizes = members.groupBy("id", "copy").agg(F.count("*").alias("copies"), F.min("key").alias("least"))
+    sized = members.join(sizes, ["id", "copy"])
     chosen = sized.where((F.col("copies") <= COPIES_PAIRED) | (F.col("key") == F.col("least")))
-    own = sizes.where("copies > 1").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    own = sizes.groupBy("id").agg(F.sum("copies").alias("members")).where("members > 1").select(F.col("id").alias("a"), F.col("id").alias("b"))
     ways = links.union(links.select("b", "a")).union(own)
     pairs = ways.join(chosen.select(F.col("id").alias("a"), F.col("key").alias("x")), "a").join(
         members.select(F.col("id").alias("b"), F.col("key").alias("y")), "b"

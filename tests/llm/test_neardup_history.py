@@ -43,6 +43,14 @@ def test_many_copies_cost_in_proportion(spark):
     assert len(found) == 399 + 400
 
 
+def test_different_texts_of_one_word_set_all_pair(spark):
+    turned = [(f"b{k:02}", "six five four three two one", "") for k in range(2)] + [("c00", "Two one three, four five six!", "")]
+    rows = [(f"a{k:02}", "one two three four five six", "") for k in range(70)] + turned
+    found = {tuple(r) for r in near_duplicate_pairs(spark.createDataFrame(rows, "item_id string, title string, excerpt string")).collect()}
+    assert {("b00", "b01"), ("b00", "c00"), ("b01", "c00")} <= found and {(f"a{k:02}", x) for k in range(70) for x in ("b00", "b01", "c00")} <= found
+    assert len(found) == 3 + 210 + 69
+
+
 def test_nothing_in_nothing_out(spark):
     assert near_duplicate_pairs(spark.createDataFrame([], "item_id string, title string, excerpt string")).count() == 0
 
