@@ -36,14 +36,18 @@ def blocking_keys(rows: DataFrame) -> DataFrame:
 def blocked_pairs(keys: DataFrame, limit: int = BUCKET_LIMIT, budget: int | None = None) -> DataFrame:
     """(a, b, reasons): items that share a key of 2 to `limit` items; smallest buckets first within a budget.
 
-    A key of more items blocks nothing: it is too common to tell two items apart, which is
-    the operator's definition. Without a budget all pairs of the other keys are kept.
+    A word or entity of more items blocks nothing: it is too common to tell two items apart.
+    An address of more items pairs each of them with its smallest one, so all stay linked.
+    Without a budget all pairs of the other keys are kept.
     """
-    sized = keys.groupBy("key").count().where(F.col("count").between(2, limit))
-    kept = keys.join(sized, "key")
-    a = kept.select("key", "reason", "count", F.col("item_id").alias("a"))
-    b = kept.select("key", F.col("item_id").alias("b"))
-    pairs = a.join(b, "key").where("a < b").groupBy("a", "b")
+    sized = keys.groupBy("key").agg(F.count("*").alias("count"), F.min("item_id").alias("hub")).where("count >= 2")
+    kept = keys.join(sized.where((F.col("count") <= limit) | F.col("key").startswith("u:")), "key")
+    few, many = kept.where(F.col("count") <= limit), kept.where(F.col("count") > limit)
+    a = few.select("key", "reason", "count", F.col("item_id").alias("a"))
+    b = few.select("key", F.col("item_id").alias("b"))
+    met = a.join(b, "key").where("a < b").select("a", "b", "reason", "count")
+    stars = many.where("item_id <> hub").select(F.col("hub").alias("a"), F.col("item_id").alias("b"), "reason", "count")
+    pairs = met.union(stars).groupBy("a", "b")
     pairs = pairs.agg(F.array_sort(F.collect_set("reason")).alias("reasons"), F.min("count").alias("smallest"))
     if budget:
         pairs = pairs.orderBy("smallest", "a", "b").limit(budget)

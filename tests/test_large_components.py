@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from corvane.operators import grouping
+from corvane.operators import grouping, pairs
 
 
 def greedy(score, least=0.55):
@@ -35,3 +35,9 @@ def test_component_of_over_10000_items_is_whole(spark):
     found = {r["item_id"]: r["story"] for r in grouping.medoid_groups(df).collect()}
     assert len(found) == 24001 and all(found[f"i{2 * k:05}"] == found[f"i{2 * k + 1:05}"] == f"i{2 * k:05}" for k in range(6000))
     assert {found[f"s{k:05}"] for k in range(12000)} == {"hub"}
+
+
+def test_hot_address_links_all_its_items(spark):
+    rows = [(f"i{k:02}", "u:x", "url") for k in range(33)] + [(f"i{k:02}", "w:x", "token") for k in range(33)]
+    found = {tuple(r) for r in pairs.blocked_pairs(spark.createDataFrame(rows, "item_id string, key string, reason string")).select("a", "b").collect()}
+    assert found == {("i00", f"i{k:02}") for k in range(1, 33)}
