@@ -50,13 +50,13 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def o1_pair_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decision of every candidate pair."""
+    """O1 in part (README: Not built), C5, C6: decision of every candidate pair."""
     return _pairs(spark, sf_dir).withColumn("reasons", F.array_join("reasons", "|"))
 
 
 @query()
 def o2_story_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stories by medoid-constrained merging of accepted pairs."""
+    """O2 without its single-provider guard, O4: stories by medoid-constrained merging of accepted pairs."""
     scratch = Scratch(spark, "stories")
     return grouping.medoid_groups(scratch.save(_pairs(spark, sf_dir).select("a", "b", "score", "decision"), "pairs"))
 

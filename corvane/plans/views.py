@@ -139,7 +139,7 @@ def t5_sort_by_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with l as (select item_id_a as a, item_id_b as b, max(score) as s from cluster_candidate_pairs where score is not null group by 1, 2), d as (select *, case when s >= 0.82 then 'auto' when s >= 0.62 then 'review' else 'reject' end as decision from l),
 r as (select *, row_number() over (partition by decision order by sha256('7|' || a || '|' || b)) as k from d) select decision, a, b from r where k <= case decision when 'auto' then 50 when 'review' then 40 else 10 end""")
 def t10_golden_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A seeded sample by decision, 50, 40 and 10."""
+    """A seeded sample by decision, 50, 40 and 10."""
     pairs = table(spark, sf_dir, "cluster_candidate_pairs").where("score is not null").groupBy(F.col("item_id_a").alias("a"), F.col("item_id_b").alias("b")).agg(F.max("score").alias("s"))
     decision = F.when(F.col("s") >= 0.82, "auto").when(F.col("s") >= 0.62, "review").otherwise("reject")
     order = F.sha2(F.concat(F.lit("7|"), "a", F.lit("|"), "b"), 256)
