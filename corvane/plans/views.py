@@ -277,7 +277,7 @@ def o16_trusted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 select count(distinct h) as missing from t where h not in (select h from c)""")
 def o20_missing_from_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inputs not yet in a content-addressed store."""
-    key = F.sha2(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.substring(F.coalesce("excerpt", F.lit("")), 1, 1200)), 256).alias("h")
+    key = F.sha2(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("excerpt", F.lit(""))), 256).alias("h")
     rows = items_now(spark, sf_dir).select(key, "snapshot_date")
     return rows.join(rows.where("snapshot_date < '2025-11-01'").select("h").distinct(), "h", "left_anti").agg(F.count_distinct("h").alias("missing"))
 
