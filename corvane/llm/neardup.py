@@ -1,10 +1,12 @@
 """Problem 3: near-duplicate records with small edits.
 
 Method: one-permutation hashing with optimal densification, banded buckets and star-shaped
-candidate edges. One hash per word fills the bins of a signature; an empty bin copies the
-bin that its own hash sequence meets first. Bands of bins are bucket keys, and a bucket of
-any size gives one edge per member, to a hub that differs from band to band. Edges are
-verified on the whole word sets; records that share a verified neighbour are verified too.
+candidate edges. Every word fills a bin of the signature with its rank, common words with a
+later one (a weighted draw); an empty bin copies the bin that its own hash sequence meets
+first. Bands of bins are bucket keys. A bucket of any size gives two edges per member: to
+the bucket's hub, and to its neighbour in the order of further bins, so a bucket that many
+unlike texts share still joins like ones. Edges are verified on the whole word sets; records
+that share a verified neighbour are verified too.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.llm.groups import component_labels
 from corvane.runtime import Scratch, ship_package
 
 _EMPTY = np.uint64(2**64 - 1)
@@ -24,21 +27,23 @@ _EMPTY = np.uint64(2**64 - 1)
 
 @dataclass(frozen=True)
 class Signature:
-    """How word sets become band keys. Equal parameters give equal keys on any machine."""
+    """How word sets become band keys. Equal parameters and word weights give equal keys on any machine."""
 
     bands: int = 32
     rows: int = 3
-    #: Words in more than this share of the texts tell little; they fill bins only of texts with fewer than `least` others.
+    #: Words in more than this share of the texts are drawn less often, down to `least_weight`; none is left out.
     common_share: float = 0.002
-    #: A word of so few texts is never common.
-    rare_up_to: int = 20
-    least: int = 3
+    least_weight: float = 0.05
     seed: int = 20_251_104
 
     @property
     def bins(self) -> int:
         return self.bands * self.rows
 
+    def weight(self, share: float) -> float:
+        """Draws of a word in this share of the texts, against 1 for a rare one."""
+        return 1.0 if share <= self.common_share else max(self.least_weight, float(np.log(share) / np.log(self.common_share)))
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
@@ -47,31 +52,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _informative(owner: np.ndarray, words: np.ndarray, n: int, common: np.ndarray, count: np.ndarray, least: int) -> np.ndarray:
-    """Which words enter the signature: those that aren't common, and of poor texts the least common ones."""
-    if not len(common):
-        return np.ones(len(words), dtype=bool)
-    at = np.minimum(np.searchsorted(common, words), len(common) - 1)
-    is_common = common[at] == words
-    keep = ~is_common
-    lacking = least - np.bincount(owner[keep], minlength=n)
-    poor = np.flatnonzero(is_common & (lacking[owner] > 0))
-    order = poor[np.lexsort((words[poor], count[at[poor]], owner[poor]))]
-    start = np.searchsorted(owner[order], owner[order], side="left")
-    keep[order[np.arange(len(order)) - start < lacking[owner[order]]]] = True
-    return keep
+def _ranks(hashed: np.ndarray, words: np.ndarray, common: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A total order of all words, in which a word's chance to come first follows its weight."""
+    low = hashed & np.uint64((1 << 40) - 1)
+    waits = -np.log((low.astype(np.float64) + 0.5) / float(1 << 40))
+    if len(common):
+        at = np.minimum(np.searchsorted(common, words), len(common) - 1)
+        waits /= np.where(common[at] == words, weight[at], 1.0)
+    # Coarse steps, ties by hash: the last digits of a logarithm may differ between machines.
+    return (np.minimum(waits * (1 << 15), (1 << 24) - 2).astype(np.uint64) << np.uint64(40)) | low
 
 
-def band_keys(owner: np.ndarray, words: np.ndarray, n: int, common: np.ndarray, count: np.ndarray, how: Signature) -> np.ndarray:
-    """Keys (n, bands) of n word sets, given as words (uint64) with the number of their set, ascending.
+def signatures(owner: np.ndarray, words: np.ndarray, n: int, common: np.ndarray, weight: np.ndarray, how: Signature) -> np.ndarray:
+    """Bins (n, bins) of n word sets, given as words (uint64) with the number of their set, ascending.
 
-    common: sorted common words, count: their counts. A set without words has no meaning here.
+    common: sorted common words, weight: their weights. Every set has a word.
     """
-    keep = _informative(owner, words, n, common, count, how.least)
-    owner, hashed = owner[keep], _mix(words[keep] ^ _mix(np.uint64([how.seed])))
+    hashed = _mix(words ^ _mix(np.uint64([how.seed])))
     bins = ((hashed >> np.uint64(40)) % np.uint64(how.bins)).astype(np.int64)
     filled = np.full(n * how.bins, _EMPTY)
-    np.minimum.at(filled, owner * how.bins + bins, hashed)
+    np.minimum.at(filled, owner * how.bins + bins, _ranks(hashed, words, common, weight))
     filled = filled.reshape(n, how.bins)
     signature, step = filled.copy(), 0
     row, col = np.nonzero(filled == _EMPTY)
@@ -82,10 +82,30 @@ def band_keys(owner: np.ndarray, words: np.ndarray, n: int, common: np.ndarray,
         done = found != _EMPTY
         signature[row[done], col[done]] = found[done]
         row, col = row[~done], col[~done]
+    return signature
+
+
+def band_keys(signature: np.ndarray, how: Signature) -> np.ndarray:
+    """Keys (n, bands): 40 bits of the band's bins, then 24 of two bins of the next band, in whose order a bucket lies."""
+    n = len(signature)
     keys = np.broadcast_to(_mix(np.arange(1, how.bands + 1, dtype=np.uint64)), (n, how.bands)).copy()
     for r in range(how.rows):
         keys = _mix(keys ^ signature[:, r :: how.rows])
-    return keys
+    further = np.zeros_like(keys)
+    for r in range(min(2, how.rows)):
+        further = _mix(further ^ np.roll(signature[:, r :: how.rows], -1, axis=1))
+    return (keys & ~np.uint64((1 << 24) - 1)) | (further >> np.uint64(40))
+
+
+def parities(owner: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
+    """64 bits a set: bit i tells whether an odd number of its words fall on i.
+
+    Two sets' parities differ in at most as many bits as the sets in words, so a bound on
+    differing words can be tested on them without losing any pair.
+    """
+    bit = np.uint64(1) << (_mix(words + np.uint64(1)) & np.uint64(63))
+    start = np.searchsorted(owner, np.arange(n))
+    return np.bitwise_xor.reduceat(bit, start)
 
 
 def words_of(text: Column) -> Column:
@@ -99,61 +119,86 @@ def set_digest(words: Column) -> tuple[Column, Column]:
     return F.xxhash64(words), F.xxhash64(F.lit("second"), words)
 
 
-def common_words(sets: DataFrame, words: str, total: int, how: Signature) -> list[tuple[int, int]]:
-    """(word, count) of the words in more than common_share of all sets, counted over all of them.
+def word_weights(sets: DataFrame, words: str, total: int, how: Signature) -> list[tuple[int, float]]:
+    """(word, weight) of the words in more than common_share of all sets, counted over all of them.
 
     At most mean set size / common_share words can be that common, at any size of the data.
     """
     counts = sets.select(F.explode(words).alias("word")).groupBy("word").count()
-    rows = counts.where(F.col("count") > max(how.rare_up_to, how.common_share * total)).collect()
-    return sorted((r["word"] % 2**64, r["count"]) for r in rows)
+    rows = counts.where(F.col("count") > how.common_share * total).collect()
+    return sorted((r["word"] % 2**64, how.weight(r["count"] / total)) for r in rows)
 
 
-def bucket_rows(sets: DataFrame, key: str, words: str, common: list[tuple[int, int]], how: Signature, local: bool = True) -> DataFrame:
-    """(bucket, a, b): a set in a bucket, b null; or, within an Arrow batch, an edge from the bucket's hub a to b.
+def unpacked(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(owner, words, n) of a column of word lists."""
+    lists = batch.column(at)
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    return np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())), flat, batch.num_rows
 
-    Members of a bucket that meet in a batch shrink to their hub before the shuffle, so a
-    bucket that holds a third of all sets sends one row per batch. Without `local` there
-    are rows of the first kind only.
+
+def may_reach(parity_a, size_a, parity_b, size_b, shared: int, of: int):
+    """False only for sets that can't have shared/of of all their words in common: columns of parities and sizes."""
+    alike = F.bit_count(parity_a.bitwiseXOR(parity_b)) * (of + shared) <= (size_a + size_b) * (of - shared)
+    return alike & (F.least(size_a, size_b) * of >= F.greatest(size_a, size_b) * shared)
+
+
+def bucket_rows(sets: DataFrame, key: str, words: str, weights: list[tuple[int, float]], shared: int, of: int, how: Signature) -> DataFrame:
+    """(bucket, a, b, parity): a set in a bucket, b minus its size; or an edge from a to b found within an Arrow batch.
+
+    Of the members of a bucket that meet in a batch, those whose parities are close to the
+    hub's are linked to it and to each other here and stay out of the bucket, so a group
+    of near-copies that holds a third of all sets sends few rows per batch.
     """
-    ship_package(sets.sparkSession)
-    pairs = np.array([w for w, _ in common], dtype=np.uint64), np.array([c for _, c in common], dtype=np.int64)
+    context = ship_package(sets.sparkSession).sparkContext
+    table = context.broadcast((np.array([w for w, _ in weights], dtype=np.uint64), np.array([c for _, c in weights])))  # see word_weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            lists = batch.column(1)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            sizes = np.diff(lists.offsets.to_numpy())
-            keys = band_keys(np.repeat(np.arange(len(ids)), sizes), flat, len(ids), *pairs, how).view(np.int64)
-            bucket, owner = keys.ravel(), np.repeat(ids, how.bands)
-            if not local:
-                nothing = pa.nulls(len(bucket), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(owner), nothing], names=["bucket", "a", "b"])
-                continue
-            if not len(bucket):
+            if not batch.num_rows:
                 continue
-            order = np.lexsort((owner ^ bucket, bucket))
-            bucket, owner = bucket[order], owner[order]
-            first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            hub = np.repeat(owner[first], np.diff(np.r_[first, len(bucket)]))
-            is_hub = np.zeros(len(bucket), dtype=bool)
-            is_hub[first] = True
-            # Edges found here need no bucket any more: spread them.
-            place = np.where(is_hub, bucket, _mix((hub ^ (owner << 20)).view(np.uint64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(place), pa.array(np.where(is_hub, owner, hub)), pa.array(owner, mask=is_hub)], names=["bucket", "a", "b"]
-            )
-
-    return sets.select(key, words).mapInArrow(run, "bucket bigint, a bigint, b bigint")
-
-
-def star_edges(buckets: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, from the rows of bucket_rows: every member of a bucket with its hub."""
-    lowest = F.min(F.when(F.col("b").isNull(), F.col("a").bitwiseXOR(F.col("bucket")))).over(Window.partitionBy("bucket"))
-    rows = buckets.withColumn("hub", lowest.bitwiseXOR(F.col("bucket")))
-    edges = rows.select("a", F.coalesce("b", "hub").alias("b")).where("a <> b")
-    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            owner, flat, n = unpacked(batch, 1)
+            bucket = band_keys(signatures(owner, flat, n, *table.value, how), how).ravel()
+            sizes, parity, row = np.bincount(owner, minlength=n), parities(owner, flat, n), np.repeat(np.arange(n), how.bands)
+            order = np.lexsort((_mix(ids[row].view(np.uint64) ^ bucket), bucket))
+            bucket, row = bucket[order], row[order]
+            first = np.flatnonzero(np.r_[True, (bucket[1:] ^ bucket[:-1]) >> np.uint64(24) != 0])
+            hub = np.repeat(row[first], np.diff(np.r_[first, len(bucket)]))
+            # Half the words that may differ, so that who stays out is near to the hub for sure.
+            differ = np.bitwise_count(parity[row] ^ parity[hub]).astype(np.int64)
+            close = (differ * 2 * (of + shared) <= (sizes[row] + sizes[hub]) * (of - shared)) & (hub != row)
+            many = np.repeat(np.diff(np.r_[first, len(bucket)]) > 2, np.diff(np.r_[first, len(bucket)]))
+            near = np.flatnonzero(close)
+            before = near[(near > 0) & close[near - 1] & (hub[near] == hub[near - 1]) & many[near]]
+            before = before[row[before] != row[before - 1]]
+            stay = np.flatnonzero(~close)
+            a = np.r_[ids[row[stay]], ids[hub[near]], ids[row[before - 1]]]
+            b = np.r_[-sizes[row[stay]], ids[row[near]], ids[row[before]]]
+            spread = _mix(np.r_[ids[row[near]], ids[row[before]]].view(np.uint64))
+            place = np.r_[bucket[stay], spread].view(np.int64)  # edges need no bucket any more
+            columns = [place, a, b, np.r_[parity[row[stay]], np.zeros(len(near) + len(before), dtype=np.uint64)].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "a", "b", "parity"])
+
+    return sets.select(key, words).mapInArrow(run, "bucket bigint, a bigint, b bigint, parity bigint")
+
+
+def star_edges(buckets: DataFrame, shared: int, of: int) -> DataFrame:
+    """Distinct (a, b), a < b, from the rows of bucket_rows: a member with its hub and with the one before it in the bucket's order.
+
+    Pairs whose parities rule them out are left out.
+    """
+    member = F.col("b") < 0
+    place = F.when(member, F.shiftrightunsigned("bucket", 24)).otherwise(-1 - F.shiftrightunsigned("bucket", 24))
+    order = Window.partitionBy("place").orderBy("bucket", "a")
+    rows = buckets.withColumn("place", place)
+    one = F.struct("a", "b", "parity")
+    rows = rows.withColumns({"hub": F.when(member, F.first(one).over(order)), "last": F.when(member, F.lag(one).over(order))})
+    meets = lambda other: (other["a"] != F.col("a")) & may_reach(F.col("parity"), -F.col("b"), other["parity"], -other["b"], shared, of)
+    edge = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    found = F.when(~member, F.array(edge(F.col("a"), F.col("b")))).otherwise(
+        F.array(*(F.when(meets(F.col(c)), edge(F.col("a"), F.col(c)["a"])) for c in ("hub", "last")))
+    )
+    return rows.select(F.inline(F.array_compact(found))).distinct()
 
 
 def verified(edges: DataFrame, sets: DataFrame, shared: int, of: int) -> DataFrame:
@@ -167,25 +212,69 @@ def verified(edges: DataFrame, sets: DataFrame, shared: int, of: int) -> DataFra
     return both.where(may & (common * of >= (size_a + size_b - common) * shared)).select("a", "b")
 
 
-def similar_sets(scratch: Scratch, sets: DataFrame, total: int, shared: int, of: int, how: Signature) -> DataFrame:
-    """(a, b), a < b: pairs of distinct, non-empty word sets (id bigint, words) with at least shared/of in common."""
-    common = common_words(sets, "words", total, how)
-    edges = scratch.save(star_edges(bucket_rows(sets, "id", "words", common, how)), "edges")
-    links = scratch.save(verified(edges, sets, shared, of), "links")
+#: Neighbours of a record that meet each other in one task; of more, blocks of them meet.
+BLOCK = 256
+
+
+def neighbours_met(links: DataFrame, known: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(x, y), x < y: distinct pairs that share a neighbour in links (a, b) and aren't in known (a, b).
+
+    The neighbours of a record are cut into blocks, and two blocks meet at a time, so a
+    record with any number of neighbours is spread over many tasks.
+    """
     both = links.union(links.select("b", "a"))
-    around = both.select(F.col("a").alias("middle"), F.col("b").alias("x"))
-    met = around.join(around.select("middle", F.col("x").alias("y")), "middle").where("x < y")
-    met = met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().join(edges, ["a", "b"], "left_anti")
-    return links.union(verified(met, sets, shared, of))
+    many = both.groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).withColumnRenamed("a", "middle")
+    around = both.select(F.col("a").alias("middle"), F.col("b").alias("x")).join(many.where("blocks > 1"), "middle", "left")
+    around = around.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    pairs = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    around = around.select("middle", "x", "own", pairs.alias("other"))
+    left = around.select("middle", F.col("own").alias("i"), F.col("other").alias("j"), "x")
+    right = around.select("middle", F.col("other").alias("i"), F.col("own").alias("j"), F.col("x").alias("y"))
+    met = left.join(right, ["middle", "i", "j"]).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return met.distinct().join(known, ["a", "b"], "left_anti")
+
+
+def similar_links(scratch: Scratch, sets: DataFrame, total: int, shared: int, of: int, how: Signature) -> tuple[DataFrame, DataFrame]:
+    """(links, edges), both (a, b), a < b: verified candidate edges of word sets (id bigint, words), and all candidate edges."""
+    weights = word_weights(sets, "words", total, how)
+    edges = scratch.save(star_edges(bucket_rows(sets, "id", "words", weights, shared, of, how), shared, of), "edges")
+    return scratch.save(verified(edges, sets, shared, of), "links"), edges
+
+
+def similar_sets(scratch: Scratch, sets: DataFrame, total: int, shared: int, of: int, how: Signature) -> DataFrame:
+    """(a, b), a < b: pairs of distinct, non-empty word sets (id bigint, words) with at least shared/of in common.
+
+    Where two sets share a verified neighbour, they are verified too; what that costs follows
+    the number of similar pairs, which are the result.
+    """
+    links, edges = similar_links(scratch, sets, total, shared, of, how)
+    return links.union(verified(neighbours_met(links, edges), sets, shared, of))
 
 
 #: Up to this many exact copies a text's records are paired one by one, beyond through the smallest id.
 COPIES_PAIRED = 64
 
 
+def _prepared(scratch: Scratch, items: DataFrame, key: str, title: str, excerpt: str) -> tuple[DataFrame, DataFrame]:
+    """sets (id, words) and members (id, copy, key) of records: each distinct word set once, and who has it by which text."""
+    text = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(excerpt, F.lit("")))
+    copy = F.xxhash64(F.coalesce(title, F.lit("")), F.coalesce(excerpt, F.lit("")))
+    rows = items.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), copy.alias("copy"), words_of(text).alias("words"))
+    first, second = set_digest(F.col("words"))
+    dictionary = {"parquet.dictionary.page.size": str(16 << 20)}
+    rows = scratch.save(rows.where(F.size("words") > 0).select("key", "copy", "words", first.alias("h1"), second.alias("h2")), "rows", **dictionary)
+    sets = rows.groupBy("h1", "h2").agg(F.first("words").alias("words"))
+    sets = scratch.save(sets.withColumn("id", F.monotonically_increasing_id()), "sets", **dictionary)
+    members = rows.select("h1", "h2", "copy", "key").distinct().join(sets.select("h1", "h2", "id"), ["h1", "h2"])
+    members = scratch.save(members.select("id", "copy", "key"), "members")
+    scratch.drop("rows")
+    return sets.select("id", "words"), members
+
+
 def near_duplicate_pairs(
-    items: DataFrame, key: str = "item_id", title: str = "title", excerpt: str = "excerpt", shared: int = 3, of: int = 5, how: Signature = Signature()
-) -> DataFrame:
+    items: DataFrame, key: str = "item_id", title: str = "title", excerpt: str = "excerpt", shared: int = 3, of: int = 5,
+    how: Signature = Signature(), copies: int | None = COPIES_PAIRED,
+) -> DataFrame:
     """(key_a, key_b), smaller first: different records whose words have at least shared/of in common.
 
     Words are the lower-cased maximal runs of letters and digits in title, a blank and
@@ -193,32 +282,43 @@ def near_duplicate_pairs(
     than once counts with each of its texts. Records with a null key are ignored, texts
     without words match nothing, other columns don't matter, an empty table gives nothing.
     Records of one word set pair with each other and with those of similar sets; where a text
-    (title and excerpt) has over COPIES_PAIRED records, they pair with its smallest key and with the
-    smallest key (and few copies) of each other such text, so copies cost in proportion to their number.
+    (title and excerpt) has over `copies` records, they pair with its smallest key and with the
+    smallest key (and few copies) of each other such text, so copies cost in proportion to their
+    number. With copies=None every pair is given; near_duplicate_members gives the rest by membership.
     """
     scratch = Scratch(items.sparkSession, "neardup")
-    text = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(excerpt, F.lit("")))
-    copy = F.xxhash64(F.coalesce(title, F.lit("")), F.coalesce(excerpt, F.lit("")))
-    rows = items.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), text.alias("text"), copy.alias("copy"))
-    first, second = set_digest(F.col("words"))
-    rows = rows.withColumn("words", words_of(F.col("text"))).where(F.size("words") > 0)
-    rows = rows.select("key", "text", "copy", first.alias("h1"), second.alias("h2"))
-    # One text stands for its word set: it travels smaller than the hashes of its words.
-    sets = rows.groupBy("h1", "h2").agg(F.first("text").alias("text"))
-    sets = sets.select("h1", "h2", words_of(F.col("text")).alias("words"), F.monotonically_increasing_id().alias("id"))
-    sets = scratch.save(sets, "sets", **{"parquet.dictionary.page.size": str(16 << 20)})
-    members = rows.select("h1", "h2", "copy", "key").distinct().join(sets.select("h1", "h2", "id"), ["h1", "h2"])
-    members = scratch.save(members.select("id", "copy", "key"), "members")
-    links = scratch.save(similar_sets(scratch, sets.select("id", "words"), sets.count(), shared, of, how), "similar")
+    sets, members = _prepared(scratch, items, key, title, excerpt)
+    links = scratch.save(similar_sets(scratch, sets, sets.count(), shared, of, how), "similar")
     scratch.drop("sets", "edges", "links")
-    return expand(links, members, key)
+    return expand(links, members, key, copies)
+
+
+def near_duplicate_members(
+    items: DataFrame, key: str = "item_id", title: str = "title", excerpt: str = "excerpt", shared: int = 3, of: int = 5, how: Signature = Signature()
+) -> DataFrame:
+    """(key, text_key, group_key): one row for each record and text; its text's smallest key, and its group's.
+
+    Records of one text share text_key, so with the pairs between text_keys every pair of
+    records is known, however many copies a text has. A group holds all records that similar
+    texts link directly or indirectly. Records without a similar one are groups of their own;
+    null keys, texts without words, repeated rows and other columns as in near_duplicate_pairs.
+    """
+    scratch = Scratch(items.sparkSession, "neardup")
+    sets, members = _prepared(scratch, items, key, title, excerpt)
+    links, _ = similar_links(scratch, sets, sets.count(), shared, of, how)
+    roots = component_labels(scratch, links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    texts = members.groupBy("id", "copy").agg(F.min("key").alias("text_key"))
+    rooted = texts.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    groups = rooted.groupBy("root").agg(F.min("text_key").alias("group_key"))
+    named = rooted.join(groups, "root").select("id", "copy", "text_key", "group_key")
+    return members.join(named, ["id", "copy"]).select(F.col("key").alias(key), "text_key", "group_key")
 
 
-def expand(links: DataFrame, members: DataFrame, key: str) -> DataFrame:
+def expand(links: DataFrame, members: DataFrame, key: str, copies: int | None = COPIES_PAIRED) -> DataFrame:
     """Pairs of records from links (a, b) between sets and the members (id, copy, key) of each set, copy standing for the text."""
     sizes = members.groupBy("id", "copy").agg(F.count("*").alias("copies"), F.min("key").alias("least"))
     sized = members.join(sizes, ["id", "copy"])
-    chosen = sized.where((F.col("copies") <= COPIES_PAIRED) | (F.col("key") == F.col("least")))
+    chosen = sized if copies is None else sized.where((F.col("copies") <= copies) | (F.col("key") == F.col("least")))
     own = sizes.groupBy("id").agg(F.sum("copies").alias("members")).where("members > 1").select(F.col("id").alias("a"), F.col("id").alias("b"))
     ways = links.union(links.select("b", "a")).union(own)
     pairs = ways.join(chosen.select(F.col("id").alias("a"), F.col("key").alias("x")), "a").join(
