@@ -68,9 +68,37 @@ class Scratch:
             pass
 
     def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        delete_path(self.spark, path)
+
+
+def _at(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    at, files = _at(spark, path)
+    files.delete(at, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in any file system that the session knows, replaced whole."""
+    at, files = _at(spark, f"{path}.new")
+    stream = files.create(at, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    target, _ = _at(spark, path)
+    files.delete(target, False)
+    files.rename(at, target)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file; null where there is none, the file under way if only that is whole."""
+    for name in (path, f"{path}.new"):
+        at, files = _at(spark, name)
+        if files.exists(at):
+            return spark.read.text(name, wholetext=True).first()[0]
+    return None
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
