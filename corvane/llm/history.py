@@ -1,78 +1,157 @@
 """Problem 6: each new batch is deduplicated against all accepted history.
 
-Method: the band keys of every accepted text are kept with its word set, in tables bucketed
-by hash. A batch sends its own keys to the matching buckets only: the history is neither
-shuffled nor recomputed. Candidates are verified on whole word sets; then the accepted
-records' keys are appended.
+Method: the band keys of every accepted text, with its parity signature and size, and the
+digests of its exact keys lie in a table that is partitioned by hash, in a folder that any
+later session can open again. A batch sends its own keys to the matching buckets only: the
+history is neither shuffled nor recomputed. Candidates whose signatures allow it are verified
+on whole word sets; then the accepted records' keys are appended.
 """
 
 from __future__ import annotations
 
-import uuid
+import hashlib
+import json
+from dataclasses import asdict
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.neardup import Signature, bucket_rows, common_words, set_digest, words_of
-from corvane.runtime import Scratch, is_empty
+from corvane.llm.neardup import Signature, band_keys, may_reach, parities, set_digest, signatures, unpacked, word_weights, words_of
+from corvane.runtime import Scratch, delete_path, read_text, ship_package, write_text
 
-#: Hash buckets of each history table. A probe reads a bucket in one task, so a large history wants thousands.
-BUCKETS = 32
-#: A band bucket that takes more texts of one batch is asked for its first text before all others.
-CROWDED = 16
+#: Rows of a key table in one of its hash buckets, beyond which the tables get twice as many.
+ROWS_PER_BUCKET = 4_000_000
+#: Texts of a batch in one band bucket that a probe meets at once; it meets the rest only if these leave it open.
+CROWDED = 64
+KEYS = "bucket bigint, mark bigint, size int, id bigint, rank int, batch int"
+SETS = "id bigint, words array<bigint>, batch int"
 
 
 class History:
-    """Keys of accepted records in the shared folder, and the probe of a batch against them."""
-
-    def __init__(self, spark: SparkSession, shared: int = 3, of: int = 5, how: Signature = Signature(bands=24), buckets: int = BUCKETS):
-        self.spark, self.shared, self.of, self.how, self.buckets = spark, shared, of, how, buckets
-        self.scratch, self.name = Scratch(spark, "history"), f"history_{uuid.uuid4().hex}"
-        self.batches, self.common, self.crowded = 0, None, False
-        self._create("exact", "key binary", "key")
-        self._create("bands", "bucket bigint, id bigint", "bucket")
-        self._create("sets", "id bigint, words array<bigint>", "id")
-
-    def _create(self, table: str, columns: str, by: str) -> None:
-        where = self.scratch.path(f"kept-{table}")
-        self.spark.sql(f"create table {self.name}_{table} ({columns}) using parquet clustered by ({by}) into {self.buckets} buckets location '{where}'")
-
-    def _drop(self, table: str) -> None:
-        self.spark.sql(f"drop table if exists {self.name}_{table}")
-        self.scratch.drop(f"kept-{table}")
+    """Keys of accepted records in a folder, and the probe of a batch against them.
+
+    The folder holds the tables, the word weights of the first batch and a manifest. A batch
+    counts once the manifest names it: one that broke off is taken again as if never begun.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, shared: int = 3, of: int = 5, how: Signature = Signature(rows=4), buckets: int = 8):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.state = {"shared": shared, "of": of, "how": asdict(how), "buckets": buckets, "generation": 0, "batches": 0, "crowded": False, "keys": 0}
+        found = read_text(spark, f"{self.path}/manifest.json")
+        if found:  # the folder's own parameters hold: keys of other ones wouldn't meet
+            self.state = json.loads(found)
+        self.shared, self.of, self.how = self.state["shared"], self.state["of"], Signature(**self.state["how"])
+        self.scratch = Scratch(spark, "history")
+        self._define()
+
+    def _define(self) -> None:
+        """Names the tables of the folder's generation in this session's catalog."""
+        self.name = "history_" + hashlib.md5(f"{self.path}/{self.state['generation']}".encode()).hexdigest()
+        for table, columns, by in (("keys", KEYS, "bucket"), ("sets", SETS, "id")):
+            self.spark.sql(
+                f"create table if not exists {self.name}_{table} ({columns}) using parquet "
+                f"clustered by ({by}) into {self.state['buckets']} buckets location '{self._place(table)}'"
+            )
+
+    def _place(self, table: str) -> str:
+        return f"{self.path}/{table}-{self.state['generation']}"
 
     def _kept(self, table: str) -> DataFrame:
-        return self.spark.table(f"{self.name}_{table}")
+        return self.spark.table(f"{self.name}_{table}").where(F.col("batch") < self.state["batches"])
+
+    def _append(self, rows: DataFrame, table: str) -> None:
+        rows.select(self.spark.table(f"{self.name}_{table}").columns).write.insertInto(f"{self.name}_{table}")
 
-    def _append(self, rows: DataFrame, table: str, by: str) -> None:
-        rows.select(self._kept(table).columns).repartition(self.buckets, by).write.insertInto(f"{self.name}_{table}")
+    def _commit(self, **changes) -> None:
+        self.state |= changes
+        write_text(self.spark, f"{self.path}/manifest.json", json.dumps(self.state))
 
     def close(self) -> None:
-        for table in ("exact", "bands", "sets"):
-            self._drop(table)
+        """Forgets the tables in this session; the folder stays."""
+        for table in ("keys", "sets"):
+            self.spark.sql(f"drop table if exists {self.name}_{table}")
+
+    def _grow(self) -> None:
+        """Twice the buckets, as often as the keys ask for it; the tables are rewritten, so seldom."""
+        buckets = self.state["buckets"]
+        while self.state["keys"] > buckets * ROWS_PER_BUCKET:
+            buckets *= 2
+        if buckets == self.state["buckets"]:
+            return
+        kept, old, names = {t: self._kept(t) for t in ("keys", "sets")}, [self._place(t) for t in ("keys", "sets")], self.name
+        self.state |= {"buckets": buckets, "generation": self.state["generation"] + 1}
+        for table in kept:
+            delete_path(self.spark, self._place(table))
+        self._define()
+        self._append(kept["keys"].repartition(buckets, "bucket"), "keys")
+        self._append(kept["sets"].repartition(buckets, "id"), "sets")
+        self._commit()
+        for table, place in zip(kept, old):
+            self.spark.sql(f"drop table if exists {names}_{table}")
+            delete_path(self.spark, place)
+
+    def _weights(self, rows: DataFrame) -> list[tuple[int, float]]:
+        """Word weights: those of the first batch's texts, for good, so that keys of different batches agree."""
+        place = f"{self.path}/weights"
+        if not self.state["batches"]:
+            worded = rows.where("h1 is not null")
+            weights = word_weights(worded, "words", worded.count(), self.how)
+            table = self.spark.createDataFrame([(w - 2**64 if w >= 2**63 else w, v) for w, v in weights], "word bigint, weight double")
+            table.coalesce(1).write.mode("overwrite").parquet(place)
+            return weights
+        return sorted((r["word"] % 2**64, r["weight"]) for r in self.spark.read.schema("word bigint, weight double").parquet(place).collect())
+
+    def _banded(self, sets: DataFrame, weights: list[tuple[int, float]]) -> DataFrame:
+        """Sets (id, h1, h2, words) with their parity, size and band keys."""
+        context = ship_package(self.spark).sparkContext
+        how, table = self.how, context.broadcast((np.array([w for w, _ in weights], dtype=np.uint64), np.array([c for _, c in weights])))  # see word_weights
+
+        def run(batches):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                owner, flat, n = unpacked(batch, 3)
+                keys = band_keys(signatures(owner, flat, n, *table.value, how), how).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, how.bands, dtype=np.int32)), pa.array(keys.ravel()))
+                size = pa.array(np.bincount(owner, minlength=n).astype(np.int32))
+                columns = [*(batch.column(i) for i in range(4)), pa.array(parities(owner, flat, n).view(np.int64)), size, lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "h1", "h2", "words", "mark", "size", "keys"])
+
+        columns = "id bigint, h1 bigint, h2 bigint, words array<bigint>, mark bigint, size int, keys array<bigint>"
+        return sets.select("id", "h1", "h2", "words").mapInArrow(run, columns)
 
     def _verified(self, candidates: DataFrame, sets: DataFrame) -> DataFrame:
         """(id) of the batch's sets with a candidate (id, kept) that shares enough words."""
         kept = self._kept("sets").select(F.col("id").alias("kept"), F.col("words").alias("kept_words"))
-        both = candidates.join(sets, "id").join(kept, "kept")
+        both = candidates.join(sets.select("id", "words"), "id").join(kept, "kept")
         common = F.size(F.array_intersect("words", "kept_words"))
         enough = common * self.of >= (F.size("words") + F.size("kept_words") - common) * self.shared
         return both.where(enough).select("id").distinct()
 
-    def _near(self, sets: DataFrame, stage: DataFrame, batch: str) -> DataFrame:
-        """(id) of the sets that are near-duplicates of an accepted one; stage: (bucket, id) of the batch.
+    def _near(self, sets: DataFrame, batch: str) -> DataFrame:
+        """(id) of the batch's sets that are near-duplicates of an accepted one.
 
-        Crowded buckets are asked for their first text, and only what that leaves open meets
-        all their texts. Many near-copies are thus settled by one, and none is cut off.
+        In a crowded bucket the first texts are met before all others, and only what they leave
+        open meets the rest, in a join that splits crowded buckets. So many near-copies are
+        settled by a few, and none is cut off.
         """
-        kept = self._kept("bands").withColumnRenamed("id", "kept")
-        if not self.crowded:
-            return self._verified(stage.join(kept, "bucket").select("id", "kept").distinct(), sets)
-        hubs = self.spark.read.parquet(self.scratch.path("crowded"))
-        found = self.scratch.save(self._verified(stage.join(hubs, "bucket").select("id", "kept").distinct(), sets), f"{batch}-first")
-        open_ = stage.join(found, "id", "left_anti")
-        return found.union(self._verified(open_.join(kept, "bucket").select("id", "kept").distinct(), sets))
+        stage = sets.select("id", "mark", "size", F.explode("keys").alias("bucket"))
+        kept = F.col("k.size") > 0
+
+        def met(stage: DataFrame, keys: DataFrame) -> DataFrame:
+            reach = may_reach(F.col("s.mark"), F.col("s.size"), F.col("k.mark"), F.col("k.size"), self.shared, self.of)
+            both = stage.alias("s").join(keys.alias("k"), "bucket").where(kept & reach)
+            return both.select("s.id", F.col("k.id").alias("kept")).distinct()
+
+        found = self._verified(met(stage, self._kept("keys").where(F.col("rank") <= CROWDED)), sets)
+        if not self.state["crowded"]:
+            return found
+        found = self.scratch.save(found, f"{batch}-first")
+        rest = self.spark.read.schema(KEYS).parquet(self._place("keys")).where((F.col("batch") < self.state["batches"]) & (F.col("rank") > CROWDED))
+        return found.union(self._verified(met(stage.join(found, "id", "left_anti"), rest), sets))
 
     def take(self, items: DataFrame, key: str, texts: list[str], exact: list[Column]) -> DataFrame:
         """Probes a batch, appends what is new, and returns the (key) of the records already known.
@@ -83,52 +162,62 @@ class History:
         record that is repeated in the batch is known if any of its rows is. Records with a
         null key are ignored, texts without words match no text.
         """
-        number, self.batches = self.batches, self.batches + 1
-        batch, scratch = f"batch-{number}", self.scratch
+        number, scratch = self.state["batches"], self.scratch
+        batch = f"batch-{number}"
         h1, h2 = set_digest(F.col("words"))
-        rows = items.where(F.col(key).isNotNull()).withColumn("text", F.concat_ws(" ", *(F.coalesce(t, F.lit("")) for t in texts)))
-        rows = rows.withColumn("words", words_of(F.col("text"))).withColumns({"h1": h1, "h2": h2, "worded": F.size("words") > 0})
-        named = [*exact, F.when(F.col("worded"), F.concat(F.hex("h1"), F.hex("h2")))]
-        digests = F.array_compact(F.array(*(F.unhex(F.md5(F.concat(F.lit(f"{i}:"), k))) for i, k in enumerate(named))))
-        rows = scratch.save(rows.select(F.col(key).alias("record"), "words", digests.alias("digests"), "h1", "h2", "worded"), f"{batch}-rows")
-        keys = rows.select("record", F.explode("digests").alias("key"))
-        hits = rows.select("record").limit(0)
-        if number:
-            hits = scratch.save(keys.join(self._kept("exact"), "key", "left_semi").select("record").distinct(), f"{batch}-exact")
-        new = rows.join(hits, "record", "left_anti").where("worded")
-        sets = new.groupBy("h1", "h2").agg(F.first("words").alias("words"))
+        rows = items.where(F.col(key).isNotNull()).select(
+            F.col(key).alias("record"), words_of(F.concat_ws(" ", *(F.coalesce(t, F.lit("")) for t in texts))).alias("words"), F.array(*exact).alias("named")
+        )
+        worded = F.size("words") > 0
+        rows = rows.withColumns({"h1": F.when(worded, h1), "h2": F.when(worded, h2)})
+        digest = lambda i, k: F.when(k.isNotNull(), F.struct(F.xxhash64(F.lit(i), k).alias("bucket"), F.xxhash64(k, F.lit(i)).alias("mark")))
+        named = [digest(i, F.col("named")[i]) for i in range(len(exact))]
+        whole = F.when(worded, F.struct(F.col("h1").alias("bucket"), F.col("h2").alias("mark")))
+        rows = rows.withColumn("digests", F.array_compact(F.array(*named, whole))).drop("named")
+        rows = scratch.save(rows, f"{batch}-rows", **{"parquet.dictionary.page.size": str(16 << 20)})
+        sets = rows.where("h1 is not null").groupBy("h1", "h2").agg(F.first("words").alias("words"))
         unique = F.monotonically_increasing_id() + F.lit(number).cast("bigint") * (1 << 48)
-        sets = scratch.save(sets.select(unique.alias("id"), "words", "h1", "h2"), f"{batch}-sets")
-        if self.common is None:
-            self.common = common_words(sets, "words", sets.count(), self.how)
-        # The batch's keys lie in the same buckets as the history's: neither side moves again.
-        self._create(batch.replace("-", "_"), "bucket bigint, id bigint", "bucket")
-        self._append(bucket_rows(sets, "id", "words", self.common, self.how, local=False).select("bucket", F.col("a").alias("id")), batch.replace("-", "_"), "bucket")
-        stage = self._kept(batch.replace("-", "_"))
-        near = sets.select("id").limit(0)
+        sets = scratch.save(self._banded(sets.withColumn("id", unique), self._weights(rows)), f"{batch}-sets")
+        keys = rows.select("record", F.inline("digests"))
+        unique_keys = keys.select("bucket", "mark").distinct()  # a key of many records is asked for once
+        near, known = sets.select("id").limit(0), rows.select("record").limit(0)
         if number:
-            near = scratch.save(self._near(sets.select("id", "words"), stage, batch), f"{batch}-near")
-        near_sets = sets.join(near, "id", "left_semi").select("h1", "h2")
-        known = hits.union(new.join(near_sets, ["h1", "h2"], "left_semi").select("record")).distinct()
+            kept = self._kept("keys").where("size = 0").select("bucket", "mark")
+            hits = keys.join(unique_keys.join(kept, ["bucket", "mark"], "left_semi"), ["bucket", "mark"], "left_semi").select("record").distinct()
+            hits = scratch.save(hits, f"{batch}-exact")
+            open_ = rows.join(hits, "record", "left_anti").select("h1", "h2").distinct()
+            near = self._near(sets.join(open_, ["h1", "h2"], "left_semi"), batch)
+            near_rows = rows.select("record", "h1", "h2").join(sets.join(near, "id", "left_semi").select("h1", "h2"), ["h1", "h2"], "left_semi")
+            known = hits.union(near_rows.select("record")).distinct()
         known = scratch.save(known, f"{batch}-known")
-        self._append(keys.join(known, "record", "left_anti").select("key").distinct(), "exact", "key")
-        accepted = new.join(known, "record", "left_anti").select("h1", "h2").distinct()
-        accepted = scratch.save(sets.join(accepted, ["h1", "h2"], "left_semi").select("id", "words"), f"{batch}-accepted")
-        self._append(accepted, "sets", "id")
-        self._append(stage.join(near, "id", "left_anti") if number else stage, "bands", "bucket")
-        crowded = scratch.save(stage.groupBy("bucket").agg(F.min("id").alias("kept"), F.count("*").alias("n")).where(F.col("n") > CROWDED).select("bucket", "kept"), f"{batch}-crowded")
-        if not is_empty(crowded):
-            scratch.append(crowded, "crowded")
-            self.crowded = True
-        self._drop(batch.replace("-", "_"))
-        scratch.drop(*(f"{batch}-{t}" for t in ("rows", "exact", "sets", "first", "near", "accepted", "crowded")))
+        new = rows.join(known, "record", "left_anti")
+        accepted = sets.join(new.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").withColumn("batch", F.lit(number))
+        exact_keys = new.select(F.inline("digests")).distinct().select("bucket", "mark", F.lit(0).alias("size"), F.lit(-1).cast("bigint").alias("id"))
+        bands = accepted.select(F.explode("keys").alias("bucket"), "mark", "size", "id")
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
+        fresh = exact_keys.union(bands).repartition(self.state["buckets"], "bucket").withColumn("rank", rank).withColumn("batch", F.lit(number))
+        counted = Observation()  # counted while written, not in a pass of its own
+        self._append(fresh.observe(counted, F.count("*").alias("rows"), F.max("rank").alias("rank")), "keys")
+        self._append(accepted.repartition(self.state["buckets"], "id"), "sets")
+        got = counted.get
+        self._commit(batches=number + 1, crowded=self.state["crowded"] or (got["rank"] or 0) > CROWDED, keys=self.state["keys"] + got["rows"])
+        self._grow()
+        scratch.drop(*(f"{batch}-{t}" for t in ("rows", "exact", "sets", "first")))
         return known.select(F.col("record").alias(key))
 
 
-def known_items(items: DataFrame, batch: str, key: str, texts: list[str], exact: list[Column]) -> DataFrame:
-    """(batch, key) of the records known when their batch came; batches are taken in ascending order, null ones ignored."""
-    history = History(items.sparkSession)
+def known_items(items: DataFrame, batch: str, key: str, texts: list[str], exact: list[Column], path: str | None = None) -> DataFrame:
+    """(batch, key) of the records known when their batch came; batches are taken in ascending order, null ones ignored.
+
+    With a path the history stays there, and a later call goes on from it; without one it
+    lies in the shared folder until the session ends.
+    """
+    spark = items.sparkSession
+    scratch = Scratch(spark, "known")
+    history = History(spark, path or scratch.path("history"))
     batches = [r[0] for r in items.select(batch).distinct().where(F.col(batch).isNotNull()).orderBy(batch).collect()]  # one per delivery
     found = [history.take(items.where(F.col(batch) == b), key, texts, exact).select(F.lit(b).alias(batch), key) for b in batches]
     history.close()
+    if not path:
+        scratch.drop("history")
     return reduce(DataFrame.union, found) if found else items.select(batch, key).limit(0)
