@@ -9,8 +9,8 @@ from corvane.llm.capping import over_share
 from corvane.llm.encoding import count_tokens, encode, vocabulary_path
 from corvane.llm.groups import group_items
 from corvane.llm.history import known_items
-from corvane.llm.lookalikes import disputed_spellings, identical_looking, normalize, text_forms
-from corvane.llm.neardup import near_duplicate_pairs
+from corvane.llm.lookalikes import identical_looking, looking_members, normalize, spellings, text_forms
+from corvane.llm.neardup import near_duplicate_members, near_duplicate_pairs
 from corvane.llm.packing import pack
 from corvane.llm.pii import find_pii, known_names, redact
 from corvane.functions.pages import page_key
@@ -28,6 +28,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, sf_dir, "items").select("item_id", "title", "excerpt"))
 
 
+def p3_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every item the smallest id with its text, and with any text that near-duplicates link to it."""
+    return near_duplicate_members(table(spark, sf_dir, "items").select("item_id", "title", "excerpt"))
+
+
 def free_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(field_name, record_id, text) of the fields with personal information."""
     of = lambda name, field, key: table(spark, sf_dir, name).select(
@@ -104,15 +109,20 @@ def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that look the same and aren't the same characters."""
     documents, scratch = table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "lookalikes")
-    spellings = disputed_spellings(documents, "text")
-    return identical_looking(scratch.save(text_forms(documents, "doc_id", "text", 12, spellings), "forms"), "doc_id")
+    return identical_looking(scratch.save(text_forms(documents, "doc_id", "text", 12, spellings(documents, "text")), "forms"), "doc_id")
+
+
+def p10_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document of more than 12 characters the smallest id with its very text and with its look."""
+    documents, scratch = table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "lookalikes")
+    return looking_members(scratch.save(text_forms(documents, "doc_id", "text", 12, spellings(documents, "text")), "forms"), "doc_id")
 
 
 def p10_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text in its one form."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return normalize(documents, "doc_id", "text", disputed_spellings(documents, "text")).select("doc_id", "canonical")
+    return normalize(documents, "doc_id", "text", spellings(documents, "text")).select("doc_id", "canonical")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found, "p10_text": p10_text}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_members": p3_members, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found, "p10_members": p10_members, "p10_text": p10_text}
 ORACLE = {"p7_found": P7_SQL}

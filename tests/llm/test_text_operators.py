@@ -65,17 +65,37 @@ def test_forms():
     for a, b in OTHER:
         assert form(a) != form(b), (a, b)
     assert form("cop") == form("сор") == "сор" and form("рaper") == "paper" and form("") == ""
-    assert look.SpellingTrie({"paper": 2, "pager": 1}).reach("рaxer", 1) != [] and look.SpellingTrie({"paper": 2}).reach("pater") == []
+    assert look.SpellingTrie({"paper": 2}).reach("pater") == []
+
+
+def test_vocabulary_settles_what_no_table_can():
+    form = look.Normalizer((("paypal", 9), ("hello", 8), ("modern", 7), ("modem", 7), ("kilo", 5), ("Iran", 4))).text
+    assert [form(w) for w in ("paypa1", "he11o", "heIlo", "hеӏӏo", "mo\u200bdem", "ｈｅｌｌｏ", "m0dern")] == ["paypal", "hello", "hello", "hello", "modem", "hello", "modern"]
+    assert form("modern") != form("modem") and form("lran") == "lran" and form("2025") == "2025" and form("x1y0z1") == "x1y0z1"
+    bare = look.Normalizer(()).text  # without a vocabulary only the table is left
+    assert bare("paypa1") == "paypa1" and bare("heIlo") == "heIlo" and bare("hеӏӏo") == "hello"
+    both = look.Normalizer((("fall", 5), ("faIl", 5), ("tall", 3), ("taIl", 3))).text
+    assert both("fa11") == "fa11"  # two spellings that don't look the same: none is taken
+
+
+def test_automaton_costs():
+    trie = look.SpellingTrie({"paper": 2, "pager": 1, "cafés": 3})
+    assert trie.reach("раp\u200ber") == [(0, 2, "paper")] and trie.reach("cafe\u0301s") == [(0, 3, "cafés")] and trie.reach("cafes") == []
+    assert sorted(trie.reach("paxer", look.EDIT * 2))[0] == (look.EDIT * 2, 1, "pager") and trie.reach("paxer", look.BUDGET) == []
+    assert trie.reach("pape", look.EDIT) == [(look.EDIT, 2, "paper")]
 
 
 def test_identical_looking_pairs(spark):
     long = "A text of more than twelve characters"
     rows = [(1, long), (2, long.replace("o", "о")), (3, long), (4, "short"), (5, "ѕhort"), (6, None), (7, ""), (8, long + "!")] + [(100 + k, long.replace(" ", " ")) for k in range(90)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    forms = look.text_forms(df, "doc_id", "text", 12, look.disputed_spellings(df, "text"))
+    forms = look.text_forms(df, "doc_id", "text", 12, look.spellings(df, "text"))
     found = {tuple(r) for r in look.identical_looking(forms, "doc_id").collect()}
     copies = range(100, 190)
     assert {(1, 2), (2, 3)} <= found and {(k, c) for k in (1, 2, 3) for c in copies} <= found and len(found) == 2 + 270
+    every = {tuple(r) for r in look.identical_looking(forms, "doc_id", copies=None).collect()}
+    members = {r["doc_id"]: (r["text_key"], r["look_key"]) for r in look.looking_members(forms, "doc_id").collect()}
+    assert every == {(a, b) for a in members for b in members if a < b and members[a][1] == members[b][1] and members[a][0] != members[b][0]}
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert look.identical_looking(look.text_forms(empty, "doc_id", "text", 12, ()), "doc_id").count() == 0
 
