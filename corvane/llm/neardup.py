@@ -97,15 +97,36 @@ def band_keys(signature: np.ndarray, how: Signature) -> np.ndarray:
     return (keys & ~np.uint64((1 << 24) - 1)) | (further >> np.uint64(40))
 
 
-def parities(owner: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
-    """64 bits a set: bit i tells whether an odd number of its words fall on i.
+#: Bits of a mark below its parities: the size of the set; sizes from MOST on aren't told apart.
+MOST = (1 << 20) - 1
 
-    Two sets' parities differ in at most as many bits as the sets in words, so a bound on
-    differing words can be tested on them without losing any pair.
+
+def parities(owner: np.ndarray, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers a set, of 64 and 44 parities, the second with the set's size in its low 20 bits.
+
+    Parity i tells whether an odd number of the set's words fall on i. Two sets differ in at
+    most as many parities as in words, so a bound on differing words can be tested on them
+    without losing any pair.
     """
-    bit = np.uint64(1) << (_mix(words + np.uint64(1)) & np.uint64(63))
-    start = np.searchsorted(owner, np.arange(n))
-    return np.bitwise_xor.reduceat(bit, start)
+    at, start = _mix(words + np.uint64(2)) % np.uint64(108), np.searchsorted(owner, np.arange(n))
+    low, bit = at < np.uint64(64), np.uint64(1) << (at & np.uint64(63))
+    size = np.minimum(np.bincount(owner, minlength=n), MOST).astype(np.uint64)
+    second = np.bitwise_xor.reduceat(np.where(low, np.uint64(0), bit), start) << np.uint64(20)
+    return np.bitwise_xor.reduceat(np.where(low, bit, np.uint64(0)), start), second | size
+
+
+def marks(owner: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
+    """One number a set, of 44 parities and the size."""
+    start, size = np.searchsorted(owner, np.arange(n)), np.minimum(np.bincount(owner, minlength=n), MOST).astype(np.uint64)
+    return np.bitwise_xor.reduceat(np.uint64(1) << (_mix(words + np.uint64(2)) % np.uint64(44) + np.uint64(20)), start) | size
+
+
+def may_reach(mark_a: Column, mark_b: Column, shared: int, of: int) -> Column:
+    """False only for sets that can't have shared/of of all their words in common: columns of marks."""
+    size_a, size_b = mark_a.bitwiseAND(F.lit(MOST)), mark_b.bitwiseAND(F.lit(MOST))
+    differ = F.bit_count(F.shiftrightunsigned(mark_a.bitwiseXOR(mark_b), 20))
+    alike = (differ * (of + shared) <= (size_a + size_b) * (of - shared)) & (F.least(size_a, size_b) * of >= F.greatest(size_a, size_b) * shared)
+    return alike | (F.greatest(size_a, size_b) == MOST)
 
 
 def words_of(text: Column) -> Column:
@@ -136,14 +157,17 @@ def unpacked(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray, in
     return np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())), flat, batch.num_rows
 
 
-def may_reach(parity_a, size_a, parity_b, size_b, shared: int, of: int):
-    """False only for sets that can't have shared/of of all their words in common: columns of parities and sizes."""
-    alike = F.bit_count(parity_a.bitwiseXOR(parity_b)) * (of + shared) <= (size_a + size_b) * (of - shared)
-    return alike & (F.least(size_a, size_b) * of >= F.greatest(size_a, size_b) * shared)
+def _may_reach(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], shared: int, of: int) -> np.ndarray:
+    """may_reach for arrays of parities."""
+    low = np.uint64(MOST)
+    size_x, size_y = ((v[1] & low).astype(np.int64) for v in (x, y))
+    differ = np.bitwise_count(x[0] ^ y[0]).astype(np.int64) + np.bitwise_count((x[1] ^ y[1]) >> np.uint64(20))
+    alike = (differ * (of + shared) <= (size_x + size_y) * (of - shared)) & (np.minimum(size_x, size_y) * of >= np.maximum(size_x, size_y) * shared)
+    return alike | (np.maximum(size_x, size_y) == MOST)
 
 
 def bucket_rows(sets: DataFrame, key: str, words: str, weights: list[tuple[int, float]], shared: int, of: int, how: Signature) -> DataFrame:
-    """(bucket, a, b, parity): a set in a bucket, b minus its size; or an edge from a to b found within an Arrow batch.
+    """(bucket, a, first, second): a set in a bucket with its parities; or an edge from a to `first` found within an Arrow batch, second 0.
 
     Of the members of a bucket that meet in a batch, those whose parities are close to the
     hub's are linked to it and to each other here and stay out of the bucket, so a group
@@ -159,46 +183,57 @@ def bucket_rows(sets: DataFrame, key: str, words: str, weights: list[tuple[int,
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             owner, flat, n = unpacked(batch, 1)
             bucket = band_keys(signatures(owner, flat, n, *table.value, how), how).ravel()
-            sizes, parity, row = np.bincount(owner, minlength=n), parities(owner, flat, n), np.repeat(np.arange(n), how.bands)
-            order = np.lexsort((_mix(ids[row].view(np.uint64) ^ bucket), bucket))
+            sizes, (low, high), row = np.bincount(owner, minlength=n), parities(owner, flat, n), np.repeat(np.arange(n), how.bands)
+            order = np.argsort(bucket)
             bucket, row = bucket[order], row[order]
             first = np.flatnonzero(np.r_[True, (bucket[1:] ^ bucket[:-1]) >> np.uint64(24) != 0])
-            hub = np.repeat(row[first], np.diff(np.r_[first, len(bucket)]))
+            group = np.diff(np.r_[first, len(bucket)])
+            hub = np.repeat(row[first], group)
             # Half the words that may differ, so that who stays out is near to the hub for sure.
-            differ = np.bitwise_count(parity[row] ^ parity[hub]).astype(np.int64)
+            differ = np.bitwise_count(low[row] ^ low[hub]).astype(np.int64) + np.bitwise_count((high[row] ^ high[hub]) >> np.uint64(20))
             close = (differ * 2 * (of + shared) <= (sizes[row] + sizes[hub]) * (of - shared)) & (hub != row)
-            many = np.repeat(np.diff(np.r_[first, len(bucket)]) > 2, np.diff(np.r_[first, len(bucket)]))
             near = np.flatnonzero(close)
-            before = near[(near > 0) & close[near - 1] & (hub[near] == hub[near - 1]) & many[near]]
-            before = before[row[before] != row[before - 1]]
+            before = near[close[near - 1] & (hub[near] == hub[near - 1])]
             stay = np.flatnonzero(~close)
             a = np.r_[ids[row[stay]], ids[hub[near]], ids[row[before - 1]]]
-            b = np.r_[-sizes[row[stay]], ids[row[near]], ids[row[before]]]
-            spread = _mix(np.r_[ids[row[near]], ids[row[before]]].view(np.uint64))
-            place = np.r_[bucket[stay], spread].view(np.int64)  # edges need no bucket any more
-            columns = [place, a, b, np.r_[parity[row[stay]], np.zeros(len(near) + len(before), dtype=np.uint64)].view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "a", "b", "parity"])
+            b = np.r_[ids[row[near]], ids[row[before]]].view(np.uint64)
+            place = np.r_[bucket[stay], _mix(b)]  # edges need no bucket any more
+            columns = [place, a.view(np.uint64), np.r_[low[row[stay]], b], np.r_[high[row[stay]], np.zeros(len(b), dtype=np.uint64)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["bucket", "a", "first", "second"])
 
-    return sets.select(key, words).mapInArrow(run, "bucket bigint, a bigint, b bigint, parity bigint")
+    return sets.select(key, words).mapInArrow(run, "bucket bigint, a bigint, first bigint, second bigint")
 
 
 def star_edges(buckets: DataFrame, shared: int, of: int) -> DataFrame:
     """Distinct (a, b), a < b, from the rows of bucket_rows: a member with its hub and with the one before it in the bucket's order.
 
-    Pairs whose parities rule them out are left out.
+    Pairs whose parities rule them out are left out. A bucket streams through one task in
+    sorted order; only its hub and the last member are kept in mind.
     """
-    member = F.col("b") < 0
-    place = F.when(member, F.shiftrightunsigned("bucket", 24)).otherwise(-1 - F.shiftrightunsigned("bucket", 24))
-    order = Window.partitionBy("place").orderBy("bucket", "a")
-    rows = buckets.withColumn("place", place)
-    one = F.struct("a", "b", "parity")
-    rows = rows.withColumns({"hub": F.when(member, F.first(one).over(order)), "last": F.when(member, F.lag(one).over(order))})
-    meets = lambda other: (other["a"] != F.col("a")) & may_reach(F.col("parity"), -F.col("b"), other["parity"], -other["b"], shared, of)
-    edge = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    found = F.when(~member, F.array(edge(F.col("a"), F.col("b")))).otherwise(
-        F.array(*(F.when(meets(F.col(c)), edge(F.col("a"), F.col(c)["a"])) for c in ("hub", "last")))
-    )
-    return rows.select(F.inline(F.array_compact(found))).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.zeros((4, 0), dtype=np.int64)  # the hub and the last member of the bucket under way
+        for batch in batches:
+            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+            edge = rows[3] == 0
+            found, rows = [rows[1:3, edge]], rows[:, ~edge]
+            if rows.shape[1]:
+                skip, rows = kept.shape[1], np.concatenate([kept, rows], axis=1)
+                place = rows[0] >> 24
+                first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+                hub = np.repeat(first, np.diff(np.r_[first, len(place)]))
+                marks = rows[2].view(np.uint64), rows[3].view(np.uint64)
+                at = np.arange(skip, len(place))
+                for other in (hub[at], np.maximum(at - 1, hub[at])):
+                    near = _may_reach(tuple(m[at] for m in marks), tuple(m[other] for m in marks), shared, of) & (rows[1, at] != rows[1, other])
+                    found.append(np.stack([rows[1, at[near]], rows[1, other[near]]]))
+                kept = rows[:, [hub[-1], len(place) - 1]]
+            a, b = np.concatenate(found, axis=1)
+            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+
+    by_place = buckets.repartition(F.shiftright("bucket", 24)).sortWithinPartitions("bucket", "a")
+    return by_place.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def verified(edges: DataFrame, sets: DataFrame, shared: int, of: int) -> DataFrame:
