@@ -12,7 +12,7 @@ from corvane.llm.history import known_items
 from corvane.llm.lookalikes import identical_looking, looking_members, normalize, spellings, text_forms
 from corvane.llm.neardup import near_duplicate_members, near_duplicate_pairs
 from corvane.llm.packing import pack
-from corvane.llm.pii import find_pii, known_names, redact
+from corvane.llm.pii import find_pii, known_names, ordinary_words, redact
 from corvane.functions.pages import page_key
 from corvane.operators.latest import latest
 from corvane.runtime import Scratch, table
@@ -43,12 +43,14 @@ def free_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every occurrence of personal information."""
-    return find_pii(free_texts(spark, sf_dir), known_names(table(spark, sf_dir, "person_names")))
+    texts = free_texts(spark, sf_dir)
+    return find_pii(texts, known_names(table(spark, sf_dir, "person_names")), ordinary_words(texts))
 
 
 def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct texts with placeholders for what p4_found finds."""
-    return redact(free_texts(spark, sf_dir).distinct(), known_names(table(spark, sf_dir, "person_names")))
+    texts = free_texts(spark, sf_dir)
+    return redact(texts.distinct(), known_names(table(spark, sf_dir, "person_names")), ordinary_words(texts))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
