@@ -14,6 +14,7 @@ import functools
 import hashlib
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -191,15 +192,23 @@ def normalizer(spellings: tuple[tuple[str, int], ...]) -> Normalizer:
 
 
 def spellings(documents: DataFrame, text: str, size: int = VOCABULARY) -> tuple[tuple[str, int], ...]:
-    """(word, count): the commonest words, counted over all texts; at most `size` come to the driver.
+    """(word, count): the commonest words met more than once, counted over all texts; at most `size` come to the driver.
 
     Words written with ignorables, wide forms, ligatures, loose accents or letters of two
     scripts are disguises and no spellings; nor are numbers.
     """
-    words = documents.select(F.explode(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}\p{M}]+"), F.lit(0))).alias("word"))
-    odd = r"[\p{M}\x{ff00}-\x{ffef}\x{fb00}-\x{fb06}\x{212a}\x{212b}\x{0261}\x{01c0}]|^\P{L}+$"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # counted within a batch before anything is shuffled
+            counts = Counter()
+            for value in batch.column(0):
+                counts.update(_WORD.findall(value.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "count"])
+
+    words = documents.select(text).where(F.col(text).isNotNull()).mapInArrow(run, "word string, count bigint")
+    odd = r"[\p{M}\p{Cf}\x{ff00}-\x{ffef}\x{fb00}-\x{fb06}\x{212a}\x{212b}\x{0261}\x{01c0}]|^\P{L}+$"
     mixed = r"\p{IsLatin}.*[\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}]|[\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}].*\p{IsLatin}"
-    counts = words.groupBy("word").count().where(~F.col("word").rlike(odd) & ~F.col("word").rlike(mixed))
+    counts = words.groupBy("word").agg(F.sum("count").alias("count")).where("count > 1").where(~F.col("word").rlike(odd) & ~F.col("word").rlike(mixed))
     top = counts.orderBy(F.desc("count"), "word").limit(size).collect()
     return tuple((row["word"], row["count"]) for row in top)
 
