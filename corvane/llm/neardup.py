@@ -115,24 +115,21 @@ def parities(owner: np.ndarray, words: np.ndarray, n: int) -> tuple[np.ndarray,
     return np.bitwise_xor.reduceat(np.where(low, bit, np.uint64(0)), start), second | size
 
 
-def marks(owner: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
-    """One number a set, of 44 parities and the size."""
-    start, size = np.searchsorted(owner, np.arange(n)), np.minimum(np.bincount(owner, minlength=n), MOST).astype(np.uint64)
-    return np.bitwise_xor.reduceat(np.uint64(1) << (_mix(words + np.uint64(2)) % np.uint64(44) + np.uint64(20)), start) | size
+def mark_of(owner: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
+    """64 parities a set, in one number."""
+    return np.bitwise_xor.reduceat(np.uint64(1) << (_mix(words + np.uint64(2)) & np.uint64(63)), np.searchsorted(owner, np.arange(n)))
 
 
-def may_reach(mark_a: Column, mark_b: Column, shared: int, of: int) -> Column:
-    """False only for sets that can't have shared/of of all their words in common: columns of marks."""
-    size_a, size_b = mark_a.bitwiseAND(F.lit(MOST)), mark_b.bitwiseAND(F.lit(MOST))
-    differ = F.bit_count(F.shiftrightunsigned(mark_a.bitwiseXOR(mark_b), 20))
-    alike = (differ * (of + shared) <= (size_a + size_b) * (of - shared)) & (F.least(size_a, size_b) * of >= F.greatest(size_a, size_b) * shared)
-    return alike | (F.greatest(size_a, size_b) == MOST)
+def may_reach(mark_a: Column, size_a: Column, mark_b: Column, size_b: Column, shared: int, of: int) -> Column:
+    """False only for sets that can't have shared/of of all their words in common: columns of mark_of and sizes."""
+    alike = F.bit_count(mark_a.bitwiseXOR(mark_b)) * (of + shared) <= (size_a + size_b) * (of - shared)
+    return alike & (F.least(size_a, size_b) * of >= F.greatest(size_a, size_b) * shared)
 
 
 def words_of(text: Column) -> Column:
     """The distinct words of a text as sorted 64-bit hashes: lower-cased maximal runs of letters and digits."""
     found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda w: F.xxhash64(w))))
+    return F.sort_array(F.array_distinct(F.transform(found, lambda w: F.xxhash64(w))))  # compiled, as array_sort is not
 
 
 def set_digest(words: Column) -> tuple[Column, Column]:

@@ -3,8 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm.history import known_items
-from corvane.llm.neardup import near_duplicate_pairs
+from corvane.llm.history import History, known_items
+from corvane.llm.neardup import near_duplicate_members, near_duplicate_pairs, neighbours_met
 
 WORDS = [f"w{k}" for k in range(4000)]
 
@@ -43,6 +43,35 @@ def test_many_copies_cost_in_proportion(spark):
     assert len(found) == 399 + 400
 
 
+def test_all_copies_by_membership_or_exactly(spark):
+    rows = [(f"c{k:02}", "one two three four five six", "") for k in range(70)] + [("x", "one two three four five six seven", ""), ("y", "alone", ""), (None, "alone", ""), ("z", None, None)]
+    df = spark.createDataFrame(rows, "item_id string, title string, excerpt string")
+    assert near_duplicate_pairs(df, copies=None).count() == 71 * 70 // 2
+    assert sorted(tuple(r) for r in near_duplicate_members(df).collect()) == [(f"c{k:02}", "c00", "c00") for k in range(70)] + [("x", "x", "c00"), ("y", "y", "y")]
+
+
+@pytest.mark.parametrize(("vocabulary", "length"), [(400, 15), (3000, 40)])
+def test_common_words_keep_their_links(spark, vocabulary, length):
+    rng, words_ = random.Random(3), [f"w{k}" for k in range(vocabulary)]
+    rows = [rng.sample(words_, length) for _ in range(9000)]
+    for k in range(500):
+        edited = list(rows[k])
+        for _ in range(rng.randint(1, 3)):
+            edited[rng.randrange(length)] = rng.choice(words_)
+        rows.append(edited)
+    df = spark.createDataFrame([(f"i{k:05}", " ".join(r), "") for k, r in enumerate(rows)], "item_id string, title string, excerpt string").repartition(4)
+    planted = {(f"i{k:05}", f"i{9000 + k:05}") for k in range(500) if alike(set(rows[k]), set(rows[9000 + k]))}
+    found = {tuple(r) for r in near_duplicate_pairs(df).collect()}
+    assert len(planted & found) >= 0.99 * len(planted) > 300
+
+
+def test_neighbours_meet_in_blocks(spark):
+    links = spark.createDataFrame([(0, k) for k in range(1, 40)] + [(5, 99)], "a bigint, b bigint")
+    expected = {(x, y) for x in range(1, 40) for y in range(x + 1, 40)} | {(0, 99)}
+    for block in (7, 256):
+        assert {tuple(r) for r in neighbours_met(links, links, block).collect()} == expected
+
+
 def test_different_texts_of_one_word_set_all_pair(spark):
     turned = [(f"b{k:02}", "six five four three two one", "") for k in range(2)] + [("c00", "Two one three, four five six!", "")]
     rows = [(f"a{k:02}", "one two three four five six", "") for k in range(70)] + turned
@@ -76,3 +105,42 @@ def test_history_equals_replay(spark, crowd):
         expected |= {(day, i) for i in known}
         kept += [r for i, own in batch.items() if i not in known for r in own]
     assert found - expected == set() and len(found) >= 0.95 * len(expected) and len(expected) > 0
+
+
+def test_history_goes_on_in_a_new_session(spark, tmp_path):
+    exact = [F.col("item_id")]
+    day = lambda rows: spark.createDataFrame(rows, "item_id string, title string, excerpt string")
+    base = " ".join(WORDS[:20])
+    first = History(spark, f"file://{tmp_path}/kept")
+    assert first.take(day([("a", base, ""), ("b", base + " more", ""), ("c", "", None)]), "item_id", ["title", "excerpt"], exact).count() == 0
+    first.close()
+    again = History(spark, f"file://{tmp_path}/kept", shared=1, of=10)  # the folder's parameters hold
+    assert again.state["batches"] == 1 and (again.shared, again.of) == (3, 5)
+    rows = [("c", "redelivered text of its own", ""), ("d", base + " added words", ""), ("e", " ".join(WORDS[100:120]), ""), ("e", base, ""), ("f", "redelivered text of its own", "")]
+    assert {r[0] for r in again.take(day(rows), "item_id", ["title", "excerpt"], exact).collect()} == {"c", "d", "e"}
+    broken = again
+    broken._append(again._spread(spark.createDataFrame([(1, 2)], "bucket bigint, mark bigint"), "exact"), "exact")  # a batch breaks off
+    broken._commit(begun=3)
+    again.close()
+    third = History(spark, f"file://{tmp_path}/kept")
+    found = third.take(day([("g", " ".join(WORDS[100:120]), ""), ("f", "x", ""), ("h", " ".join(WORDS[:19]), "")]), "item_id", ["title", "excerpt"], exact)
+    assert {r[0] for r in found.collect()} == {"f", "h"} and third.state["generation"] == 1  # e was known: its text wasn't accepted
+    third.close()
+
+
+def test_history_grows_and_splits_crowded_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("corvane.llm.history.ROWS_PER_BUCKET", 100)
+    monkeypatch.setattr("corvane.llm.history.CROWDED", 4)
+    same = " ".join(WORDS[:30])
+    rows = [("1", f"n{k:02}", f"{same} own{k}", "") for k in range(40)] + [("2", f"m{k:02}", f"{same} new{k}", "") for k in range(5)] + [("2", "z", " ".join(WORDS[40:80]), "")]
+    df = spark.createDataFrame(rows, "day string, item_id string, title string, excerpt string")
+    found = known_items(df, "day", "item_id", ["title", "excerpt"], [F.col("item_id")], f"file://{tmp_path}/kept")
+    assert {tuple(r) for r in found.collect()} == {("2", f"m{k:02}") for k in range(5)}
+    kept = History(spark, f"file://{tmp_path}/kept")
+    assert kept.state["buckets"] > 8 and kept.state["crowded"] and kept.state["generation"] > 0
+    kept.close()
+
+
+def test_history_of_nothing(spark):
+    df = spark.createDataFrame([], "day string, item_id string, title string, excerpt string")
+    assert known_items(df, "day", "item_id", ["title", "excerpt"], [F.col("item_id")]).count() == 0
