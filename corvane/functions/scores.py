@@ -40,7 +40,19 @@ def velocity(comments: Column, hours: Column) -> Column:
 def pulse_score(percentile: Column, speed: Column, depth: Column, repetition: Column, novelty: Column) -> Column:
     """Weighted pulse: percentile .30, velocity .25, depth .20, repetition .15, novelty .10, each on 0 to 100."""
     capped = lambda c: F.least(c, F.lit(100.0))
-    return 0.30 * percentile + 0.25 * capped(speed * 10) + 0.20 * capped(depth * 10) + 0.15 * capped(repetition * 25) + 0.10 * novelty * 100
+    return F.least(F.lit(100.0), 0.30 * percentile + 0.25 * capped(speed * 10) + 0.20 * capped(depth * 10) + 0.15 * repetition * 100 + 0.10 * novelty * 100)
+
+
+def age_hours(published: Column, observed_day: Column, form: str) -> Column:
+    """Hours from a time of this form to the end of a day, at least one; 24 for a time of another form."""
+    end = F.unix_timestamp(F.to_timestamp(F.concat(observed_day, F.lit("T23:59:59Z"))))
+    hours = (end - F.when(published.rlike(form), published).try_cast("timestamp").cast("double")) / 3600
+    return F.when(hours.isNull(), 24.0).otherwise(F.greatest(F.lit(1.0), hours))
+
+
+def gap_available(voices: int, mainstream: int, least: int = 100, share: float = 0.2) -> bool:
+    """Whether a collection has enough mainstream items beside its voices to measure a gap."""
+    return voices > 0 and mainstream >= max(least, share * voices)
 
 
 def perspective_gap(pulse: Column, coverage: Column) -> Column:
@@ -57,13 +69,34 @@ def coverage_score(clusters: Column) -> Column:
     return F.when(clusters <= 0, 0).when(clusters == 1, 25).when(clusters == 2, 55).when(clusters == 3, 75).when(clusters == 4, 90).otherwise(100)
 
 
-def direction(count: Column, before: Column, gap_days: Column) -> Column:
-    """new, resurfacing, growing, fading or stable against the count before."""
+def direction(first_seen: Column, today: Column, items: Column, sources: Column, items_before: Column, sources_before: Column, gap_days: Column) -> Column:
+    """resurfacing after two weeks, new on the first day, growing by 30 % in items or sources, fading by 30 % in both, else stable."""
+    growth = lambda now, before: F.when(before > 0, (now - before) / before).otherwise(F.when(now > 0, 1.0).otherwise(0.0))
+    known = items_before.isNotNull() & sources_before.isNotNull()
+    more, wider = growth(items, items_before), growth(sources, sources_before)
+    return (
+        F.when(gap_days >= 14, "resurfacing")
+        .when(first_seen == today, "new")
+        .when(known & ((more >= 0.3) | (wider >= 0.3)), "growing")
+        .when(known & (more <= -0.3) & (wider <= -0.3), "fading")
+        .otherwise("stable")
+    )
+
+
+def theme_direction(count: Column, before: Column) -> Column:
+    """new, growing, fading or stable against the count before, by 30 %."""
+    return F.when(before.isNull(), "new").when(count > before * 1.3, "growing").when(count < before * 0.7, "fading").otherwise("stable")
+
+
+def lifecycle(ready: Column, count: Column, before: Column, gap_days: Column) -> Column:
+    """Of a trend against its last release: insufficient_history, new, resurfacing, growing, fading or stable."""
+    ratio = F.greatest(count, F.lit(1)) / F.greatest(F.coalesce(before, F.lit(0)), F.lit(1))
     return (
-        F.when(before.isNull(), "new")
-        .when(gap_days >= 14, "resurfacing")
-        .when(count > before * 1.3, "growing")
-        .when(count < before * 0.7, "fading")
+        F.when(~ready, "insufficient_history")
+        .when(before.isNull(), "new")
+        .when((gap_days >= 7) & (count >= 2), "resurfacing")
+        .when(ratio >= 1.5, "growing")
+        .when((ratio < 0.75) & (gap_days >= 2), "fading")
         .otherwise("stable")
     )
 

@@ -9,16 +9,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-# Words that carry no topic.
-STOPWORDS = (
-    "the a an and or but of in on at to for from by with without into over after before as is are was were be been it its this that these those "
-    "he she they we you i his her their our your my will would can could should may might not no than then there here how what when where which who why "
-    "new says said say about more most up down out off has have had do does did just also only now get gets got"
+# English and Russian words that carry no topic.
+STOPWORDS_EN = (
+    "the a an and or but in on at to for of with by from is are was were be been being have has had do does did will would could should may might must can "
+    "this that these those i you he she it we they what which who whom when where why how not no nor as if then than too very just about above after again "
+    "all also am any because before between both each few more most other some such only own same so into over under until up out off down here there once during while its"
 )
+STOPWORDS_RU = (
+    "и в во не что он на я с со как а то все она так его но да ты к у же вы за бы по ее мне было вот от меня еще нет о из ему теперь когда даже ну вдруг ли если уже или ни быть "
+    "был него до вас нибудь опять уж вам ведь там потом себя ничего ей может они тут где есть надо ней для мы тебя их чем была сам чтоб без будто чего раз тоже себе под будет "
+    "тогда кто этот того потому этого какой ним этом мой тем чтобы нее были куда зачем всех можно при об этой перед иногда лучше чуть том нельзя такой им более всегда конечно всю между"
+)
+STOPWORDS = f"{STOPWORDS_EN} {STOPWORDS_RU}"
 # Publisher names that end a title.
-PUBLISHERS = "the new york times|new york times|nyt|the washington post|washington post|wapo|the verge|verge|bbc|the guardian|guardian|reuters|financial times|ft|techcrunch|ars technica|wired|usa today|fox business|american banker|medium|time|vanity fair|the new yorker|new yorker|fox news"
-# Capitalised names, numbers with units, amounts of money, acronyms.
-ENTITY = r"\b[A-Z][a-z]+(?:[A-Z][a-z]+)*|\b\d+(?:\.\d+)?(?:%|bn|mn|m|b|k)?|\$[\d,.]+(?:bn|mn|m|b)?|\b[A-Z]{2,}\b"
+PUBLISHERS = "the new york times|new york times|nyt|the washington post|washington post|wapo|the verge|verge|bbc|the guardian|guardian|reuters|financial times|ft|techcrunch|tech crunch|ars technica|wired|usa today|fox business|american banker|medium|time|vanity fair|the new yorker|new yorker|fox news"
+# Beginnings of titles that say nothing of their own.
+GENERIC_TITLES = ["opinion", "analysis", "live", "live updates", "latest news", "top stories", "morning briefing", "newsletter", "sign up", "methodology", "tech life", "tech now", "podcast", "breaking", "breaking news", "updated", "update", "exclusive"]
+# Patterns of titles of listings, threads and newsletters.
+LOW_SIGNAL = [
+    r"^sign\s+up", r"^subscribe", r"^newsletter", r"\bmethodology\b", r"\bbest\s+(?:private\s+)?companies\s+\d{4}\b", r"^tech\s+life$", r"^tech\s+now$", r"^morning\s+briefing",
+    r"\b(?:daily|weekly|monthly)\s+(?:[\w'-]+\s+){0,3}(?:questions?|thread|discussion)\b", r"^moronic\s+monday\b", r"^who's\s+hiring\b", r"^who\s+is\s+hiring\b", r"\bhiring\s+thread\b", r"\bopen\s+thread\b",
+    r"^podcast", r"^live\s+updates?$", r"^latest\s+news$", r"^top\s+stories$", r"^top\b.*\bnews\b.*\btrends\b", r"^breaking\s+news?$",
+]
+# Fixed value: capitalised names, numbers with units, amounts of money, acronyms.
+ENTITY = r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)*|\b\d+(?:\.\d+)?(?:%|bn|mn|m|b|k)?\b|\$[\d,.]+(?:bn|mn|m|b)?\b|\b[A-Z]{2,}\b)"
+# Entities that anchor nothing, and anchors that verify no story.
+GENERIC_ENTITIES = "ai ceo cfo gop uk u.s u.s. us usa"
+GENERIC_ANCHORS = ["ai", "agent", "agents", "open source", "startup", "tool", "model", "llm", "company", "app", "platform"]
 
 
 def _composed(title: Column) -> Column:
@@ -30,14 +47,29 @@ def _composed(title: Column) -> Column:
 
 
 def normalized_title(title: Column) -> Column:
-    """Lower case, without a publisher's suffix, addresses, punctuation, stopwords and words under three letters (but ai)."""
-    text = F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"https?://\S+", " ")
-    text = F.regexp_replace(text, rf"\s*[-|–—:]\s*(?:{PUBLISHERS})\s*$", "")
-    words = F.split(F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " ")
+    """Lower case, without a publisher's suffix, what follows a bar, addresses, punctuation, stopwords and words under three letters (but ai).
+
+    Before a bar stands the title, unless that part is a generic beginning. A null title is empty.
+    """
+    text = F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), rf"(?:[\s\-–—|]\s*(?:{PUBLISHERS})\s*)+$", "")
+    left, right = (F.trim(F.get(F.split(text, r"\|"), F.lit(k))) for k in (0, 1))
+    text = F.when(left.isin(GENERIC_TITLES) & (right != ""), right).when(text.contains("|") & (left != ""), left).otherwise(text)
+    text = F.regexp_replace(text, r"https?://\S+", "")
+    words = F.split(F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}_]+", " ")), " ")
     kept = F.filter(words, lambda w: ((F.char_length(w) >= 3) | (w == "ai")) & ~w.isin(STOPWORDS.split()))
     return F.array_join(kept, " ")
 
 
+def is_generic(normalized: Column) -> Column:
+    """A normalised title that is too general to be matched: a generic beginning or under three words."""
+    return normalized.isin(GENERIC_TITLES) | (F.size(F.filter(F.split(normalized, " "), lambda w: w != "")) < 3)
+
+
+def is_low_signal(title: Column) -> Column:
+    """Titles of newsletters, listings, threads and podcasts."""
+    return F.lower(F.trim(F.coalesce(title, F.lit("")))).rlike("|".join(LOW_SIGNAL))
+
+
 def compatible_title(title: Column) -> Column:
     """normalized_title of the compatibility form; only titles outside ASCII travel to Python."""
     return normalized_title(F.when(title.rlike(r"[^\x00-\x7f]"), _composed(title)).otherwise(title))
@@ -49,8 +81,8 @@ def tokens(title: Column) -> Column:
 
 
 def canonical_key(title: Column) -> Column:
-    """The first five informative words."""
-    return F.array_join(F.slice(tokens(title), 1, 5), " ")
+    """The first five informative words, in order."""
+    return F.array_join(F.slice(F.split(normalized_title(title), " "), 1, 5), " ")
 
 
 def entities(title: Column) -> Column:
@@ -59,6 +91,16 @@ def entities(title: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit(ENTITY), F.lit(0)), lambda e: F.lower(e)))
 
 
+def meaningful_entities(title: Column) -> Column:
+    """Entities of two letters or more without those that anchor nothing."""
+    return F.filter(entities(title), lambda e: (F.length(e) >= 2) & ~e.isin(GENERIC_ENTITIES.split()))
+
+
+def is_anchor(entity: Column) -> Column:
+    """Whether an entity can anchor a story."""
+    return ~F.trim(F.lower(entity)).isin(GENERIC_ANCHORS)
+
+
 def pulse_tokens(title: Column) -> Column:
     found = F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit(r"[a-z0-9][a-z0-9'_-]*"), F.lit(0))
     return F.array_distinct(F.filter(found, lambda t: F.length(t) > 1))

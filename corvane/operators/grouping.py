@@ -7,65 +7,66 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators.components import component_labels
 from corvane.runtime import Scratch, is_empty
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): root is the smallest node that (a, b) edges reach, by label propagation between written rounds."""
+    """(node, root): root is the smallest node that edges (a, b) reach."""
     scratch = Scratch(edges.sparkSession, "components")
-    both = scratch.save(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "both")
-    least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
-    labels = scratch.save(least.select("node", F.least("node", "least").alias("root")), "labels-0")
-    step = 0
-    while True:
-        spread = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("seen"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        new = labels.join(spread, "node").join(jump, "root", "left")
-        new = new.select("node", F.least("root", "seen", F.coalesce("above", "root")).alias("root"), F.col("root").alias("old"))
-        step += 1
-        saved = scratch.save(new, f"labels-{step}")
-        scratch.drop(f"labels-{step - 1}")
-        labels = saved.select("node", "root")
-        if is_empty(saved.where("root <> old")):
-            return labels
+    return component_labels(scratch, edges.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+
 
+def merged(pairs: pd.DataFrame, least_edge: float, single: int = 3, most: int | None = None) -> pd.DataFrame:
+    """Items, stories and medoids of one component's pairs (a, b, score, decision, rule, conflict, provider), by greedy merging.
 
-def merged(a: np.ndarray, b: np.ndarray, score: np.ndarray, least_edge: float) -> tuple[list[str], list[str]]:
-    """Items and stories of one component's edges, by greedy merging.
+    Accepted pairs are merged from the highest score down, ties by ids. A merge is refused if
+    it leaves over `single` items of one provider (provider: that of both items, null if they
+    differ) without a shared address or near-duplicate title among them, or an item without an
+    accepted, conflict-free pair of `least_edge` or more with the medoid: the item with the largest
+    sum of scores, smallest id first. With `most`, the size is bounded instead of the medoid.
 
-    A merge changes only items with edges between the two groups: of the joined group's
+    A merge changes only items with pairs between the two groups: of the joined group's
     items just these and the two medoids can be its medoid. So a step costs as much as the
-    edges of the group with fewer of them, and a component may have any size.
+    pairs of the group with fewer of them, and a component may have any size.
     """
+    a, b = pairs["a"].to_numpy(dtype=str), pairs["b"].to_numpy(dtype=str)
     names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y, n = ends[: len(a)], ends[len(a) :], len(names)
+    score, auto = pairs["score"].to_numpy(), (pairs["decision"] == "auto").to_numpy()
     points = np.rint(score * 10_000).astype(np.int64)  # scores have four decimals: sums are exact
-    near = (score >= least_edge).astype(np.int64)
-    order = np.lexsort((y, x, -score))
+    near = (auto & (score >= least_edge) & ~pairs["conflict"].to_numpy(dtype=bool)).astype(np.int64)
+    firm = pairs["rule"].isin(["shared address", "near duplicate"]).to_numpy().astype(np.int64)
+    mixed_pair = pairs["provider"].isna().to_numpy().astype(np.int64)
+    order = np.flatnonzero(auto)[np.lexsort((y[auto], x[auto], -score[auto]))]
     side, other = np.concatenate([x, y]), np.concatenate([y, x])
     by = np.argsort(side, kind="stable")
     start = np.searchsorted(side[by], np.arange(n + 1)).tolist()
-    other, weight, close = other[by].tolist(), np.tile(points, 2)[by].tolist(), np.tile(near, 2)[by].tolist()
-    # The smaller id wins ties, and of two ids of which one begins the other the longer one.
-    rank = {i: k for k, i in enumerate(sorted(range(n), key=lambda i: [-ord(c) for c in names[i]]))}
+    other = other[by].tolist()
+    weight, close, anchor, differ = (np.tile(v, 2)[by].tolist() for v in (points, near, firm, mixed_pair))
     group, members, medoid = list(range(n)), [[i] for i in range(n)], list(range(n))
     total, direct, edges = [0] * n, [0] * n, [start[i + 1] - start[i] for i in range(n)]
+    anchors, mixed = [0] * n, [0] * n
     for i, j in zip(x[order].tolist(), y[order].tolist()):
         small, large = group[i], group[j]
         if small == large:
             continue
         if edges[small] > edges[large]:
             small, large = large, small
-        more, nearer = {}, {}
+        more, nearer, held, unlike = {}, {}, anchors[small] + anchors[large], mixed[small] + mixed[large]
         for u in members[small]:
             for k in range(start[u], start[u + 1]):
                 v = other[k]
                 if group[v] == large:
+                    held, unlike = held + anchor[k], unlike + differ[k]
                     for w in (u, v):
                         more[w] = more.get(w, 0) + weight[k]
                         nearer[w] = nearer.get(w, 0) + close[k]
-        best = max({medoid[small], medoid[large], *more}, key=lambda u: (total[u] + more.get(u, 0), rank[u]))
-        if direct[best] + nearer.get(best, 0) < len(members[small]) + len(members[large]) - 1:
+        size = len(members[small]) + len(members[large])
+        if most and size > most or size > single and not held and not unlike:
+            continue
+        best = max({medoid[small], medoid[large], *more}, key=lambda u: (total[u] + more.get(u, 0), -u))
+        if not most and direct[best] + nearer.get(best, 0) < size - 1:
             continue
         for u, gain in more.items():
             total[u] += gain
@@ -76,27 +77,24 @@ def merged(a: np.ndarray, b: np.ndarray, score: np.ndarray, least_edge: float) -
         members[keep] += members[gone]
         members[gone] = []
         edges[keep] += edges[gone]
-        medoid[keep] = best
+        medoid[keep], anchors[keep], mixed[keep] = best, held, unlike
     least = [min(m, default=0) for m in members]
-    return names.tolist(), [names[least[g]] for g in group]
+    return pd.DataFrame({"item_id": names, "story": [names[least[g]] for g in group], "medoid": [names[medoid[g]] for g in group]})
 
 
-def medoid_groups(pairs: DataFrame, least_edge: float = 0.55) -> DataFrame:
-    """(item_id, story): groups in which every member has an accepted edge of `least_edge` or more to the medoid.
+def medoid_groups(pairs: DataFrame, least_edge: float = 0.55, single: int = 3, most: int | None = None) -> DataFrame:
+    """(item_id, story, medoid) of the items with an accepted pair; story is the smallest item of the group. See merged.
 
-    pairs: (a, b, score, decision). Accepted (auto) edges are merged from the highest score
-    down, ties by ids; a merge that leaves a member without such an edge to the medoid is
-    refused. Greedy merging never crosses a component of accepted edges, so each is solved by
-    itself, whatever its size; one task holds the edges of a component.
+    pairs: as given by pairs.scored. Greedy merging never crosses a component of accepted
+    pairs, so each is solved by itself, whatever its size, with all its pairs, as scores of
+    pairs that aren't accepted count for the medoid too. One task holds the pairs of a component.
     """
-    auto = pairs.where("decision = 'auto'").select("a", "b", "score")
-    rooted = auto.join(components(auto).withColumnRenamed("node", "a"), "a")
-
-    def solve(edges: pd.DataFrame) -> pd.DataFrame:
-        items, stories = merged(edges["a"].to_numpy(dtype=str), edges["b"].to_numpy(dtype=str), edges["score"].to_numpy(), least_edge)
-        return pd.DataFrame({"item_id": items, "story": stories})
-
-    return rooted.groupBy("root").applyInPandas(solve, "item_id string, story string")
+    auto = pairs.where("decision = 'auto'")
+    roots = Scratch(pairs.sparkSession, "roots").save(components(auto.select("a", "b")), "roots")
+    columns = ["a", "b", "score", "decision", "rule", "conflict", "provider"]
+    rooted = pairs.select(columns).join(roots.toDF("a", "root"), "a").join(roots.toDF("b", "root_b"), "b").where("root = root_b")
+    solve = lambda edges: merged(edges, least_edge, single, most)
+    return rooted.select("root", *columns).groupBy("root").applyInPandas(solve, "item_id string, story string, medoid string")
 
 
 def carried_identity(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -8,10 +8,30 @@ from pyspark.sql import functions as F
 from corvane.operators.latest import latest
 from corvane.runtime import table
 
-POST_COLUMNS = ["score", "num_comments", "upvote_ratio", "subreddit", "title", "author", "url", "selftext", "link_flair_text", "is_self", "stickied", "keyword"]
+POST_COLUMNS = ["score", "num_comments", "upvote_ratio", "subreddit", "title", "author", "url", "selftext", "link_flair_text", "is_self", "stickied", "keyword", "created_utc", "snapshot_date"]
 ITEM_COLUMNS = ["provider", "source_cluster", "title", "excerpt", "author", "source_section", "language", "content_scope", "dedupe_group_id", "target_url", "domain_ids"]
 
 
+def day(spark: SparkSession, sf_dir: str, back: int = 0) -> str:
+    """Date of the last snapshot, or of the one so many before it."""
+    rows = table(spark, sf_dir, "snapshots").orderBy(F.desc("snapshot_id")).select("snapshot_date").limit(back + 1).collect()
+    return rows[-1][0] if rows else ""
+
+
+def snapshot(spark: SparkSession, sf_dir: str, back: int = 0) -> int:
+    """Number of the last snapshot, or of the one so many before it."""
+    rows = table(spark, sf_dir, "snapshots").orderBy(F.desc("snapshot_id")).select("snapshot_id").limit(back + 1).collect()
+    return rows[-1][0] if rows else 0
+
+
+def day_sql(back: int = 0) -> str:
+    return f"(select snapshot_date from snapshots order by snapshot_id desc limit 1 offset {back})"
+
+
+def snapshot_sql(back: int = 0) -> str:
+    return f"(select snapshot_id from snapshots order by snapshot_id desc limit 1 offset {back})"
+
+
 def posts_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last snapshot's posts, one row each: the latest delivery."""
     posts = table(spark, sf_dir, "posts")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import ids
 from corvane.operators import releases
-from corvane.plans.base import I_SQL, items_now
+from corvane.plans.base import I_SQL, day, day_sql, items_now, snapshot, snapshot_sql
 from corvane.runtime import Scratch, table
 from corvane.sources import landed, registry
 from corvane.streaming import windows
@@ -34,27 +34,27 @@ def s1_skip_broken_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.try_parse_json("metadata").isNotNull().alias("valid")).agg(F.count("*").alias("n"))
 
 
-@query("select distinct post_id, subreddit, title, score, num_comments from posts where snapshot_id = 8 and is_self and post_id is not null")
+@query("select distinct snapshot_date, post_id, subreddit, title, score, num_comments from posts where post_id is not null")
 def s2_json_lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts written as JSON lines and read with the typed schema."""
     scratch = Scratch(spark, "lines")
-    posts = table(spark, sf_dir, "posts").where("snapshot_id = 8 and is_self and post_id is not null")
-    posts.select("post_id", "subreddit", "title", "score", "num_comments").distinct().write.json(scratch.path("posts"))
+    posts = table(spark, sf_dir, "posts").where("post_id is not null")
+    posts.select("snapshot_date", "post_id", "subreddit", "title", "score", "num_comments").distinct().write.json(scratch.path("posts"))
     rows, _ = landed.read_json_lines(spark, scratch.path("posts"))
-    return rows.select("post_id", "subreddit", "title", "score", "num_comments")
+    return rows.select("snapshot_date", "post_id", "subreddit", "title", "score", "num_comments")
 
 
 @query("""with r as (select snapshot_id, post_id, monitoring_type, row_number() over (partition by snapshot_id, post_id order by case monitoring_type when 'hot' then 1 when 'top' then 2 when 'rising' then 3 else 4 end, monitoring_type) as k from posts where not stickied)
 select monitoring_type, count(*) as posts from r where k = 1 group by 1""")
 def s14_mode_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts seen in several scans count for the first one."""
+    """Posts seen in several scans count for the first one."""
     order = F.when(F.col("monitoring_type") == "hot", 1).when(F.col("monitoring_type") == "top", 2).when(F.col("monitoring_type") == "rising", 3).otherwise(4)
     rows = table(spark, sf_dir, "posts").where(~F.col("stickied")).select("snapshot_id", "post_id", "monitoring_type")
     return landed.first_of_each(rows, ["snapshot_id", "post_id"], [order, "monitoring_type"]).groupBy("monitoring_type").agg(F.count("*").alias("posts"))
 
 
-@query("""with l as (select snapshot_id, post_id, arg_max({'s': score, 'c': num_comments}, ingested_at) as v from posts where snapshot_id in (7, 8) group by 1, 2),
-a as (select * from l where snapshot_id = 8), b as (select * from l where snapshot_id = 7)
+@query(f"""with l as (select snapshot_id, post_id, arg_max({{'s': score, 'c': num_comments}}, ingested_at) as v from posts group by 1, 2),
+a as (select * from l where snapshot_id = {snapshot_sql()}), b as (select * from l where snapshot_id = {snapshot_sql(1)})
 select coalesce(a.post_id, b.post_id) as post_id, greatest(0, coalesce(a.v.c - b.v.c, 0)) as new_comments, coalesce(a.v.s - b.v.s, 0) as score_delta,
 case when a.post_id is null then 'missing' when b.v.s is null and b.v.c is null then 'new' else 'seen' end as state from a full join b on a.post_id = b.post_id""")
 def s16_thread_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,19 +62,19 @@ def s16_thread_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.operators.latest import latest
 
     of = lambda k: latest(table(spark, sf_dir, "posts").where(F.col("snapshot_id") == k), ["post_id"], ["ingested_at"], ["score", "num_comments"])
-    return landed.thread_deltas(of(8), of(7))
+    return landed.thread_deltas(of(snapshot(spark, sf_dir)), of(snapshot(spark, sf_dir, 1)))
 
 
 @query("select provider, source_cluster, tier, case when tier = 1 then 'required' else 'optional' end as rule from sources")
 def s17_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The source registry as a dimension."""
+    """The source registry as a dimension."""
     return registry.registry(table(spark, sf_dir, "sources")).select("provider", "source_cluster", "tier", "rule")
 
 
 @query("""with h as (select s.provider, d.snapshot_date as run_id, coalesce(n, 0) as n from sources s cross join snapshots d left join (select provider, snapshot_date, count(distinct item_id) as n from items group by 1, 2) i on i.provider = s.provider and i.snapshot_date = d.snapshot_date),
 t as (select run_id, case when n > 0 then 'ok' when tier = 1 then 'pending' else 'error' end as status from h join sources using (provider)) select run_id, case when bool_and(status in ('ok', 'empty')) then 'complete' when bool_or(status = 'pending') then 'pending' else 'partial' end as status from t group by 1""")
 def s20_run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Health of every expected source in every run, and the run's status. Sources and runs are two small dimensions."""
+    """Health of every expected source in every run, and the run's status. Sources and runs are two small dimensions."""
     runs = table(spark, sf_dir, "snapshots").select(F.col("snapshot_date").alias("run_id"))
     expected = registry.expected(table(spark, sf_dir, "sources"), runs)
     counted = table(spark, sf_dir, "items").groupBy("provider", F.col("snapshot_date").alias("run_id")).agg(F.count_distinct("item_id").alias("n"))
@@ -82,26 +82,28 @@ def s20_run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landed.run_status(expected.join(counted, ["provider", "run_id"], "left").withColumn("status", status))
 
 
-@query("""select count(*) as items from (select distinct i.item_id from items i join observations o using (item_id) where o.run_id in ('2025-11-01:broad', '2025-11-02:broad'))""")
+@query("""select count(*) as items from (select distinct i.item_id from items i join observations o using (item_id) where o.run_id in (select distinct run_id from observations order by 1 desc limit 2))""")
 def s22_corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of chosen runs, as a semi-join."""
-    runs = table(spark, sf_dir, "observations").where(F.col("run_id").isin("2025-11-01:broad", "2025-11-02:broad")).select("item_id")
+    """Items of the last two runs, as a semi-join."""
+    chosen = [r[0] for r in table(spark, sf_dir, "observations").select("run_id").distinct().orderBy(F.desc("run_id")).limit(2).collect()]
+    runs = table(spark, sf_dir, "observations").where(F.col("run_id").isin(chosen)).select("item_id")
     return table(spark, sf_dir, "items").select("item_id").distinct().join(runs, "item_id", "left_semi").agg(F.count("*").alias("items"))
 
 
-@query("""with a as (select item_id, max(title) as title, min(snapshot_date) as first_seen, max(language) as language from items where snapshot_date <= '2025-10-28' group by 1), b as (select item_id, max(title) as title, min(snapshot_date) as first_seen, max(language) as language from items where snapshot_date > '2025-10-28' group by 1)
+@query(f"""with a as (select item_id, max(title) as title, min(snapshot_date) as first_seen, max(language) as language from items where snapshot_date < {day_sql(1)} group by 1), b as (select item_id, max(title) as title, min(snapshot_date) as first_seen, max(language) as language from items where snapshot_date >= {day_sql(1)} group by 1)
 select coalesce(a.item_id, b.item_id) as item_id, case when b.item_id is not null then b.title else a.title end as title, coalesce(a.first_seen, b.first_seen) as first_seen, case when b.item_id is not null then b.language else a.language end as language from a full join b on a.item_id = b.item_id""")
 def s23_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Later rows over earlier ones, the first date stays."""
+    """Later rows over earlier ones, the first date stays."""
     of = lambda rule: table(spark, sf_dir, "items").where(rule).groupBy("item_id").agg(F.max("title").alias("title"), F.min("snapshot_date").alias("first_seen"), F.max("language").alias("language"))
-    return landed.upserted(of("snapshot_date <= '2025-10-28'"), of("snapshot_date > '2025-10-28'"), ["item_id"], ["first_seen"])
+    return landed.upserted(of(F.col("snapshot_date") < day(spark, sf_dir, 1)), of(F.col("snapshot_date") >= day(spark, sf_dir, 1)), ["item_id"], ["first_seen"])
 
 
-@query("""select snapshot_date, count(distinct item_id) as added from items i where snapshot_date = '2025-11-04' and not exists (select 1 from items e where e.item_id = i.item_id and e.snapshot_date < '2025-11-04') group by 1""")
+@query(f"""select snapshot_date, count(distinct item_id) as added from items i where snapshot_date = {day_sql()} and not exists (select 1 from items e where e.item_id = i.item_id and e.snapshot_date < {day_sql()}) group by 1""")
 def s24_insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose key is new."""
+    """Rows of the last batch whose key is new."""
+    last = day(spark, sf_dir)
     items = table(spark, sf_dir, "items").select("item_id", "snapshot_date")
-    new = landed.only_new(items.where("snapshot_date < '2025-11-04'"), items.where("snapshot_date = '2025-11-04'"), ["item_id"])
+    new = landed.only_new(items.where(F.col("snapshot_date") < last), items.where(F.col("snapshot_date") == last), ["item_id"])
     return new.groupBy("snapshot_date").agg(F.count_distinct("item_id").alias("added"))
 
 
@@ -114,7 +116,7 @@ def a29_coverage_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select count(distinct item_id) as rows, true as same from items")
 def o18_release(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items are frozen with a checksum, verified, and the checksum doesn't depend on their order."""
+    """Items are frozen with a checksum, verified, and the checksum doesn't depend on their order."""
     scratch = Scratch(spark, "release")
     items = items_now(spark, sf_dir).drop("domain_ids")
     manifest = releases.freeze(items, scratch.path(releases.next_id([], "items")))
@@ -151,7 +153,7 @@ def st3_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {I_SQL}, r as (select item_id, provider, liked, row_number() over (partition by provider order by liked desc nulls last, item_id) as k from i) select provider, string_agg(item_id, ',' order by k) as best from r where k <= 2 group by 1""")
 def s28_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of a report, two per provider."""
+    """Rows of a report, two per provider."""
     rank = F.row_number().over(Window.partitionBy("provider").orderBy(F.desc_nulls_last("liked"), "item_id"))
     top = items_now(spark, sf_dir).withColumn("k", rank).where("k <= 2")
     return top.groupBy("provider").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "item_id"))), lambda x: x.item_id), ",").alias("best"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import scores
-from corvane.plans.base import I_SQL, P_SQL, items_now, posts_now
+from corvane.plans.base import I_SQL, P_SQL, day, day_sql, items_now, posts_now, snapshot, snapshot_sql
 from corvane.runtime import table
 
 QUERIES, ORACLE = {}, {}
@@ -36,10 +36,10 @@ def f1_post_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {I_SQL} select item_id, provider, snapshot_date from i
-where snapshot_date >= '2025-10-28' and list_contains(domain_ids, 'ai') and source_cluster in ('developers', 'business') and lower(title) like '%a%'""")
+where snapshot_date >= {day_sql(4)} and list_contains(domain_ids, 'ai') and source_cluster in ('developers', 'business') and lower(title) like '%a%'""")
 def f2_story_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """combined filters on date, domain, cluster and text."""
-    rows = items_now(spark, sf_dir).where((F.col("snapshot_date") >= "2025-10-28") & F.array_contains("domain_ids", "ai"))
+    rows = items_now(spark, sf_dir).where((F.col("snapshot_date") >= day(spark, sf_dir, 4)) & F.array_contains("domain_ids", "ai"))
     rows = rows.where(F.col("source_cluster").isin("developers", "business") & F.lower("title").contains("a"))
     return rows.select("item_id", "provider", "snapshot_date")
 
@@ -59,12 +59,13 @@ def f4_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items_now(spark, sf_dir).where(text.contains("privacy") | text.contains("breach")).select("item_id")
 
 
-@query("""select distinct item_id, published_at from items
-where (snapshot_date = '2025-10-30' or starts_with(published_at, '2025-10-30')) and len(domain_ids) > 0 and domain_ids[1] <> 'other'""")
+@query(f"""select distinct item_id, published_at from items
+where (snapshot_date = {day_sql(3)} or starts_with(published_at, {day_sql(3)})) and len(domain_ids) > 0 and domain_ids[1] <> 'other'""")
 def f5_news_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """news of a day, by batch or by publication date, with a domain."""
-    day = (F.col("snapshot_date") == "2025-10-30") | F.col("published_at").startswith("2025-10-30")
-    rows = table(spark, sf_dir, "items").where(day & (F.size("domain_ids") > 0)).where(F.element_at("domain_ids", 1) != "other")
+    chosen = day(spark, sf_dir, 3)
+    on_day = (F.col("snapshot_date") == chosen) | F.col("published_at").startswith(chosen)
+    rows = table(spark, sf_dir, "items").where(on_day & (F.size("domain_ids") > 0)).where(F.element_at("domain_ids", 1) != "other")
     return rows.select("item_id", "published_at").distinct()
 
 
@@ -107,12 +108,12 @@ def j6_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rest.groupBy("item_id").agg(F.count("*").alias("runs")).where("runs > 2")
 
 
-@query("""with o as (select distinct split_part(run_id, ':', 1) as day, item_id, engagement_percentile as ep from observations),
-r as (select *, row_number() over (partition by item_id order by day desc, ep desc nulls last) as rn from o where day <= '2025-11-01') select item_id, day, ep from r where rn = 1""")
+@query(f"""with o as (select distinct split_part(run_id, ':', 1) as day, item_id, engagement_percentile as ep from observations),
+r as (select *, row_number() over (partition by item_id order by day desc, ep desc nulls last) as rn from o where day <= {day_sql(1)}) select item_id, day, ep from r where rn = 1""")
 def j15_asof_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last observation of each item up to a date."""
     rows = table(spark, sf_dir, "observations").select("item_id", F.substring_index("run_id", ":", 1).alias("day"), F.col("engagement_percentile").alias("ep"))
-    best = rows.where("day <= '2025-11-01'").groupBy("item_id").agg(F.max(F.struct("day", "ep")).alias("b"))
+    best = rows.where(F.col("day") <= day(spark, sf_dir, 1)).groupBy("item_id").agg(F.max(F.struct("day", "ep")).alias("b"))
     return best.select("item_id", "b.day", "b.ep")
 
 
@@ -308,13 +309,36 @@ def w3_upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", scores.upper_median(F.col("v")).alias("upper_median"))
 
 
-@query("""with c as (select split_part(run_id, ':', 1) as day, split_part(item_id, ':', 1) as provider, count(distinct item_id) as n from observations group by 1, 2),
-l as (select *, lag(n) over (partition by provider order by day) as before from c) select provider, day, n, before, case when before is null then 'new' when n > before * 1.3 then 'growing' when n < before * 0.7 then 'fading' else 'stable' end as direction from l""")
+@query("""with c as (select i.dedupe_group_id as story, split_part(o.run_id, ':', 1) as day, count(distinct o.item_id) as n, count(distinct i.provider) as p from observations o join (select distinct item_id, dedupe_group_id, provider from items where dedupe_group_id <> '') i using (item_id) group by 1, 2),
+l as (select *, lag(n) over w as n0, lag(p) over w as p0, date_diff('day', cast(lag(day) over w as date), cast(day as date)) as gap, min(day) over (partition by story) as first from c window w as (partition by story order by day)),
+g as (select *, case when n0 > 0 then (n - n0) / n0 else 1 end as gn, case when p0 > 0 then (p - p0) / p0 else 1 end as gp from l)
+select story, day, n as items, p as sources, n0 as items_before, p0 as sources_before, gap::int as gap_days, case when gap >= 14 then 'resurfacing' when first = day then 'new' when n0 is not null and (gn >= 0.3 or gp >= 0.3) then 'growing' when n0 is not null and gn <= -0.3 and gp <= -0.3 then 'fading' else 'stable' end as direction from g""")
 def w4_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A provider's items against the run before."""
-    rows = table(spark, sf_dir, "observations").groupBy(F.substring_index("run_id", ":", 1).alias("day"), F.substring_index("item_id", ":", 1).alias("provider")).agg(F.count_distinct("item_id").alias("n"))
-    rows = rows.withColumn("before", F.lag("n").over(Window.partitionBy("provider").orderBy("day")))
-    return rows.select("provider", "day", "n", "before", scores.direction(F.col("n"), F.col("before"), F.lit(0)).alias("direction"))
+    """A story's items and sources against the run before it was last seen in."""
+    items = table(spark, sf_dir, "items").where("dedupe_group_id <> ''").select("item_id", F.col("dedupe_group_id").alias("story"), "provider").distinct()
+    rows = table(spark, sf_dir, "observations").select("item_id", F.substring_index("run_id", ":", 1).alias("day")).join(items, "item_id")
+    rows = rows.groupBy("story", "day").agg(F.count_distinct("item_id").alias("items"), F.count_distinct("provider").alias("sources"))
+    runs = Window.partitionBy("story").orderBy("day")
+    rows = rows.withColumns({
+        "items_before": F.lag("items").over(runs), "sources_before": F.lag("sources").over(runs), "first": F.min("day").over(Window.partitionBy("story")),
+        "gap_days": F.date_diff(F.to_date("day"), F.to_date(F.lag("day").over(runs))),
+    })
+    way = scores.direction(*(F.col(c) for c in ("first", "day", "items", "sources", "items_before", "sources_before", "gap_days")))
+    return rows.select("story", "day", "items", "sources", "items_before", "sources_before", "gap_days", way.alias("direction"))
+
+
+@query("""with c as (select unnest(domain_ids) as trend, snapshot_date as day, count(distinct dedupe_group_id) as n from items where dedupe_group_id <> '' group by 1, 2),
+l as (select *, lag(n) over w as n0, coalesce(date_diff('day', cast(lag(day) over w as date), cast(day as date)), 0) as gap, dense_rank() over (order by day) as release from c window w as (partition by trend order by day))
+select trend, day, n as stories, n0 as before, gap::int as gap_days, case when release <= 7 then 'insufficient_history' when n0 is null then 'new' when gap >= 7 and n >= 2 then 'resurfacing' when n / greatest(n0, 1) >= 1.5 then 'growing' when n / greatest(n0, 1) < 0.75 and gap >= 2 then 'fading' else 'stable' end as lifecycle from l""")
+def w7_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trend of stories against its last release; the first seven releases are too short a history."""
+    rows = table(spark, sf_dir, "items").where("dedupe_group_id <> ''").select(F.explode("domain_ids").alias("trend"), F.col("snapshot_date").alias("day"), "dedupe_group_id")
+    rows = rows.groupBy("trend", "day").agg(F.count_distinct("dedupe_group_id").alias("stories"))
+    days = [r["day"] for r in rows.select("day").distinct().orderBy("day").limit(8).collect()]
+    ready = F.col("day") > F.lit(days[6]) if len(days) > 7 else F.lit(False)
+    runs = Window.partitionBy("trend").orderBy("day")
+    rows = rows.withColumns({"before": F.lag("stories").over(runs), "gap_days": F.coalesce(F.date_diff(F.to_date("day"), F.to_date(F.lag("day").over(runs))), F.lit(0))})
+    return rows.select("trend", "day", "stories", "before", "gap_days", scores.lifecycle(ready, F.col("stories"), F.col("before"), F.col("gap_days")).alias("lifecycle"))
 
 
 @query("""with d as (select distinct lower(subreddit) as s, cast(snapshot_date as date) as day from posts),
@@ -344,11 +368,11 @@ def w9_top_per_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("rn", rank).where("rn <= 3").select("post_id", "section", "score")
 
 
-@query(f"""with {I_SQL}, n as (select item_id, date_diff('day', cast(snapshot_date as date), date '2025-11-04') as d from i)
+@query(f"""with {I_SQL}, n as (select item_id, date_diff('day', cast(snapshot_date as date), cast({day_sql()} as date)) as d from i)
 select item_id, case when d <= 0 then 100 when d <= 1 then 80 when d <= 3 then 55 when d <= 7 then 30 else 10 end as novelty from n""")
 def w11_novelty_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Novelty by age in days."""
-    days = F.date_diff(F.lit("2025-11-04").cast("date"), F.col("snapshot_date").cast("date"))
+    days = F.date_diff(F.lit(day(spark, sf_dir)).cast("date"), F.col("snapshot_date").cast("date"))
     return items_now(spark, sf_dir).select("item_id", scores.novelty_by_age(days).alias("novelty"))
 
 
@@ -368,17 +392,18 @@ def t3_nearest_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {I_SQL}, r as (select item_id, provider, row_number() over (partition by provider order by sha256(item_id), item_id) as rn from i) select item_id, provider, rn from r order by rn, provider limit 120""")
 def t6_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strata in turn, each in hashed order."""
+    """Strata in turn, each in hashed order."""
     order = Window.partitionBy("provider").orderBy(F.sha2("item_id", 256), "item_id")
     return items_now(spark, sf_dir).select("item_id", "provider", F.row_number().over(order).alias("rn")).orderBy("rn", "provider").limit(120)
 
 
-@query("""with s as (select distinct snapshot_id, post_id from posts), a as (select post_id from s where snapshot_id = 7), b as (select post_id from s where snapshot_id = 8)
+@query(f"""with s as (select distinct snapshot_id, post_id from posts), a as (select post_id from s where snapshot_id = {snapshot_sql(1)}), b as (select post_id from s where snapshot_id = {snapshot_sql()})
 select 'gone' as side, post_id from (select post_id from a except select post_id from b) union all select 'kept', post_id from (select post_id from a intersect select post_id from b)""")
 def u4_set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set difference and intersection of two snapshots."""
     of = lambda k: table(spark, sf_dir, "posts").where(F.col("snapshot_id") == k).select("post_id")
-    gone, kept = of(7).subtract(of(8)), of(7).intersect(of(8))
+    old, new = of(snapshot(spark, sf_dir, 1)), of(snapshot(spark, sf_dir))
+    gone, kept = old.subtract(new), old.intersect(new)
     return gone.select(F.lit("gone").alias("side"), "post_id").unionByName(kept.select(F.lit("kept").alias("side"), "post_id"))
 
 
@@ -408,7 +433,7 @@ s2 as (select post_id, 'talk' as shelf from p where num_comments >= 10 and post_
 s3 as (select post_id, 'liked' as shelf from p where upvote_ratio >= 0.9 and post_id not in (select post_id from s1) and post_id not in (select post_id from s2) order by upvote_ratio desc, post_id limit 6)
 select * from s1 union all select * from s2 union all select * from s3""")
 def o13_shelves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered shelves of at most six, no post on two."""
+    """Ordered shelves of at most six, no post on two."""
     rest, out = posts_now(spark, sf_dir), None
     for shelf, rule, key in (("hot", "score >= 100", "score"), ("talk", "num_comments >= 10", "num_comments"), ("liked", "upvote_ratio >= 0.9", "upvote_ratio")):
         chosen = rest.where(rule).orderBy(F.desc(key), "post_id").limit(6).select("post_id")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.functions import classify
 from corvane.functions import text as tx
 from corvane.operators import grouping, pairs, trends
-from corvane.plans.base import I_SQL, P_SQL, items_now, posts_now
-from corvane.plans.texts import _WORDS_SQL
+from corvane.plans.base import I_SQL, day, items_now
+from corvane.operators.similar import distinct_sets, jaccard_pairs, repetition
+from corvane.plans.texts import PULSE_SQL, _WORDS_SQL
 from corvane.runtime import Scratch, ship_package, table
 
 QUERIES, ORACLE = {}, {}
@@ -27,45 +29,77 @@ def query(sql: str | None = None):
 
 
 def _featured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = items_now(spark, sf_dir).select("item_id", "provider", F.col("snapshot_date").alias("day"), F.coalesce("canonical_url", F.lit("")).alias("url"), "title")
+    rows = items_now(spark, sf_dir).select("item_id", "provider", F.col("source_section").alias("section"), F.col("snapshot_date").alias("day"), F.col("canonical_url").alias("url"), "target_url", "title", "excerpt")
     return pairs.featured(rows)
 
 
-@query(rf"""with {I_SQL}, t as (select item_id, {_WORDS_SQL} as w, title, coalesce(canonical_url, '') as url from i),
-k as (select item_id, 'w:' || unnest(list_distinct(list_filter(w, lambda x: x <> ''))) as key, 'token' as reason from t
-union all select item_id, 'e:' || unnest(list_distinct(list_transform(regexp_extract_all(regexp_replace(title, '[^\x00-\x7f]', ' ', 'g'), '{tx.ENTITY}'), lambda x: lower(x)))), 'entity' from t union all select item_id, 'u:' || url, 'url' from t where url <> ''),
-c as (select key from k group by 1 having count(*) between 2 and 32), s as (select k.* from k join c using (key))
-select a.item_id as a, b.item_id as b, array_to_string(list_sort(list_distinct(list(a.reason))), '|') as reasons from s a join s b on a.key = b.key and a.item_id < b.item_id group by 1, 2""")
+_ROUTINE_SQL = f"(lower(trim(coalesce(source_section, ''))) in ({', '.join(repr(x) for x in classify.ROUTINE_SECTIONS.split())}) or regexp_matches(lower(coalesce(title, '')), '{classify.ROUTINE}'))"
+_GENERIC = ", ".join("'" + x + "'" for x in tx.GENERIC_TITLES)
+_LOW_SQL = "|".join(tx.LOW_SIGNAL).replace("'", "''")
+
+
+@query(rf"""with {I_SQL}, n as (select item_id, {_WORDS_SQL} as w, title, canonical_url, target_url from i where not {_ROUTINE_SQL}),
+t as (select *, not (array_to_string(w, ' ') in ({_GENERIC}) or len(list_filter(w, lambda x: x <> '')) < 3 or regexp_matches(lower(trim(coalesce(title, ''))), '{_LOW_SQL}')) as good from n),
+k as (select item_id, 'w:' || unnest(list_distinct(list_filter(w, lambda x: x <> ''))) as key, 'token' as reason from t where good
+union all select item_id, 'e:' || e, 'entity' from (select item_id, unnest(list_distinct(list_transform(regexp_extract_all(regexp_replace(title, '[^\x00-\x7f]', ' ', 'g'), '{tx.ENTITY}'), lambda x: lower(x)))) as e from t where good) where length(e) >= 2 and e not in ({', '.join(repr(x) for x in tx.GENERIC_ENTITIES.split())})
+union all select distinct item_id, 'u:' || u, 'url' from (select item_id, regexp_replace(unnest([canonical_url, target_url]), '/+$', '') as u from t) where u <> '' and not contains(u, '://forum.example/')),
+c as (select key, count(*) as n, min(item_id) as hub from k group by 1 having count(*) >= 2), s as (select k.*, n, hub from k join c using (key) where n <= 32 or reason = 'url'),
+p as (select a.item_id as a, b.item_id as b, a.reason from s a join s b on a.key = b.key and a.item_id < b.item_id and a.n <= 32 union all select hub, item_id, reason from s where n > 32 and item_id <> hub)
+select a, b, array_to_string(list_sort(list_distinct(list(reason))), '|') as reasons from p group by 1, 2""")
 def j7_blocked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate pairs by shared address, word or entity."""
-    found = pairs.blocked_pairs(pairs.blocking_keys(_featured(spark, sf_dir)))
-    return found.select("a", "b", F.array_join("reasons", "|").alias("reasons"))
+    """Candidate pairs by shared address, word or entity, without routine material; the near-duplicate keys are in j7_near_pairs."""
+    keys = pairs.blocking_keys(_featured(spark, sf_dir)).where("reason <> 'near'")
+    return pairs.blocked_pairs(keys).select("a", "b", F.array_join("reasons", "|").alias("reasons"))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query()
+def j7_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate pairs by fingerprint bands and min-hashes of titles."""
+    keys = pairs.blocking_keys(_featured(spark, sf_dir)).where("reason = 'near'")
+    return pairs.blocked_pairs(keys).select("a", "b")
+
+
+def _pairs(spark: SparkSession, sf_dir: str, bounded: bool = False) -> DataFrame:
     ship_package(spark)
-    rows = _featured(spark, sf_dir)
-    return pairs.scored(pairs.blocked_pairs(pairs.blocking_keys(rows)), rows)
+    rows = Scratch(spark, "featured").save(_featured(spark, sf_dir), "rows")
+    return pairs.scored(pairs.blocked_pairs(pairs.blocking_keys(rows)), rows, bounded)
 
 
 @query()
 def o1_pair_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O1 in part (README: Not built), C5, C6: decision of every candidate pair."""
+    """Decision of every candidate pair."""
     return _pairs(spark, sf_dir).withColumn("reasons", F.array_join("reasons", "|"))
 
 
 @query()
 def o2_story_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O2 without its single-provider guard, O4: stories by medoid-constrained merging of accepted pairs."""
-    scratch = Scratch(spark, "stories")
-    return grouping.medoid_groups(scratch.save(_pairs(spark, sf_dir).select("a", "b", "score", "decision"), "pairs"))
+    """O2: stories by medoid-constrained merging of accepted pairs, with the guards for one provider and for conflicts."""
+    return grouping.medoid_groups(Scratch(spark, "stories").save(_pairs(spark, sf_dir), "pairs"))
+
+
+@query()
+def o3_bounded_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O3: stories of at most four items, by accepted pairs and pairs with enough evidence."""
+    return grouping.medoid_groups(Scratch(spark, "stories").save(_pairs(spark, sf_dir, True), "pairs"), most=4)
+
+
+@query()
+def o4_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of accepted pairs."""
+    return grouping.components(_pairs(spark, sf_dir).where("decision = 'auto'").select("a", "b"))
+
+
+@query()
+def x26_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs by decision and rule."""
+    return _pairs(spark, sf_dir).groupBy("decision", "rule").agg(F.count("*").alias("pairs"))
 
 
 @query()
 def o9_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stories of the later batches take over the ids of the earlier ones."""
     items = table(spark, sf_dir, "items").where("dedupe_group_id <> ''").select("item_id", F.col("dedupe_group_id").alias("story"), "snapshot_date").distinct()
-    old = items.where("snapshot_date < '2025-10-30'").select("story", "item_id").distinct()
+    old = items.where(F.col("snapshot_date") < day(spark, sf_dir, 2)).select("story", "item_id").distinct()
     new = items.select(F.concat(F.lit("n-"), "story").alias("story"), "item_id").distinct()
     return grouping.carried_identity(old, new)
 
@@ -99,22 +133,28 @@ def _story_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("story", F.concat("domain", F.lit(":"), "section").alias("feature")).distinct().withColumn("weight", F.lit(0.5))
 
 
-@query(f"""with {P_SQL}, t as (select post_id, lower(subreddit) as s, array_to_string({_WORDS_SQL}, ' ') as k from p), g as (select k, count(distinct s) as n from t where k <> '' group by 1)
-select post_id, least(4, n - 1) as other_sections from t join g using (k) where n > 1""")
+@query(f"""with {I_SQL}, t as (select item_id, coalesce(lower(source_section), '') as s, {PULSE_SQL} as w from i), g as (select w, list_distinct(list(s)) as s from (select list_sort(w) as w, s from t where len(w) > 0) group by 1),
+m as (select a.w, b.s from g a join g b on len(a.w) * 2 >= len(b.w) and len(b.w) * 2 >= len(a.w) and len(list_intersect(a.w, b.w)) * 2 >= len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), x as (select w, list_distinct(flatten(list(s))) as s from m group by 1)
+select item_id, least(4, len(list_filter(x.s, lambda o: o <> t.s))) as sections from t join x on list_sort(t.w) = x.w where len(list_filter(x.s, lambda o: o <> t.s)) > 0""")
 def j13_cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many other sections carry the same headline, at most four."""
-    posts = posts_now(spark, sf_dir).select("post_id", F.lower("subreddit").alias("s"), tx.normalized_title(F.col("title")).alias("k")).where("k <> ''")
-    spread = posts.groupBy("k").agg(F.count_distinct("s").alias("n")).where("n > 1")
-    return posts.join(spread, "k").select("post_id", F.least(F.lit(4), F.col("n") - 1).alias("other_sections"))
+    """In how many other sections, at most four, titles have at least half of an item's words."""
+    items = items_now(spark, sf_dir).select("item_id", F.coalesce(F.lower("source_section"), F.lit("")).alias("s"), tx.pulse_tokens(F.col("title")).alias("w"))
+    return repetition(items, "item_id", "s", "w")
 
 
-@query("""with d as (select distinct lower(trim(title)) as t, cast(snapshot_date as date) as day from items) select a.t as title, cast(a.day as varchar) as day,
-exists (select 1 from d b where b.t = a.t and b.day < a.day and b.day >= a.day - 7) as seen from d a""")
+@query(f"""with d as (select distinct cast(snapshot_date as date) as day, list_sort({PULSE_SQL}) as w from items), p as (select distinct a.day, a.w from d a join d b on b.day < a.day and b.day >= a.day - 7 and len(a.w) > 0
+and len(list_intersect(a.w, b.w)) * 5 >= (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) * 3) select array_to_string(d.w, ' ') as words, cast(d.day as varchar) as day, p.w is not null as seen from d left join p on p.day = d.day and p.w = d.w where len(d.w) > 0""")
 def j14_seen_in_week(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a headline was there in the seven days before, by a range frame."""
-    days = table(spark, sf_dir, "items").select(F.lower(F.trim("title")).alias("title"), F.to_date("snapshot_date").alias("d")).distinct()
-    week = Window.partitionBy("title").orderBy(F.unix_date("d")).rangeBetween(-7, -1)
-    return days.select("title", F.col("d").cast("string").alias("day"), (F.count("*").over(week) > 0).alias("seen"))
+    """Whether a headline, as a word set, was there in the seven days before with three fifths of its words."""
+    days = table(spark, sf_dir, "items").select(F.array_sort(tx.pulse_tokens(F.col("title"))).alias("w"), F.to_date("snapshot_date").alias("day")).where(F.size("w") > 0).distinct()
+    sets = distinct_sets(days, "w")
+    dated = days.join(sets, F.col("w") == F.col("words")).select("set_id", "words", "day")
+    pairs = jaccard_pairs(sets, 3, 5).select("a", "b")
+    ways = pairs.union(pairs.select("b", "a")).union(sets.select("set_id", F.col("set_id"))).toDF("set_id", "b")
+    before = dated.select(F.col("set_id").alias("b"), F.col("day").alias("then"))
+    seen = dated.join(ways, "set_id").join(before, "b").where((F.col("then") < F.col("day")) & (F.col("then") >= F.date_sub("day", 7))).select("set_id", "day").distinct()
+    out = dated.join(seen.withColumn("seen", F.lit(True)), ["set_id", "day"], "left")
+    return out.select(F.array_join("words", " ").alias("words"), F.col("day").cast("string").alias("day"), F.coalesce("seen", F.lit(False)).alias("seen"))
 
 
 @query()
@@ -200,7 +240,7 @@ def _to_array(column: str):
 @query("""with a as (select item_id_a, item_id_b, bool_or(score >= 0.62) filter (experiment_id = 'exp-dense-7d') as d, bool_or(score >= 0.62) filter (experiment_id = 'exp-lexical-7d') as l from cluster_candidate_pairs where score is not null group by 1, 2)
 select count(*) filter (d is not null) as dense, count(*) filter (l is not null) as lexical, count(*) filter (d is not null and l is not null) as both, round(avg((d = l)::int), 6) as agreement from a""")
 def a19_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Agreement of two experiments on the pairs both judged; null without any."""
+    """Agreement of two experiments on the pairs both judged; null without any."""
     of = lambda e: F.bool_or(F.when(F.col("experiment_id") == e, F.col("score") >= 0.62))
     rows = table(spark, sf_dir, "cluster_candidate_pairs").where("score is not null").groupBy("item_id_a", "item_id_b").agg(of("exp-dense-7d").alias("d"), of("exp-lexical-7d").alias("l"))
     return rows.agg(F.count("d").alias("dense"), F.count("l").alias("lexical"), F.count_if(F.col("d").isNotNull() & F.col("l").isNotNull()).alias("both"), F.round(F.avg((F.col("d") == F.col("l")).cast("int")), 6).alias("agreement"))

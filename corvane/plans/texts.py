@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import classify, ids, scores, text, urls
 from corvane.plans.base import I_SQL, P_SQL, items_now, posts_now
+from corvane.operators.similar import distinct_sets, jaccard_pairs, repetition, seen_before
 from corvane.runtime import table
 
 QUERIES, ORACLE = {}, {}
@@ -32,22 +33,22 @@ _CASES = " ".join(
     [f"when lower(coalesce(subreddit, '')) in ({_quoted(s.split())}) then '{k}'" for k, s in classify.SIGNAL_SECTIONS]
     + ["when regexp_matches(t, '" + p.replace("'", "''") + f"') then '{k}'" for k, p in classify.SIGNAL_PATTERNS]
 )
-_TITLE_SQL = rf"""trim(regexp_replace(regexp_replace(regexp_replace(lower(title), 'https?://\S+', ' ', 'g'), '\s*[-|–—:]\s*(?:{text.PUBLISHERS})\s*$', ''), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"""
+_BARE_SQL = rf"""regexp_replace(lower(coalesce(title, '')), '(?:[\s\-–—|]\s*(?:{text.PUBLISHERS})\s*)+$', '')"""
+_PART_SQL = f"(case when trim(split_part({_BARE_SQL}, '|', 1)) in ({_quoted(text.GENERIC_TITLES)}) and trim(split_part({_BARE_SQL}, '|', 2)) <> '' then trim(split_part({_BARE_SQL}, '|', 2)) when contains({_BARE_SQL}, '|') and trim(split_part({_BARE_SQL}, '|', 1)) <> '' then trim(split_part({_BARE_SQL}, '|', 1)) else {_BARE_SQL} end)"
+_TITLE_SQL = rf"""trim(regexp_replace(regexp_replace({_PART_SQL}, 'https?://\S+', '', 'g'), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"""
 _WORDS_SQL = f"list_filter(string_split({_TITLE_SQL}, ' '), lambda w: (length(w) >= 3 or w = 'ai') and w not in ({_quoted(text.STOPWORDS.split())}))"
 
 
 @query(f"with {P_SQL} select post_id, array_to_string({_WORDS_SQL}, ' ') as normalized from p")
 def c1_normalized_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised titles."""
+    """Normalised titles."""
     return posts_now(spark, sf_dir).select("post_id", text.normalized_title(F.col("title")).alias("normalized"))
 
 
-@query(f"with {P_SQL} select post_id, array_to_string({_WORDS_SQL}[1:5], ' ') as raw_key from p where len({_WORDS_SQL}) = len(list_distinct({_WORDS_SQL}))")
+@query(f"with {P_SQL} select post_id, array_to_string({_WORDS_SQL}[1:5], ' ') as raw_key from p")
 def c7_canonical_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First five informative words, of titles that repeat none."""
-    posts = posts_now(spark, sf_dir)
-    words = F.filter(F.split(text.normalized_title(F.col("title")), " "), lambda w: w != "")
-    return posts.where(F.size(words) == F.size(F.array_distinct(words))).select("post_id", text.canonical_key(F.col("title")).alias("raw_key"))
+    """First five informative words."""
+    return posts_now(spark, sf_dir).select("post_id", text.canonical_key(F.col("title")).alias("raw_key"))
 
 
 @query(rf"""with {P_SQL}, e as (select post_id, unnest(list_distinct(list_transform(regexp_extract_all(regexp_replace(title, '[^\x00-\x7f]', ' ', 'g'), '{text.ENTITY}'), lambda x: lower(x)))) as entity from p) select entity, count(*) as n from e group by 1""")
@@ -57,21 +58,18 @@ def c3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("entity").agg(F.count("*").alias("n"))
 
 
-@query(f"""with {P_SQL}, t as (select post_id, subreddit, list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9][a-z0-9''_-]*'), lambda x: length(x) > 1)) as w from p where lower(subreddit) like '%talk%'),
-k as (select *, unnest(w) as word from t), d as (select word from k group by 1 having count(*) between 2 and 30), j as (select distinct a.post_id as a, b.post_id as b from k a join k b on a.word = b.word and a.post_id < b.post_id where a.word in (select word from d))
-select j.a as post_a, j.b as post_b, round(len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))), 6) as jaccard
-from j join t x on x.post_id = j.a join t y on y.post_id = j.b where len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))) >= 0.3""")
+PULSE_SQL = "list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9][a-z0-9''_-]*'), lambda x: length(x) > 1))"
+
+
+@query(f"""with {P_SQL}, t as (select distinct list_sort({PULSE_SQL}) as w from p), s as (select w, array_to_string(w, ' ') as k from t where len(w) > 0),
+j as (select x.k as a, y.k as b, len(list_intersect(x.w, y.w)) as n, len(x.w) + len(y.w) as m from s x join s y on x.k < y.k and len(x.w) * 10 >= len(y.w) * 3 and len(y.w) * 10 >= len(x.w) * 3)
+select a as words_a, b as words_b, round(n / (m - n), 6) as jaccard from j where n * 10 >= (m - n) * 3""")
 def c4_title_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title pairs that share a rare word, by Jaccard similarity. A word blocks only where it is in 2 to 30 titles."""
-    titles = posts_now(spark, sf_dir).where(F.lower("subreddit").contains("talk")).select("post_id", text.pulse_tokens(F.col("title")).alias("w"))
-    keyed = titles.select("post_id", "w", F.explode("w").alias("word"))
-    rare = keyed.groupBy("word").count().where("count between 2 and 30").select("word")
-    keyed = keyed.join(rare, "word")
-    a = keyed.select("word", F.col("post_id").alias("post_a"), F.col("w").alias("wa"))
-    b = keyed.select("word", F.col("post_id").alias("post_b"), F.col("w").alias("wb"))
-    similar = text.jaccard(F.col("wa"), F.col("wb"))
-    pairs = a.join(b, "word").where("post_a < post_b").where(similar >= 0.3)
-    return pairs.select("post_a", "post_b", F.round(similar, 6).alias("jaccard")).distinct()
+    """All pairs of distinct titles, as word sets, with a Jaccard similarity of .3 or more."""
+    sets = distinct_sets(posts_now(spark, sf_dir).select(text.pulse_tokens(F.col("title")).alias("w")), "w")
+    named = sets.select("set_id", F.array_join("words", " ").alias("k"))
+    pairs = jaccard_pairs(sets, 3, 10).join(named.toDF("a", "ka"), "a").join(named.toDF("b", "kb"), "b")
+    return pairs.select(F.least("ka", "kb").alias("words_a"), F.greatest("ka", "kb").alias("words_b"), F.round("jaccard", 6).alias("jaccard"))
 
 
 @query(f"with {P_SQL}, t as (select post_id, {_WORDS_SQL} as w from p) select post_id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2]))) as shingle from t where len(w) >= 3")
@@ -103,21 +101,7 @@ select i.item_id, coalesce(string_agg(r.d, '|' order by r.rn), 'other') as domai
 @query(_domain_sql())
 def c13_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to three domains of every item."""
-    found = classify.domains(F.col("title"), F.col("excerpt"))
-    return items_now(spark, sf_dir).select("item_id", F.array_join(found, "|").alias("domains"))
-
-
-@query()
-def c14_rubric_and_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All facets of an item in one pass."""
-    rows = items_now(spark, sf_dir).withColumn("facet_domains", classify.domains(F.col("title"), F.col("excerpt")))
-    body = F.concat_ws(" ", "title", "excerpt")
-    book, rbc, business = classify.project_scores(F.col("facet_domains"), body)
-    return rows.select(
-        "item_id", F.array_join("facet_domains", "|").alias("domains"), classify.rubric(F.col("facet_domains")).alias("rubric"), book.alias("book"), rbc.alias("rbc"), business.alias("business"),
-        F.array_join(classify.pain_points(body), "|").alias("pains"), classify.action_hint(F.col("title")).alias("action"),
-        classify.is_routine(F.col("title"), F.col("source_section")).alias("routine"), classify.is_prompt(F.col("title")).alias("prompt"),
-    )
+    return classify.with_domains(items_now(spark, sf_dir), "title", "excerpt", "found").select("item_id", F.array_join("found", "|").alias("domains"))
 
 
 _PAIN_SQL = ", ".join(f"case when contains(t, '{t}') then '{label}' end" for t, label in classify.PAINS)
@@ -131,10 +115,21 @@ def c16_pain_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items_now(spark, sf_dir).select("item_id", F.posexplode(pains).alias("k", "pain")).withColumn("k", F.col("k") + 1)
 
 
-@query(f"with {I_SQL} select item_id, " + "case " + " ".join(rf"when regexp_matches(lower(title), '\b({w})\b') then '{a}'" for a, w in classify.ACTIONS) + " end as action from i")
-def c18_action_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The action a title names."""
-    return items_now(spark, sf_dir).select("item_id", classify.action_hint(F.col("title")).alias("action"))
+_ACTION_SQL = "case " + " ".join(f"when regexp_matches(' ' || lower({{0}}) || ' ', ' ({w}) ') then '{a}'" for a, w in classify.ACTIONS) + " end"
+_PLACE_SQL = "list_sort(list_distinct(list_filter([" + ", ".join(rf"case when regexp_matches(lower({{0}}), '\b{h.replace('.', chr(92) + '.')}\b') then '{p}' end" for h, p in classify.PLACES.items()) + "], lambda x: x is not null)))[1:8]"
+
+
+@query(f"with {I_SQL}, x as (select item_id, concat_ws('. ', title, excerpt) as t from i) select item_id, {_ACTION_SQL.format('t')} as action, array_to_string({_PLACE_SQL.format('t')}, '|') as places from x")
+def c18_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The action and the places that an item's title and excerpt name."""
+    body = F.concat_ws(". ", "title", "excerpt")
+    return items_now(spark, sf_dir).select("item_id", classify.action_hint(body).alias("action"), F.array_join(classify.places(body), "|").alias("places"))
+
+
+@query()
+def c19_typed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of titles by kind, amount and unit."""
+    return items_now(spark, sf_dir).select("item_id", F.inline(classify.typed_numbers(F.col("title"))))
 
 
 @query(f"with {I_SQL} select item_id, lower(trim(coalesce(source_section, ''))) in ({_quoted(classify.ROUTINE_SECTIONS.split())}) or regexp_matches(lower(title), '{classify.ROUTINE}') as routine from i")
@@ -143,22 +138,61 @@ def f8_routine_beat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items_now(spark, sf_dir).select("item_id", classify.is_routine(F.col("title"), F.col("source_section")).alias("routine"))
 
 
-@query(rf"with {I_SQL} select item_id, len(regexp_extract_all(title, '\p{{L}}+')) < 5 or regexp_matches(lower(title), '^(opinion|live|watch|video|breaking)\b') as low_signal from i")
+_LOW_SQL = "|".join(text.LOW_SIGNAL).replace("'", "''")
+
+
+@query(f"with {I_SQL}, t as (select item_id, trim(lower(coalesce(title, ''))) as low, {_WORDS_SQL} as w from i) select item_id, array_to_string(w, ' ') in ({_quoted(text.GENERIC_TITLES)}) or len(list_filter(w, lambda x: x <> '')) < 3 as generic, regexp_matches(low, '{_LOW_SQL}') as low_signal from t")
+def f7_generic_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """titles too general to match by, and titles of listings, threads and newsletters."""
+    return items_now(spark, sf_dir).select("item_id", text.is_generic(text.normalized_title(F.col("title"))).alias("generic"), text.is_low_signal(F.col("title")).alias("low_signal"))
+
+
+@query(rf"with {I_SQL} select item_id, len(list_filter(string_split_regex(lower(title), '\s+'), lambda x: regexp_matches(x, '\p{{L}}'))) < 3 or regexp_matches(lower(title), '{'|'.join(classify.QUEUE_MARKERS)}') as low_signal from i")
 def f9_low_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """titles of few words or with a marker in front."""
-    few = F.size(F.regexp_extract_all("title", F.lit(r"\p{L}+"), F.lit(0))) < 5
-    return items_now(spark, sf_dir).select("item_id", (few | F.lower("title").rlike(r"^(opinion|live|watch|video|breaking)\b")).alias("low_signal"))
+    """titles of under three words with letters, or of recurring threads."""
+    return items_now(spark, sf_dir).select("item_id", classify.is_housekeeping(F.col("title")).alias("low_signal"))
+
+
+@query(rf"with {I_SQL}, t as (select item_id, list_distinct(list_transform(regexp_extract_all(regexp_replace(title, '[^\x00-\x7f]', ' ', 'g'), '{text.ENTITY}'), lambda x: lower(x))) as e from i) select item_id, array_to_string(list_sort(list_filter(e, lambda x: length(x) >= 2 and x not in ({_quoted(text.GENERIC_ENTITIES.split())}) and x not in ({_quoted(text.GENERIC_ANCHORS)}))), '|') as anchors from t")
+def f11_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of a title that can anchor a story."""
+    found = F.filter(text.meaningful_entities(F.col("title")), text.is_anchor)
+    return items_now(spark, sf_dir).select("item_id", F.array_join(F.array_sort(found), "|").alias("anchors"))
+
+
+_PROMPT_SQL = " or ".join(f"starts_with(t, '{x.replace(chr(39), chr(39) * 2)}')" for x in classify.PROMPTS)
+
+
+@query(f"with {I_SQL}, t as (select item_id, ltrim(replace(lower(title), '’', chr(39))) as t from i) select item_id, {_PROMPT_SQL} as prompt from t")
+def f12_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """titles that prompt a discussion."""
+    return items_now(spark, sf_dir).select("item_id", classify.is_prompt(F.col("title")).alias("prompt"))
+
+
+_RUBRIC_SQL = "case " + " ".join(f"when split_part(domains, '|', 1) in ({_quoted(ids)}) then '{name}'" for name, ids in classify.RUBRICS) + " else 'other' end"
+
+
+@query(f"""with d as ({_domain_sql()}), {I_SQL}, x as (select item_id, title, source_section, lower(concat_ws(' ', title, excerpt)) as t, concat_ws('. ', title, excerpt) as b from i), l as (select *, list_filter([{_PAIN_SQL}], lambda x: x is not null) as v from x)
+select l.item_id, d.domains, {_RUBRIC_SQL} as rubric, array_to_string(list_filter(v, lambda x, k: list_position(v, x) = k)[1:5], '|') as pains, {_ACTION_SQL.format('b')} as action, array_to_string({_PLACE_SQL.format('b')}, '|') as places,
+lower(trim(coalesce(source_section, ''))) in ({_quoted(classify.ROUTINE_SECTIONS.split())}) or regexp_matches(lower(title), '{classify.ROUTINE}') as routine from l join d using (item_id)""")
+def o19_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All facets of an item in one pass."""
+    rows = classify.with_domains(items_now(spark, sf_dir), "title", "excerpt", "found")
+    body = F.concat_ws(". ", "title", "excerpt")
+    return rows.select(
+        "item_id", F.array_join("found", "|").alias("domains"), classify.rubric(F.col("found")).alias("rubric"), F.array_join(classify.pain_points(F.concat_ws(" ", "title", "excerpt")), "|").alias("pains"),
+        classify.action_hint(body).alias("action"), F.array_join(classify.places(body), "|").alias("places"), classify.is_routine(F.col("title"), F.col("source_section")).alias("routine"),
+    )
 
 
 _URL = r"'^(https?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?'"
-_HOSTS = _quoted(urls.PUBLISHER_HOSTS.split())
-_BARE = _quoted(urls.BARE_HOSTS.split())
+_HOSTS = "case h " + " ".join(f"when '{a}' then '{b}'" for a, b in urls.HOSTS.items()) + " else h end"
 
 
 @query(rf"""with u as (select distinct canonical_url as url from items where canonical_url is not null),
 x as (select url, regexp_extract(url, {_URL}, 1) as s, lower(trim(regexp_extract(url, {_URL}, 2))) as h, regexp_extract(url, {_URL}, 3) as p, regexp_extract(url, {_URL}, 4) as q from u),
-y as (select *, regexp_replace(h, '^(?:www|m|mobile|amp)\.', '') as b, array_to_string(list_filter(string_split(q, '&'), lambda z: regexp_matches(z, '^[^=]+=.') and not regexp_matches(lower(z), '^(?:{'|'.join(urls.TRACKING.split())})=')), '&') as k from x)
-select url, case when s = '' then '' else 'https://' || case when b in ({_HOSTS}) then 'www.' || b when b in ({_BARE}) then b else h end || case when p = '/' then p else regexp_replace(p, '/+$', '') end || case when k <> '' then '?' || k else '' end end as canonical from y""")
+y as (select *, array_to_string(list_filter(string_split(q, '&'), lambda z: regexp_matches(z, '^[^=]+=.') and not regexp_matches(lower(z), '^(?:{'|'.join(urls.TRACKING.split())})=')), '&') as k from x)
+select url, case when s = '' then '' else 'https://' || {_HOSTS} || case when p = '/' then p else regexp_replace(p, '/+$', '') end || case when k <> '' then '?' || k else '' end end as canonical from y""")
 def c23_canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical addresses."""
     rows = table(spark, sf_dir, "items").where("canonical_url is not null").select(F.col("canonical_url").alias("url")).distinct()
@@ -171,10 +205,12 @@ def c22_reading_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items_now(spark, sf_dir).select("item_id", urls.reading_key(F.col("canonical_url"), F.col("title")).alias("reading_key"))
 
 
-@query(rf"""with {I_SQL} select item_id, len(list_filter(string_split(regexp_extract(coalesce(canonical_url, ''), '^https?://[^/?#]*([^?#]*)', 1), '/'), lambda z: z <> '')) <= 1 and not contains(coalesce(canonical_url, ''), '?') as landing from i""")
-def f13_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """addresses without an article of their own."""
-    return items_now(spark, sf_dir).select("item_id", urls.is_landing(F.coalesce("canonical_url", F.lit(""))).alias("landing"))
+@query(rf"""with {I_SQL}, p as (select item_id, lower(regexp_extract(coalesce(canonical_url, ''), '^https?://([^/?#:]*)', 1)) as h, list_filter(string_split(regexp_extract(coalesce(canonical_url, ''), '^https?://[^/?#]*([^?#]*)', 1), '/'), lambda z: z <> '') as p from i)
+select item_id, len(p) = 0 or (h in ({_quoted(urls.CODE_HOSTS)}) and len(p) <= 2) or (h in ({_quoted(urls.MODEL_HOSTS)}) and (len(p) <= 2 or (len(p) <= 3 and p[1] in ('datasets', 'spaces')))) as lasting, h in ({_quoted(urls.MODEL_HOSTS)}) and len(p) = 2 as model from p""")
+def f13_lasting_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """addresses that tell no event, and those of models."""
+    url = F.coalesce("canonical_url", F.lit(""))
+    return items_now(spark, sf_dir).select("item_id", urls.is_lasting(url).alias("lasting"), urls.is_model(url).alias("model"))
 
 
 @query(rf"""with {I_SQL}, u as (select item_id, list_distinct(list_filter([regexp_replace(coalesce(canonical_url, ''), '/+$', ''), regexp_replace(coalesce(target_url, ''), '/+$', '')], lambda z: z <> '' and not contains(z, '://forum.example/'))) as s from i) select item_id, len(s) as outside from u""")
@@ -213,24 +249,53 @@ def c29_engagement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items_now(spark, sf_dir).select("item_id", F.round(scores.engagement(F.col("liked"), F.col("discussed")), 6).alias("engagement"))
 
 
-@query(f"""with {P_SQL}, x as (select post_id, 100 * cume_dist() over (partition by lower(subreddit) order by score) as pct, coalesce(num_comments, 0) / 24.0 as v,
-case when coalesce(upvote_ratio, 0) < 0.5 then 0 else ln(1 + coalesce(num_comments, 0)) * least(upvote_ratio, 1) end as d from p where score is not null)
-select post_id, round(0.3 * pct + 0.25 * least(v * 10, 100) + 0.2 * least(d * 10, 100) + 0.1 * 0.5 * 100, 4) as pulse from x""")
-def c32_pulse_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pulse of every post, age 24 hours, novelty unknown."""
-    posts = posts_now(spark, sf_dir).where("score is not null").withColumn("percentile", scores.section_percentile(F.col("subreddit"), F.col("score")))
-    speed, depth = scores.velocity(F.col("num_comments"), F.lit(24.0)), scores.discussion_depth(F.col("num_comments"), F.col("upvote_ratio"))
-    return posts.select("post_id", F.round(scores.pulse_score(F.col("percentile"), speed, depth, F.lit(0.0), F.lit(0.5)), 4).alias("pulse"))
+_ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
 
 
-@query("""with g as (select dedupe_group_id as g, max(coalesce(raw_engagement['score'], raw_engagement['points'], raw_engagement['votes'], 0)) as best, count(distinct provider) filter (source_cluster = 'mainstream') as cov from items where dedupe_group_id <> '' group by 1)
-select g as story_id, round(least(best, 100) / 100 * (1 - least(cov, 5) / 5), 6) as gap from g""")
+@query(f"""with {P_SQL}, t as (select *, lower(subreddit) as s, {PULSE_SQL} as w, case when regexp_matches(created_utc, '{_ISO}') and try_cast(created_utc as timestamptz) is not null then greatest(1, (epoch(cast(snapshot_date || 'T23:59:59Z' as timestamptz)) - epoch(try_cast(created_utc as timestamptz))) / 3600) else 24 end as h from p),
+o as (select distinct {PULSE_SQL} as w from posts where snapshot_id < (select max(snapshot_id) from posts) and cast(snapshot_date as date) >= (select max(cast(snapshot_date as date)) from posts) - 7 and title is not null),
+r as (select a.post_id, least(4, count(distinct b.s)) * 0.25 as repetition from t a join t b on a.s <> b.s and len(a.w) > 0 and len(list_intersect(a.w, b.w)) * 2 >= len(list_distinct(list_concat(a.w, b.w))) group by 1),
+n as (select distinct a.post_id from t a join o on len(a.w) > 0 and len(list_intersect(a.w, o.w)) * 5 >= len(list_distinct(list_concat(a.w, o.w))) * 3),
+x as (select t.post_id, 100 * cume_dist() over (partition by s order by coalesce(score, 0)) as pct, coalesce(num_comments, 0) / h as v, case when coalesce(upvote_ratio, 0.5) < 0.5 then 0 else ln(1 + coalesce(num_comments, 0)) * least(coalesce(upvote_ratio, 0.5), 1) end as d,
+coalesce(repetition, 0) as repetition, case when len(w) = 0 then 0.5 when n.post_id is not null then 0 else 1 end as novelty from t left join r using (post_id) left join n using (post_id))
+select post_id, round(pct, 4) as percentile, round(v, 4) as velocity, round(d, 4) as depth, repetition::double as repetition, novelty::double as novelty, round(least(100, 0.3 * pct + 0.25 * least(v * 10, 100) + 0.2 * least(d * 10, 100) + 0.15 * repetition * 100 + 0.1 * novelty * 100), 4) as pulse from x""")
+def c32_pulse_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pulse of every post of the last snapshot and its parts.
+
+    The age ends with the snapshot's day; a time not written in ISO form counts as 24 hours.
+    Repetition: similar titles in other sections; novelty: none like it in the seven days before.
+    """
+    posts = posts_now(spark, sf_dir).withColumn("w", text.pulse_tokens(F.col("title"))).withColumn("s", F.lower("subreddit"))
+    last = table(spark, sf_dir, "posts").agg(F.max("snapshot_id").alias("id"), F.max("snapshot_date").alias("day")).first()
+    history = table(spark, sf_dir, "posts").where((F.col("snapshot_id") < last["id"]) & (F.to_date("snapshot_date") >= F.date_sub(F.lit(last["day"]).cast("date"), 7)) & F.col("title").isNotNull())
+    repeated = repetition(posts.select("post_id", "s", "w"), "post_id", "s", "w").withColumn("repetition", F.col("sections") * 0.25)
+    seen = seen_before(posts.select("post_id", "w"), history.select(text.pulse_tokens(F.col("title")).alias("w")), "post_id", "w").withColumn("seen", F.lit(True))
+    posts = posts.join(repeated.select("post_id", "repetition"), "post_id", "left").join(seen, "post_id", "left")
+    zero = F.lit(0)
+    posts = posts.withColumns({
+        "percentile": scores.section_percentile(F.col("subreddit"), F.coalesce("score", zero)), "repetition": F.coalesce("repetition", F.lit(0.0)),
+        "velocity": scores.velocity(F.coalesce("num_comments", zero), scores.age_hours(F.col("created_utc"), F.col("snapshot_date"), _ISO)),
+        "depth": scores.discussion_depth(F.col("num_comments"), F.coalesce("upvote_ratio", F.lit(0.5))), "novelty": F.when(F.size("w") == 0, 0.5).when(F.col("seen"), 0.0).otherwise(1.0),
+    })
+    pulse = scores.pulse_score(*(F.col(c) for c in ("percentile", "velocity", "depth", "repetition", "novelty")))
+    parts = [F.round(c, 4).alias(c) for c in ("percentile", "velocity", "depth")]
+    return posts.select("post_id", *parts, "repetition", "novelty", F.round(pulse, 4).alias("pulse"))
+
+
+_GAP_OK = "(select count(*) filter (source_cluster = 'voices') > 0 and count(*) filter (source_cluster = 'mainstream') >= greatest(100, 0.2 * count(*) filter (source_cluster = 'voices')) from (select distinct item_id, source_cluster from items))"
+
+
+@query(f"""with g as (select dedupe_group_id as g, max(coalesce(raw_engagement['score'], raw_engagement['points'], raw_engagement['votes'], 0)) as best, count(distinct provider) filter (source_cluster = 'mainstream') as cov from items where dedupe_group_id <> '' group by 1)
+select g as story_id, round(case when {_GAP_OK} then least(best, 100) / 100 * (1 - least(cov, 5) / 5) else 0 end, 4) as gap from g""")
 def c34_perspective_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loud stories without mainstream coverage."""
+    """Loud stories without mainstream coverage; 0 where the collection has too few mainstream items to tell."""
     liked = F.coalesce(*(F.try_element_at("raw_engagement", F.lit(k)) for k in ("score", "points", "votes")), F.lit(0.0))
-    rows = table(spark, sf_dir, "items").where("dedupe_group_id <> ''").groupBy(F.col("dedupe_group_id").alias("story_id"))
+    items = table(spark, sf_dir, "items")
+    voices, mainstream = items.select("item_id", "source_cluster").distinct().agg(F.count_if(F.col("source_cluster") == "voices"), F.count_if(F.col("source_cluster") == "mainstream")).first()
+    rows = items.where("dedupe_group_id <> ''").groupBy(F.col("dedupe_group_id").alias("story_id"))
     rows = rows.agg(F.max(liked).alias("best"), F.count_distinct(F.when(F.col("source_cluster") == "mainstream", F.col("provider"))).alias("cov"))
-    return rows.select("story_id", F.round(scores.perspective_gap(F.least("best", F.lit(100.0)), F.col("cov")), 6).alias("gap"))
+    gap = scores.perspective_gap(F.least("best", F.lit(100.0)), F.col("cov")) if scores.gap_available(voices, mainstream) else F.lit(0.0)
+    return rows.select("story_id", F.round(gap, 4).alias("gap"))
 
 
 @query("""with n as (select vec_id, unnest(embedding) as x, generate_subscripts(embedding, 1) as k, label from embeddings), c as (select label, k, avg(x) as m from n group by 1, 2),

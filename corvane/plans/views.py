@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import scores, text
 from corvane.operators import grouping, trends
 from corvane.operators.diversify import capped_feed
-from corvane.plans.base import I_SQL, P_SQL, items_now, posts_now
+from corvane.plans.base import I_SQL, P_SQL, day, day_sql, items_now, posts_now
 from corvane.plans.texts import _WORDS_SQL
 from corvane.runtime import Scratch, table
 
@@ -41,7 +41,7 @@ def f6_pulse_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with t as (select distinct unnest(domain_ids) as trend, dedupe_group_id as story_id, item_id from items where dedupe_group_id <> '')
 select trend, story_id, count(*) as items from t group by 1, 2 having count(*) >= 2""")
 def j4_trend_story_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trends, their stories and items: bridge of bridges."""
+    """Trends, their stories and items: bridge of bridges."""
     rows = _stories(spark, sf_dir).select(F.explode("domain_ids").alias("trend"), "story_id", "item_id").distinct()
     return rows.groupBy("trend", "story_id").agg(F.count("*").alias("items")).where("items >= 2")
 
@@ -56,7 +56,7 @@ def j16_latest_per_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {P_SQL}, s as (select *, row_number() over (order by score desc nulls last, post_id) as r1, row_number() over (order by num_comments desc nulls last, post_id) as r2 from p)
 select 'pulse' as shelf, post_id, r1 as place from s where r1 <= 10 union all select 'talk', post_id, r2 from s where r2 <= 10""")
 def a12_pulse_shelves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top lists by two measures."""
+    """Top lists by two measures."""
     posts, out = posts_now(spark, sf_dir).select("post_id", "score", "num_comments"), None
     for shelf, key in (("pulse", "score"), ("talk", "num_comments")):
         order = [F.desc_nulls_last(key), F.col("post_id")]
@@ -71,19 +71,19 @@ c as (select theme, day, count(distinct item_id) as n, count(distinct source_clu
 select theme, day, n, sources, avg_score, case when before is null then 'new' when n > before * 1.3 then 'growing' when n < before * 0.7 then 'fading' else 'stable' end as direction,
 round(sources * (1 + ln(1 + n)) * case when before is null then 1.5 else 1 end, 4) as strength from l""")
 def a22_theme_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Themes per day with direction and strength."""
+    """Themes per day with direction and strength."""
     liked = F.coalesce(*(F.try_element_at("raw_engagement", F.lit(k)) for k in ("score", "points", "votes"))).alias("liked")
     rows = table(spark, sf_dir, "items").select(F.explode("domain_ids").alias("theme"), F.col("snapshot_date").alias("day"), "source_cluster", liked, "item_id")
     rows = rows.groupBy(F.lower(F.trim("theme")).alias("theme"), "day").agg(F.count_distinct("item_id").alias("n"), F.count_distinct("source_cluster").alias("sources"), F.round(F.avg("liked"), 4).alias("avg_score"))
     rows = rows.withColumn("before", F.lag("n").over(Window.partitionBy("theme").orderBy("day")))
     strength = F.col("sources") * (1 + F.log1p("n")) * F.when(F.col("before").isNull(), 1.5).otherwise(1.0)
-    return rows.select("theme", "day", "n", "sources", "avg_score", scores.direction(F.col("n"), F.col("before"), F.lit(0)).alias("direction"), F.round(strength, 4).alias("strength"))
+    return rows.select("theme", "day", "n", "sources", "avg_score", scores.theme_direction(F.col("n"), F.col("before")).alias("direction"), F.round(strength, 4).alias("strength"))
 
 
 @query("""with s as (select dedupe_group_id as story, count(distinct item_id) as n, count(distinct provider) as p, count(distinct snapshot_date) as d from items where dedupe_group_id <> '' group by 1)
 select story as story_id, round(least(0.99, 0.4 * least(1, n / 10) + 0.3 * least(1, p / 3) + 0.3 * least(1, d / 5)), 4) as confidence from s""")
 def a24_trend_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confidence from items, providers and dates."""
+    """Confidence from items, providers and dates."""
     rows = _stories(spark, sf_dir).groupBy("story_id").agg(*(F.count_distinct(c).alias(c) for c in ("item_id", "provider", "snapshot_date")))
     part = lambda c, full, w: w * F.least(F.lit(1.0), F.col(c) / full)
     total = part("item_id", 10, 0.4) + part("provider", 3, 0.3) + part("snapshot_date", 5, 0.3)
@@ -104,11 +104,15 @@ _SCOPE = "case content_scope when 'full' then 100 when 'excerpt' then 70 when 'a
 select story as story_id, round(case when max(n) = 1 then least(60, avg(best)) else avg(best) end, 4) as evidence from r where k <= 2 group by 1""")
 def a27_evidence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of the best two providers' scope; one provider counts at most 60."""
+    return _evidence(spark, sf_dir).select("story_id", F.round("evidence", 4).alias("evidence"))
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     scope = F.when(F.col("content_scope") == "full", 100).when(F.col("content_scope") == "excerpt", 70).when(F.col("content_scope") == "abstract", 60).otherwise(40)
     rows = _stories(spark, sf_dir).groupBy("story_id", "provider").agg(F.max(scope).alias("best"))
     rows = rows.withColumns({"k": F.row_number().over(Window.partitionBy("story_id").orderBy(F.desc("best"), "provider")), "n": F.count("*").over(Window.partitionBy("story_id"))}).where("k <= 2")
     mean = F.avg("best")
-    return rows.groupBy("story_id").agg(F.round(F.when(F.max("n") == 1, F.least(F.lit(60.0), mean)).otherwise(mean), 4).alias("evidence"))
+    return rows.groupBy("story_id").agg(F.when(F.max("n") == 1, F.least(F.lit(60.0), mean)).otherwise(mean).alias("evidence"))
 
 
 @query(f"""with s as (select distinct dedupe_group_id as story, provider, item_id, {_SCOPE} as q from items where dedupe_group_id <> ''), b as (select *, row_number() over (partition by story, provider order by q desc, item_id) as k from s),
@@ -139,7 +143,7 @@ def t5_sort_by_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with l as (select item_id_a as a, item_id_b as b, max(score) as s from cluster_candidate_pairs where score is not null group by 1, 2), d as (select *, case when s >= 0.82 then 'auto' when s >= 0.62 then 'review' else 'reject' end as decision from l),
 r as (select *, row_number() over (partition by decision order by sha256('7|' || a || '|' || b)) as k from d) select decision, a, b from r where k <= case decision when 'auto' then 50 when 'review' then 40 else 10 end""")
 def t10_golden_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A seeded sample by decision, 50, 40 and 10."""
+    """A seeded sample by decision, 50, 40 and 10."""
     pairs = table(spark, sf_dir, "cluster_candidate_pairs").where("score is not null").groupBy(F.col("item_id_a").alias("a"), F.col("item_id_b").alias("b")).agg(F.max("score").alias("s"))
     decision = F.when(F.col("s") >= 0.82, "auto").when(F.col("s") >= 0.62, "review").otherwise("reject")
     order = F.sha2(F.concat(F.lit("7|"), "a", F.lit("|"), "b"), 256)
@@ -199,21 +203,26 @@ def c11_shortened(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {P_SQL} select post_id, 256 * 0 + ('0x' || substr(sha256(lower(author)), 1, 8))::bigint % 256 as bucket from p where author is not null""")
 def c28_hashed_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bucket of a hashed feature."""
+    """Bucket of a hashed feature."""
     bucket = F.conv(F.substring(F.sha2(F.lower("author"), 256), 1, 8), 16, 10).cast("bigint") % 256
     return posts_now(spark, sf_dir).where("author is not null").select("post_id", bucket.alias("bucket"))
 
 
-@query("""with s as (select dedupe_group_id as story, count(distinct source_cluster) as c, count(distinct item_id) as n, count(distinct provider) as p, min(snapshot_date) as first from items where dedupe_group_id <> '' group by 1),
-v as (select *, case when c <= 0 then 0 when c = 1 then 25 when c = 2 then 55 when c = 3 then 75 when c = 4 then 90 else 100 end as cov, case when first >= '2025-11-04' then 100 when first >= '2025-11-03' then 80 when first >= '2025-11-01' then 55 when first >= '2025-10-28' then 30 else 10 end as nov from s)
-select story as story_id, round(0.30::double * 50 + 0.25::double * cov + 0.20 * 50 + 0.15 * nov + 0.10 * 50, 4) as trend_score, case when p >= 3 then 'high' when p >= 2 then 'medium' else 'low' end as confidence from v""")
+@query(f"""with s as (select dedupe_group_id as story, count(distinct source_cluster) as c, count(distinct item_id) as n, count(distinct provider) as p, min(snapshot_date) as first from items where dedupe_group_id <> '' group by 1),
+v as (select *, case when c <= 0 then 0 when c = 1 then 25 when c = 2 then 55 when c = 3 then 75 when c = 4 then 90 else 100 end as cov, case when a <= 0 then 100 when a <= 1 then 80 when a <= 3 then 55 when a <= 7 then 30 else 10 end as nov from (select *, date_diff('day', cast(first as date), cast({day_sql()} as date)) as a from s)),
+e as (select story, case when max(n) = 1 then least(60, avg(best)) else avg(best) end as ev from (select *, row_number() over (partition by story order by best desc, provider) as k, count(*) over (partition by story) as n from (select dedupe_group_id as story, provider, max({_SCOPE}) as best from items where dedupe_group_id <> '' group by 1, 2)) where k <= 2 group by 1),
+m as (select story, list_sort(list(ep)) as q from (select distinct i.dedupe_group_id as story, i.item_id, o.ep from items i join (select item_id, max_by(engagement_percentile, observed_at) as ep from observations where engagement_percentile is not null group by 1) o using (item_id) where dedupe_group_id <> '') group by 1)
+select v.story as story_id, round(0.30::double * 25 + 0.25::double * cov + 0.20 * (0.5 * coalesce(q[len(q) // 2 + 1], 50) + 25) + 0.15 * nov + 0.10 * ev, 2) as trend_score, case when p >= 3 and ev >= 70 then 'high' when p >= 2 or ev >= 60 then 'medium' else 'low' end as confidence from v join e using (story) left join m using (story)""")
 def c30_trend_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted trend score, missing parts at 50, and confidence."""
+    """Weighted trend score and confidence: goals (25, as none is set), coverage, momentum (upper median of percentiles; counts before are unknown), novelty, evidence."""
     rows = _stories(spark, sf_dir).groupBy("story_id").agg(F.count_distinct("source_cluster").alias("c"), F.count_distinct("provider").alias("p"), F.min("snapshot_date").alias("first"))
-    age = F.date_diff(F.lit("2025-11-04").cast("date"), F.col("first").cast("date"))
-    none = F.lit(None).cast("double")
-    score = scores.weighted([(none, 0.30), (scores.coverage_score(F.col("c")), 0.25), (none, 0.20), (scores.novelty_by_age(age), 0.15), (none, 0.10)])
-    return rows.select("story_id", F.round(score, 4).alias("trend_score"), scores.confidence(F.col("p"), F.when(F.col("p") >= 3, 70).otherwise(50)).alias("confidence"))
+    age = F.date_diff(F.lit(day(spark, sf_dir)).cast("date"), F.col("first").cast("date"))
+    seen = table(spark, sf_dir, "observations").where("engagement_percentile is not null").groupBy("item_id").agg(F.max_by("engagement_percentile", "observed_at").alias("ep"))
+    heard = _stories(spark, sf_dir).select("story_id", "item_id").distinct().join(seen, "item_id").groupBy("story_id").agg(scores.upper_median(F.collect_list("ep")).alias("median"))
+    rows = rows.join(_evidence(spark, sf_dir), "story_id").join(heard, "story_id", "left")
+    momentum = scores.weighted([(F.col("median"), 0.5), (F.lit(None), 0.3), (F.lit(None), 0.2)])
+    score = scores.weighted([(F.lit(25.0), 0.30), (scores.coverage_score(F.col("c")), 0.25), (momentum, 0.20), (scores.novelty_by_age(age), 0.15), (F.col("evidence"), 0.10)])
+    return rows.select("story_id", F.round(score, 2).alias("trend_score"), scores.confidence(F.col("p"), F.col("evidence")).alias("confidence"))
 
 
 @query("""with g as (select dedupe_group_id as g, max(coalesce(raw_engagement['score'], raw_engagement['points'], raw_engagement['votes'], 0)) as best, count(distinct provider) as sources, count(distinct provider) filter (source_cluster = 'mainstream') as cov from items where dedupe_group_id <> '' group by 1),
@@ -228,20 +237,20 @@ def c35_gap_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {I_SQL} select item_id, round(case when list_contains(domain_ids, 'ai') then 20 when list_contains(domain_ids, 'business') then 12 else 5 end + case source_cluster when 'mainstream' then 10 when 'developers' then 8 else 4 end
-+ least(8, ln(1 + greatest(coalesce(liked, 0), 0))) + least(5, ln(1 + greatest(coalesce(discussed, 0), 0))) + case when snapshot_date = '2025-11-04' then 8 else 0 end, 6) as reading_score from i""")
++ least(8, ln(1 + greatest(coalesce(liked, 0), 0))) + least(5, ln(1 + greatest(coalesce(discussed, 0), 0))) + case when snapshot_date = {day_sql()} then 8 else 0 end, 6) as reading_score from i""")
 def c36_reading_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reading score from domain, cluster, engagement and freshness."""
     has = lambda d: F.array_contains("domain_ids", d)
     log = lambda c: F.log1p(F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0)))
     domain = F.when(has("ai"), 20).when(has("business"), 12).otherwise(5)
     cluster = F.when(F.col("source_cluster") == "mainstream", 10).when(F.col("source_cluster") == "developers", 8).otherwise(4)
-    score = domain + cluster + F.least(F.lit(8.0), log("liked")) + F.least(F.lit(5.0), log("discussed")) + F.when(F.col("snapshot_date") == "2025-11-04", 8).otherwise(0)
+    score = domain + cluster + F.least(F.lit(8.0), log("liked")) + F.least(F.lit(5.0), log("discussed")) + F.when(F.col("snapshot_date") == day(spark, sf_dir), 8).otherwise(0)
     return items_now(spark, sf_dir).select("item_id", F.round(score, 6).alias("reading_score"))
 
 
 @query()
 def o5_graph_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trends as components of the strong edges of the story graph."""
+    """Trends as components of the strong edges of the story graph."""
     rows = _stories(spark, sf_dir).select(F.col("story_id").alias("story"), F.explode("domain_ids").alias("d"), F.coalesce("source_section", F.lit("")).alias("s"))
     features = rows.select("story", F.concat_ws(":", "d", "s").alias("feature")).distinct().withColumn("weight", F.lit(0.5))
     edges = trends.strong_links(features)  # two features of weight 0.5
@@ -258,7 +267,7 @@ def o6_bucket_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def o10_diversified_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A feed of at most 60 with caps per provider and domain."""
+    """A feed of at most 60 with caps per provider and domain."""
     ranked = items_now(spark, sf_dir).select("item_id", "provider", F.coalesce(F.try_element_at("domain_ids", F.lit(1)), F.lit("other")).alias("domain"), F.coalesce("liked", F.lit(0.0)).alias("rank_score"))
     return capped_feed(ranked, {"provider": 4, "domain": 15}, 60)
 
@@ -273,13 +282,13 @@ def o16_trusted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("a", "b", F.col("m.source").alias("source"), (-F.col("m.s") >= 0.62).alias("label"))
 
 
-@query(f"""with {I_SQL}, t as (select item_id, sha256(coalesce(title, '') || chr(10) || substr(coalesce(excerpt, ''), 1, 1200)) as h, snapshot_date as d from i), c as (select distinct h from t where d < '2025-11-01')
+@query(f"""with {I_SQL}, t as (select item_id, sha256(coalesce(title, '') || chr(10) || coalesce(excerpt, '')) as h, snapshot_date as d from i), c as (select distinct h from t where d < {day_sql()})
 select count(distinct h) as missing from t where h not in (select h from c)""")
 def o20_missing_from_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inputs not yet in a content-addressed store."""
+    """Inputs of the last batch not yet in a content-addressed store."""
     key = F.sha2(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("excerpt", F.lit(""))), 256).alias("h")
     rows = items_now(spark, sf_dir).select(key, "snapshot_date")
-    return rows.join(rows.where("snapshot_date < '2025-11-01'").select("h").distinct(), "h", "left_anti").agg(F.count_distinct("h").alias("missing"))
+    return rows.join(rows.where(F.col("snapshot_date") < day(spark, sf_dir)).select("h").distinct(), "h", "left_anti").agg(F.count_distinct("h").alias("missing"))
 
 
 @query("""with g as (select dedupe_group_id as g, count(distinct item_id) as n, count(distinct provider) as p, bool_or(source_cluster = 'mainstream') as m from items where dedupe_group_id <> '' group by 1)
@@ -294,14 +303,14 @@ def o21_verified_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {I_SQL}, t as (select item_id, list_filter({_WORDS_SQL}, lambda x: x <> '') as w, provider from i), k as (select item_id, provider, unnest(list_distinct(w)) as word from t), c as (select word, count(*) as n, count(distinct provider) as p from k group by 1)
 select word, n, p as providers, round(least(0.95::double, 0.45::double + 0.06::double * p + 0.015::double * n), 4) as confidence from c where n >= 3 and p >= 2""")
 def x12_word_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of three items and two providers at least, with confidence."""
+    """Words of three items and two providers at least, with confidence."""
     rows = items_now(spark, sf_dir).select("item_id", "provider", F.explode(text.tokens(F.col("title"))).alias("word"))
     rows = rows.groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("provider").alias("providers")).where("n >= 3 and providers >= 2")
     return rows.select("word", "n", "providers", F.round(F.least(F.lit(0.95), 0.45 + 0.06 * F.col("providers") + 0.015 * F.col("n")), 4).alias("confidence"))
 
 
-@query("""with s as (select distinct item_id, snapshot_date, title from items where snapshot_date < '2025-11-04' order by snapshot_date desc, item_id, title limit 500), r as (select *, row_number() over (partition by item_id order by snapshot_date desc, title) as k from s) select item_id, snapshot_date from r where k = 1""")
+@query(f"""with s as (select distinct item_id, snapshot_date, title from items where snapshot_date < {day_sql()} order by snapshot_date desc, item_id, title limit 500), r as (select *, row_number() over (partition by item_id order by snapshot_date desc, title) as k from s) select item_id, snapshot_date from r where k = 1""")
 def x31_recent_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The limit comes before the dedupe."""
-    rows = table(spark, sf_dir, "items").where("snapshot_date < '2025-11-04'").select("item_id", "snapshot_date", "title").distinct().orderBy(F.desc("snapshot_date"), "item_id", "title").limit(500)
+    rows = table(spark, sf_dir, "items").where(F.col("snapshot_date") < day(spark, sf_dir)).select("item_id", "snapshot_date", "title").distinct().orderBy(F.desc("snapshot_date"), "item_id", "title").limit(500)
     return rows.groupBy("item_id").agg(F.max("snapshot_date").alias("snapshot_date"))

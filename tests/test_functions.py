@@ -59,8 +59,31 @@ def test_signal_types_and_domains(spark):
     assert kind("Anything", "stocks") == "market_investing"
     assert kind("New vaccine works") == "health_science"
     assert kind("hello there") == "discussion"
-    assert one(spark, classify.domains(F.lit("OpenAI chips and a layoff"), F.lit(""))) == ["ai_technology", "labor_career"]
-    assert one(spark, classify.domains(F.lit(""), F.lit(None).cast("string"))) == ["other"]
+    rows = spark.createDataFrame([(1, "OpenAI chips and a layoff", "", "x"), (2, "", None, "x"), (3, None, None, None)], "id int, title string, excerpt string, found string")
+    assert [r["d"] for r in classify.with_domains(rows, "title", "excerpt", "d").orderBy("id").collect()] == [["ai_technology", "labor_career"], ["other"], ["other"]]
+
+
+def test_typed_numbers(spark):
+    of = lambda t: {tuple(r) for r in one(spark, classify.typed_numbers(F.lit(t)))}
+    assert of("Raises $5.5B, up 12% in 3 towns") == {("currency:$", "5.5", "bn"), ("percent", "12", "base"), ("count", "3", "base")}
+    assert of("Raises $5.5 billion") == {("currency:$", "5.5", "bn")} and of("1,200 of 4 million") == {("count", "12", "base"), ("count", "4", "m")} and of(None) == set() == of("none")
+    conflict = lambda a, b: one(spark, classify.number_conflict(classify.typed_numbers(F.lit(a)), classify.typed_numbers(F.lit(b))))
+    assert not conflict("$5.5B", "$5.5 billion deal") and conflict("$5B", "$7B") and not conflict("$5B", "12%") and not conflict("none", "$5B") and not conflict("3 of 4", "4 towns")
+
+
+def test_hints(spark):
+    of = lambda c, t: one(spark, c(F.lit(t)))
+    assert of(classify.action_hint, "Acme sues rival") == "sue" and of(classify.action_hint, "nothing") is None
+    assert of(classify.places, "Chinese and American officials meet in Germany") == ["china", "germany", "united states"] and of(classify.places, "") == []
+    assert of(classify.is_prompt, "What’s your plan?") and not of(classify.is_prompt, "Whatever") and of(classify.is_housekeeping, "Game Thread: a at b") and of(classify.is_housekeeping, "ok 12")
+    assert of(text.is_low_signal, "Weekly Career Advice Thread") and not of(text.is_low_signal, "A career in advice")
+
+
+def test_directions(spark):
+    rows = spark.createDataFrame([("d1", "d1", 3, 2, None, None, None), ("d0", "d1", 3, 2, 2, 2, 1), ("d0", "d1", 1, 1, 3, 3, 1), ("d0", "d1", 3, 2, 3, 2, 20), ("d0", "d1", 2, 3, 3, 3, 1)], "f string, t string, n int, p int, n0 int, p0 int, gap int")
+    assert [r[0] for r in rows.select(scores.direction(*(F.col(c) for c in rows.columns))).collect()] == ["new", "growing", "fading", "resurfacing", "stable"]
+    trend = spark.createDataFrame([(False, 3, 2, 1), (True, 3, None, 0), (True, 2, 2, 8), (True, 3, 2, 1), (True, 1, 2, 3), (True, 2, 2, 1)], "r boolean, n int, n0 int, gap int")
+    assert [r[0] for r in trend.select(scores.lifecycle(*(F.col(c) for c in trend.columns))).collect()] == ["insufficient_history", "new", "resurfacing", "growing", "fading", "stable"]
 
 
 def test_scores(spark):

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from corvane.functions import text
 from corvane.operators import grouping, pairs, trends
 from corvane.runtime import ship_package
 
@@ -24,22 +25,72 @@ def test_components_equal_union_find(spark):
     assert found == {x: find(x) for x in list(parent)}
 
 
-def test_ladder(spark):
+def ladder(spark, items, **options):
     ship_package(spark)
-    items = [("a", "p", "2025-10-24", "", "Acme opens giant chip plant in Ohio"), ("b", "q", "2025-10-24", "", "Acme opens giant chip plant in Ohio today"),
-             ("c", "q", "2025-10-25", "https://x/y", "Other words entirely"), ("d", "r", "2025-10-25", "https://x/y", "Nothing like these here"), ("e", "r", "2025-10-25", "", None)]
-    rows = pairs.featured(spark.createDataFrame(items, "item_id string, provider string, day string, url string, title string"))
-    found = {(r["a"], r["b"]): (r["decision"], r["rule"]) for r in pairs.scored(pairs.blocked_pairs(pairs.blocking_keys(rows)), rows).collect()}
-    assert found[("a", "b")] == ("auto", "near duplicate") and found[("c", "d")] == ("auto", "shared url")
+    schema = "item_id string, provider string, section string, day string, url string, target_url string, title string, excerpt string, people array<string>"
+    rows = pairs.featured(spark.createDataFrame([(i, p, s, d, u, None, t, e, w) for i, p, s, d, u, t, e, w in items], schema))
+    return rows, pairs.scored(pairs.blocked_pairs(pairs.blocking_keys(rows)), rows, **options)
+
+
+def item(key, title, provider="p", day="2025-10-24", url="", excerpt="", people=(), section="s"):
+    return key, provider, section, day, url, title, excerpt, list(people)
+
+
+def test_ladder(spark):
+    title = "Acme launches giant chip plant near Springfield harbor"
+    items = [
+        item("a1", title), item("a2", title + " today", "q"), item("u1", "Other words entirely", "q", url="https://x.test/y/"), item("u2", "Nothing like these here", "r", url="https://x.test/y"),
+        item("l1", "First headline about tools", url="https://github.com/acme/tool"), item("l2", "Second story about things", "q", url="https://github.com/acme/tool"),
+        item("m1", "Acme publishes open language weights", url="https://huggingface.co/acme/model"), item("m2", "Open language weights from Acme", "q", url="https://huggingface.co/acme/model"),
+        item("n1", "Borealis raises $5.5B for fusion reactor program"), item("n2", "Borealis raises $5.5 billion for fusion reactor program", "q"), item("n3", "Borealis seeks $7 billion for fusion reactor site", "r"),
+        item("p1", "Committee hears long testimony over secret harbor papers", excerpt="In France it rained", people=["ann lee"]), item("p2", "Committee hears long testimony over secret harbor papers", "q", excerpt="In Japan it rained", people=["bob ray"]),
+        item("g1", "Top stories", url="https://x.test/1"), item("g2", "Top stories", "q", url="https://x.test/2"), item("r1", "Final score: Lions beat harbor town", section="scores"), item("r2", "Final score: Lions beat harbor town", "q"), item("e", None, "r"),
+    ]
+    rows, scored = ladder(spark, items)
+    found = {(r["a"], r["b"]): (r["decision"], r["rule"]) for r in scored.collect()}
+    assert found[("a1", "a2")] == ("auto", "near duplicate") and found[("u1", "u2")] == ("auto", "shared address") and found[("m1", "m2")] == ("auto", "shared model address")
+    assert ("l1", "l2") not in found and ("g1", "g2") not in found and ("r1", "r2") not in found
+    assert found[("n1", "n2")][0] == "auto" and found[("n1", "n3")] == found[("n2", "n3")] == ("reject", "conflict") and found[("p1", "p2")] == ("reject", "conflict")
     assert pairs.blocked_pairs(pairs.blocking_keys(rows), budget=1).count() == 1
 
 
+def test_ladder_score_and_review(spark):
+    items = [item("a", "Senate committee debates harbor funding while Delta unions protest loudly outside"), item("b", "Delta unions protest harbor funding debates", "q", day="2025-10-29"), item("c", "Completely different subject about gardens")]
+    _, scored = ladder(spark, items)
+    row = scored.where("a = 'a' and b = 'b'").first()
+    left, right = "senate committee debates harbor funding delta unions protest loudly outside", "delta unions protest harbor funding debates"
+    title = text.token_set_ratio(left, right)
+    assert row["title"] == round(title, 6) and row["jaccard"] == 0.6
+    expected = round(0.46 * title + 0.18 * 0.6 + 0.18 * 1.0 + 0.08 * 0.7 + 0.06, 4)
+    assert abs(row["score"] - max(expected, 0.0)) < 1e-9 and row["decision"] == "review"
+    _, bounded = ladder(spark, items, bounded=True)
+    assert bounded.where("a = 'a' and b = 'b'").first()["rule"] == "bounded"
+
+
+def scored_pairs(spark, rows):
+    full = [(*r, *("score", False, None)[len(r) - 4 :]) for r in rows]
+    return spark.createDataFrame(full, "a string, b string, score double, decision string, rule string, conflict boolean, provider string")
+
+
 def test_medoid_groups_refuse_chains(spark):
-    chain = [("a", "b", 0.9, "auto"), ("b", "c", 0.9, "auto"), ("c", "d", 0.8, "auto"), ("x", "y", 1.0, "auto"), ("x", "z", 0.3, "reject")]
-    found = {r["item_id"]: r["story"] for r in grouping.medoid_groups(spark.createDataFrame(chain, "a string, b string, score double, decision string")).collect()}
+    chain = scored_pairs(spark, [("a", "b", 0.9, "auto"), ("b", "c", 0.9, "auto"), ("c", "d", 0.8, "auto"), ("x", "y", 1.0, "auto"), ("x", "z", 0.3, "reject")])
+    found = {r["item_id"]: r["story"] for r in grouping.medoid_groups(chain).collect()}
     assert found["a"] == found["b"] == found["c"] != found["d"] and found["x"] == found["y"] and "z" not in found
 
 
+def test_guards_of_groups(spark):
+    names = [f"i{k}" for k in range(5)]
+    every = [(a, b) for k, a in enumerate(names) for b in names[k + 1 :]]
+    sizes = lambda rows, **how: sorted(r["count"] for r in grouping.medoid_groups(scored_pairs(spark, rows), **how).groupBy("story").count().collect())
+    one = [(a, b, 0.9, "auto", "score", False, "p") for a, b in every]
+    assert max(sizes(one)) == 3  # over three items of one provider need a firm pair
+    assert sizes([*one[:-1], (*one[-1][:4], "near duplicate", False, "p")]) == [5] or max(sizes([(*r[:4], "shared address", False, "p") for r in one])) == 5
+    assert sizes([(*r[:6], None) for r in one]) == [5]
+    assert max(sizes([(*r[:5], r[0] == "i0", None) for r in one])) == 4  # i0's pairs are in conflict
+    chain = [("a", "b", 0.9, "auto", "score", False, None), ("b", "c", 0.9, "auto", "score", False, None), ("c", "d", 0.9, "auto", "score", False, None), ("d", "e", 0.9, "auto", "score", False, None)]
+    assert sizes(chain, most=4) == [1, 4] or max(sizes(chain, most=4)) == 4
+
+
 def test_identity_is_one_to_one(spark):
     old = spark.createDataFrame([("o1", "1"), ("o1", "2"), ("o2", "3"), ("o2", "4")], "story string, item_id string")
     new = spark.createDataFrame([("n1", "1"), ("n1", "2"), ("n1", "3"), ("n2", "3"), ("n2", "4"), ("n3", "9")], "story string, item_id string")
