@@ -7,11 +7,60 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Floors of a release, as (metric, "max" or "min", bound).
-FLOORS = [
-    ("overmerge_ge8", "max", 0.0), ("overmerge_ge5", "max", 0.0), ("other_share", "max", 40.0), ("max_domain_share", "max", 50.0),
-    ("multi_per_1k", "min", 90.0), ("cross_per_1k", "min", 35.0), ("compression", "max", 0.85),
+# Floors of a release's quality, and how far a metric may move from the baseline; of the last three a fall is the regression.
+RELEASE_FLOORS = [
+    ("stories_overmerge_ge5", "max", 0.0), ("stories_overmerge_ge8", "max", 0.0), ("taxonomy_ai_tech_share", "max", 50.0), ("taxonomy_other_share", "max", 40.0), ("taxonomy_max_rubric_share", "max", 50.0), ("taxonomy_empty_rubrics", "max", 0.0),
+    ("trends_bad_name_count", "max", 0.0), ("trends_duplicate_name_count", "max", 0.0), ("pulse_other_share", "max", 35.0), ("stories_multi_per_1k", "min", 90.0), ("stories_cross_source_per_1k", "min", 35.0), ("stories_compression", "max", 0.85),
 ]
+TOLERANCES = {
+    "stories_overmerge_ge5": 0.0, "stories_overmerge_ge8": 0.0, "taxonomy_ai_tech_share": 5.0, "taxonomy_other_share": 5.0, "trends_bad_name_count": 0.0, "trends_duplicate_name_count": 0.0,
+    "stories_cross_source": 10.0, "stories_multi_per_1k": 20.0, "stories_cross_source_per_1k": 10.0,
+}
+FALLS = ("stories_cross_source", "stories_multi_per_1k", "stories_cross_source_per_1k")
+
+
+def _long(metrics: DataFrame, names: list[str]) -> DataFrame:
+    """(metric, value) of those columns of one row of metrics that are there."""
+    known = [c for c in names if c in metrics.columns]
+    return metrics.select(F.inline(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in known))))
+
+
+def floors_of(metrics: DataFrame, floors: list[tuple[str, str, float]]) -> DataFrame:
+    """(metric, value, op, bound, passed) of one row of metrics; metrics that aren't there are left out."""
+    bounds = metrics.sparkSession.createDataFrame(floors, "metric string, op string, bound double")
+    passed = F.when(F.col("op") == "max", F.col("value") <= F.col("bound")).otherwise(F.col("value") >= F.col("bound"))
+    return bounds.join(_long(metrics, [m for m, _, _ in floors]), "metric").withColumn("passed", passed)
+
+
+def regressions(metrics: DataFrame, baseline: DataFrame) -> DataFrame:
+    """(metric, current, before, delta, regressed) of the metrics that both rows have."""
+    now, old = (_long(df, list(TOLERANCES)) for df in (metrics, baseline))
+    allowed = metrics.sparkSession.createDataFrame([(m, t, m in FALLS) for m, t in TOLERANCES.items()], "metric string, tolerance double, falls boolean")
+    both = now.withColumnRenamed("value", "current").join(old.withColumnRenamed("value", "before"), "metric").join(allowed, "metric")
+    worse = F.when(F.col("falls"), F.col("current") < F.col("before") - F.col("tolerance")).otherwise(F.col("current") > F.col("before") + F.col("tolerance"))
+    return both.select("metric", "current", "before", F.round(F.col("current") - F.col("before"), 3).alias("delta"), worse.alias("regressed"))
+
+
+def rollup(rows: DataFrame) -> DataFrame:
+    """Dates, providers, clusters, scope and confidence of trends; rows: (trend, story, provider, source_cluster, day)."""
+    one = rows.groupBy("trend").agg(
+        *(F.count_distinct(c).alias(n) for c, n in (("story", "stories"), ("day", "dates"), ("provider", "providers"), ("source_cluster", "clusters"))),
+        F.min("day").alias("first_seen"), F.max("day").alias("last_seen"), F.max("source_cluster").alias("scope"),
+    )
+    confidence = F.least(F.lit(0.95), 0.42 + 0.06 * F.col("stories") + 0.05 * F.col("clusters") + 0.03 * F.col("dates"))
+    return one.withColumns({"scope": F.when(F.col("clusters") > 1, "mixed").otherwise(F.col("scope")), "confidence": F.round(confidence, 4)})
+
+
+def kinds(rows: DataFrame, today: str) -> DataFrame:
+    """(trend, kind, lifecycle) of trends by who tells them and by their age; rows as in rollup."""
+    one = rows.groupBy("trend").agg(
+        (F.count_distinct("provider") > 1).alias("cross"), F.bool_or(F.col("source_cluster") == "voices").alias("v"), F.bool_or(F.col("source_cluster") == "mainstream").alias("m"),
+        F.min("day").alias("first"), F.max("day").alias("last"), F.count_distinct("day").alias("dates"),
+    )
+    kind = F.when(F.col("v") & ~F.col("m"), "community_first").when(F.col("m") & ~F.col("v"), "mainstream_only").when(F.col("cross"), "cross_source").otherwise("unclassified")
+    age = F.date_diff(F.lit(today).cast("date"), F.to_date("first"))
+    life = F.when(age <= 2, "new").when((F.col("dates") >= 5) & (F.col("first") != F.col("last")), "growing").otherwise("stable")
+    return one.select("trend", kind.alias("kind"), life.alias("lifecycle"))
 
 
 def _sized(features: DataFrame, ratio: float, least_df: int) -> tuple[DataFrame, int]:
@@ -91,15 +140,6 @@ def term_weights(titles: DataFrame, terms: int = 4) -> DataFrame:
     return ranked.where(F.col("rank") <= terms).select("cluster", "rank", "term", "weight")
 
 
-def floor_results(metrics: DataFrame) -> DataFrame:
-    """(metric, value, op, bound, passed) of one row of metrics; a missing metric fails."""
-    floors = metrics.sparkSession.createDataFrame(FLOORS, "metric string, op string, bound double")
-    names = [c for c in metrics.columns if c in {m for m, _, _ in FLOORS}]
-    long = metrics.unpivot([], names, "metric", "value") if len(names) > 1 else metrics.select(F.lit(names[0]).alias("metric"), F.col(names[0]).alias("value"))
-    passed = F.when(F.col("op") == "max", F.col("value") <= F.col("bound")).otherwise(F.col("value") >= F.col("bound"))
-    return floors.join(long, "metric", "left").select("metric", "value", "op", "bound", F.coalesce(passed, F.lit(False)).alias("passed"))
-
-
 def precision_threshold(scores: DataFrame, target: float) -> float | None:
     """The lowest score (score, label) at which the rows from there up have the target precision; else the highest score; null without rows.
 

@@ -173,41 +173,6 @@ def c20_ctfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trends.term_weights(items_now(spark, sf_dir).select(F.col("source_cluster").alias("cluster"), words.alias("words")))
 
 
-_QUALITY = """with g as (select dedupe_group_id as g, count(distinct item_id) as n, count(distinct source_cluster) as c from items where dedupe_group_id <> '' group by 1),
-d as (select domain, count(*) as n from (select distinct item_id, domain_ids[1] as domain from items where len(domain_ids) > 0) group by 1),
-m as (select (select count(*) filter (n >= 8) from g)::double as overmerge_ge8, (select count(*) filter (n >= 5) from g)::double as overmerge_ge5,
-(select round(100.0 * count(*) filter (n >= 2) * 10 / greatest(sum(n), 1), 4) from g) as multi_per_1k, (select round(100.0 * count(*) filter (c >= 2) * 10 / greatest(sum(n), 1), 4) from g) as cross_per_1k,
-(select round(count(*) / greatest(sum(n), 1), 4) from g) as compression, (select round(100.0 * max(n) / sum(n), 4) from d) as max_domain_share, (select round(100.0 * coalesce(sum(n) filter (domain = 'other'), 0) / sum(n), 4) from d) as other_share)"""
-
-
-def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row of release metrics."""
-    items = table(spark, sf_dir, "items")
-    stories = items.where("dedupe_group_id <> ''").groupBy("dedupe_group_id").agg(F.count_distinct("item_id").alias("n"), F.count_distinct("source_cluster").alias("c"))
-    all_items = F.greatest(F.sum("n"), F.lit(1))
-    one = stories.agg(
-        F.count_if(F.col("n") >= 8).cast("double").alias("overmerge_ge8"), F.count_if(F.col("n") >= 5).cast("double").alias("overmerge_ge5"),
-        F.round(1000 * F.count_if(F.col("n") >= 2) / all_items, 4).alias("multi_per_1k"), F.round(1000 * F.count_if(F.col("c") >= 2) / all_items, 4).alias("cross_per_1k"),
-        F.round(F.count("*") / all_items, 4).alias("compression"),
-    )
-    domains = items.where(F.size("domain_ids") > 0).select("item_id", F.element_at("domain_ids", 1).alias("domain")).distinct().groupBy("domain").agg(F.count("*").alias("n"))
-    two = domains.agg(F.round(100 * F.max("n") / F.sum("n"), 4).alias("max_domain_share"), F.round(100 * F.coalesce(F.sum(F.when(F.col("domain") == "other", F.col("n"))), F.lit(0)) / F.sum("n"), 4).alias("other_share"))
-    return one.join(two)  # one row each
-
-
-@query(f"{_QUALITY} select * from m")
-def a15_quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality metrics of a release."""
-    return quality_metrics(spark, sf_dir)
-
-
-@query(_QUALITY + ", f(metric, op, bound) as (values " + ", ".join(f"('{m}', '{o}', {b}::double)" for m, o, b in trends.FLOORS) + """),
-v as (unpivot (select * from m) on columns(*) into name metric value value) select f.metric, v.value, f.op, f.bound, case when f.op = 'max' then v.value <= f.bound else v.value >= f.bound end as passed from f left join v using (metric)""")
-def a16_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Floors of a release."""
-    return trends.floor_results(quality_metrics(spark, sf_dir))
-
-
 @query("""with s as (select score, score >= 0.62 and length(reason) > 0 as label from cluster_candidate_pairs where score is not null), p as (select score, sum(label::int) as tp, count(*) as n from s group by 1),
 r as (select score, sum(tp) over (order by score desc) / sum(n) over (order by score desc) as p from p) select coalesce(min(score) filter (p >= 0.5), max(score)) as threshold from r""")
 def o15_precision_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:

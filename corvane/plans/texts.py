@@ -79,7 +79,10 @@ def c10_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posts_now(spark, sf_dir).select("post_id", F.explode(F.array_distinct(text.shingles(words, 3))).alias("shingle"))
 
 
-@query(f"with {P_SQL}, x as (select *, lower(concat_ws(' ', title, selftext)) as t from p) select post_id, case {_CASES} when coalesce(url, '') <> '' and not starts_with(url, 'https://forum.example/') then 'news_link' when coalesce(is_self, false) then 'discussion' else 'other' end as signal_type from x")
+SIGNAL_SQL = f"with {P_SQL}, x as (select *, lower(concat_ws(' ', title, selftext)) as t from p) select post_id, case {_CASES} when coalesce(url, '') <> '' and not starts_with(url, 'https://forum.example/') then 'news_link' when coalesce(is_self, false) then 'discussion' else 'other' end as signal_type from x"
+
+
+@query(SIGNAL_SQL)
 def c12_signal_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kind of every post."""
     kind = classify.signal_type(F.col("title"), F.col("selftext"), F.col("subreddit"), F.col("url"), F.col("is_self"))
@@ -98,7 +101,10 @@ v as ({' union all '.join(parts)}), r as (select *, row_number() over (partition
 select i.item_id, coalesce(string_agg(r.d, '|' order by r.rn), 'other') as domains from i left join r on r.item_id = i.item_id and r.rn <= 3 group by 1"""
 
 
-@query(_domain_sql())
+DOMAIN_SQL = _domain_sql()
+
+
+@query(DOMAIN_SQL)
 def c13_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to three domains of every item."""
     return classify.with_domains(items_now(spark, sf_dir), "title", "excerpt", "found").select("item_id", F.array_join("found", "|").alias("domains"))

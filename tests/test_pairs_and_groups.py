@@ -114,8 +114,15 @@ def test_threshold_and_floors(spark):
     rows = spark.createDataFrame([(0.9, True), (0.8, True), (0.8, False), (0.5, False)], "score double, label boolean")
     assert trends.precision_threshold(rows, 0.6) == 0.8 and trends.precision_threshold(rows, 1.0) == 0.9
     assert trends.precision_threshold(rows.limit(0), 0.5) is None
-    checked = trends.floor_results(spark.range(1).select(F.lit(0.0).alias("overmerge_ge8"), F.lit(0.9).alias("compression")))
-    assert {r["metric"]: r["passed"] for r in checked.collect() if r["passed"]} == {"overmerge_ge8": True}
+
+
+def test_floors_and_regressions(spark):
+    now = spark.range(1).select(F.lit(1).alias("stories_overmerge_ge5"), F.lit(0.9).alias("stories_compression"), F.lit(70.0).alias("stories_multi_per_1k"), F.lit(0).alias("taxonomy_empty_rubrics"))
+    checked = {r["metric"]: r["passed"] for r in trends.floors_of(now, trends.RELEASE_FLOORS).collect()}
+    assert checked == {"stories_overmerge_ge5": False, "stories_compression": False, "stories_multi_per_1k": False, "taxonomy_empty_rubrics": True}
+    before = spark.range(1).select(F.lit(1).alias("stories_overmerge_ge5"), F.lit(95.0).alias("stories_multi_per_1k"))
+    moved = {r["metric"]: (r["delta"], r["regressed"]) for r in trends.regressions(now, before).collect()}
+    assert moved == {"stories_overmerge_ge5": (0.0, False), "stories_multi_per_1k": (-25.0, True)}
 
 
 def test_feature_edges_keep_every_link(spark):
