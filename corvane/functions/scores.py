@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,17 +14,24 @@ def engagement(liked: Column, discussed: Column) -> Column:
     return F.log1p(F.greatest(F.coalesce(liked, zero), zero)) + 0.5 * F.log1p(F.greatest(F.coalesce(discussed, zero), zero))
 
 
-def section_percentile(section: Column, score: Column) -> Column:
-    """Share, in percent, of the section's rows with at most this score."""
-    return 100 * F.cume_dist().over(Window.partitionBy(F.lower(section)).orderBy(score))
-
-
-def average_rank_percentile(group: Column, value: Column) -> Column:
-    """Rank from 0 to 100 within the group, ties at their average rank; 50 if all are equal."""
-    own, tied = Window.partitionBy(group), Window.partitionBy(group, value)
-    rank = F.rank().over(Window.partitionBy(group).orderBy(value)) - 1 + (F.count("*").over(tied) - 1) / 2
-    all_equal = F.min(value).over(own).eqNullSafe(F.max(value).over(own))
-    return F.when(all_equal, F.lit(50.0)).otherwise(100 * rank / F.greatest(F.count("*").over(own) - 1, F.lit(1)))
+def with_percentile(rows: DataFrame, group: str, value: str, out: str, average: bool = False) -> DataFrame:
+    """Adds the percentile of a value within its group.
+
+    Plain: the share, in percent, of the group's rows with at most this value. Average: the
+    rank from 0 to 100, ties at their average rank; 50 if all are equal. Null groups and values
+    are groups and (lowest) values of their own. Only the distinct values of a group are
+    ordered, with their counts, so a group that holds a third of all rows needs no large sort.
+    """
+    counts = rows.groupBy(F.col(group).alias("_g"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    own = Window.partitionBy("_g")
+    upto, total = F.sum("_n").over(own.orderBy("_v")), F.sum("_n").over(own)
+    if average:
+        rank = (upto - F.col("_n") + (F.col("_n") - 1) / 2) / F.greatest(total - 1, F.lit(1))
+        share = F.when(F.count("*").over(own) == 1, F.lit(50.0)).otherwise(100 * rank)
+    else:
+        share = 100 * upto / total
+    ranked = counts.select("_g", "_v", share.alias(out))
+    return rows.join(ranked, F.col(group).eqNullSafe(F.col("_g")) & F.col(value).eqNullSafe(F.col("_v"))).drop("_g", "_v")
 
 
 def discussion_depth(comments: Column, ratio: Column) -> Column:

@@ -151,12 +151,15 @@ def scored(pairs: DataFrame, rows: DataFrame, bounded: bool = False) -> DataFram
     )
 
 
-def top_cosine(vectors: DataFrame, k: int, least: float, cells: int = 16) -> DataFrame:
+def top_cosine(vectors: DataFrame, k: int, least: float, cells: int | None = None, block: int = 4_096) -> DataFrame:
     """(a, b, cosine): the k nearest of every vector (id, embedding), in both directions, from `least` on.
 
-    Vectors are compared in blocks of cells x cells, each a bounded matrix product, and every
-    block's top k are merged; no row meets all others in one task.
+    Vectors are compared in blocks of cells x cells, each a matrix product of about block x
+    block, and every block's top k are merged; cells grow with the table, so no task does.
+    Exact, so the work grows with the square of the rows.
     """
+    if cells is None:
+        cells = max(2, -(-vectors.count() // block))
     import numpy as np
     import pandas as pd
 

@@ -7,35 +7,15 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.functions.ids import release_checksum
+from corvane.runtime import read_text, write_text
 
 
 class ReleaseError(RuntimeError):
     """A release that can't be written, or isn't what its manifest says."""
 
 
-def _fs(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
-    at, fs = _fs(spark, path)
-    return fs.exists(at)
-
-
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Writes beside the target and renames, so that readers see the old or the new text."""
-    at, fs = _fs(spark, path)
-    beside, _ = _fs(spark, path + ".new")
-    out = fs.create(beside, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    fs.delete(at, False)
-    fs.rename(beside, at)
-
-
-def _read_text(spark: SparkSession, path: str) -> str:
-    return "\n".join(r[0] for r in spark.read.text(path).collect())
+    return read_text(spark, path) is not None
 
 
 def freeze(rows: DataFrame, path: str, partition_by: list[str] | None = None, info: dict | None = None) -> dict:
@@ -48,13 +28,13 @@ def freeze(rows: DataFrame, path: str, partition_by: list[str] | None = None, in
     columns = sorted(rows.columns)
     found = release_checksum(spark.read.parquet(f"{path}/data").select(columns), columns).first()
     manifest = {"rows": found["rows"], "checksum": found["checksum"], "columns": columns, **(info or {})}
-    _write_text(spark, f"{path}/manifest.json", json.dumps(manifest, sort_keys=True))
+    write_text(spark, f"{path}/manifest.json", json.dumps(manifest, sort_keys=True))
     return manifest
 
 
 def verify(spark: SparkSession, path: str) -> DataFrame:
     """The release's rows, if they still have the manifest's checksum."""
-    manifest = json.loads(_read_text(spark, f"{path}/manifest.json"))
+    manifest = json.loads(read_text(spark, f"{path}/manifest.json"))
     rows = spark.read.parquet(f"{path}/data").select(manifest["columns"])
     found = release_checksum(rows, manifest["columns"]).first()
     if (found["rows"], found["checksum"]) != (manifest["rows"], manifest["checksum"]):
@@ -73,19 +53,19 @@ def publish(spark: SparkSession, root: str, channel: str, release: str, passed:
     if not passed:
         raise ReleaseError(f"{release} failed the gate")
     at = f"{root}/{channel}.json"
-    history = json.loads(_read_text(spark, at)) if _exists(spark, at) else []
-    _write_text(spark, at, json.dumps([*history, release]))
+    history = json.loads(read_text(spark, at)) if _exists(spark, at) else []
+    write_text(spark, at, json.dumps([*history, release]))
     return [*history, release]
 
 
 def published(spark: SparkSession, root: str, channel: str) -> str | None:
     at = f"{root}/{channel}.json"
-    return json.loads(_read_text(spark, at))[-1] if _exists(spark, at) else None
+    return json.loads(read_text(spark, at))[-1] if _exists(spark, at) else None
 
 
 def rollback(spark: SparkSession, root: str, channel: str) -> str:
     """Moves the pointer to the release before, as a new event of the history."""
-    history = json.loads(_read_text(spark, f"{root}/{channel}.json"))
+    history = json.loads(read_text(spark, f"{root}/{channel}.json"))
     earlier = [r for r in history if r != history[-1]]
     if not earlier:
         raise ReleaseError("there is no earlier release")

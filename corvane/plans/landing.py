@@ -125,15 +125,49 @@ def o18_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.select("rows", (F.col("checksum") == manifest["checksum"]).alias("same"))
 
 
-@query("select event_type, cast(date_trunc('day', ts) as varchar) as day, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
-def st1_daily_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tumbling event-time windows over a file stream, in complete mode: the result is a row per day and type."""
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"daily_{abs(hash(sf_dir))}"
-    counted = windows.counted(events, "ts", ["event_type"], "1 day", value="value")
-    counted.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", Scratch(spark, "stream").path("state")).start().awaitTermination()
-    return spark.table(name).select("event_type", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("day"), "n", F.round("total", 4).alias("total"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _appended(rows: DataFrame) -> DataFrame:
+    """What a stream appends to files until its sources are read: rows whose time the watermark has passed."""
+    scratch = Scratch(rows.sparkSession, "stream")
+    writer = rows.writeStream.format("parquet").outputMode("append").option("path", scratch.path("rows")).option("checkpointLocation", scratch.path("state"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(scratch.path("rows"))
+
+
+_MARK = "(select max(ts) - interval 1 hour from events)"
+
+
+@query(f"select event_type, cast(date_trunc('day', ts) as varchar) as day, count(*) as n, round(sum(value), 4) as total from events group by 1, 2 having max(date_trunc('day', ts)) + interval 1 day <= {_MARK}")
+def st1_daily_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tumbling event-time windows over a file stream, appended to files once the watermark has passed them."""
+    counted = _appended(windows.counted(_stream(spark, sf_dir), "ts", ["event_type"], "1 day", value="value"))
+    return counted.select("event_type", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("day"), "n", F.round("total", 4).alias("total"))
+
+
+@query(f"with w as (select event_type, date_trunc('day', ts) - to_days(k::int) as s from events, range(7) r(k)) select event_type, cast(s as varchar) as start, count(*) as n from w where s + interval 7 day <= {_MARK} group by 1, 2, s")
+def st4_sliding_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sliding windows of seven days, one a day, over a file stream."""
+    counted = _appended(windows.counted(_stream(spark, sf_dir), "ts", ["event_type"], "7 days", slide="1 day"))
+    return counted.select("event_type", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query(f"""with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) >= interval 6 hours then 1 else 0 end as cut from events), s as (select user_id, ts, sum(cut) over (partition by user_id order by ts rows unbounded preceding) as k from g),
+e as (select user_id, k, count(*) as n from s group by 1, 2 having max(ts) + interval 6 hours <= {_MARK}) select user_id, count(*) as sessions, sum(n)::bigint as events from e group by 1""")
+def st5_session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions with a pause of six hours over a file stream."""
+    ended = _appended(windows.sessions(_stream(spark, sf_dir), "ts", "user_id", "6 hours"))
+    return ended.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
+
+
+@query("select event_type, count(distinct user_id) as users from events group by 1")
+def st6_deduplicated_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event of each user and type within the watermark, over a file stream that is read at once."""
+    first = _appended(windows.deduplicated(_stream(spark, sf_dir), "ts", ["user_id", "event_type"], "30 days"))
+    return first.groupBy("event_type").agg(F.count("*").alias("users"))
 
 
 @query("select user_id, cast(date_trunc('day', ts) as varchar) as day, count(*) as n, count(distinct event_type) as kinds from events group by 1, 2 having count(*) >= 5")

@@ -10,11 +10,15 @@ from corvane.functions import text as tx
 from corvane.operators import clusterer, samples, trends
 from corvane.operators.diversify import capped_feed
 from corvane.plans.base import I_SQL, P_SQL, day, day_sql, items_now, posts_now
+from corvane.plans.serving import ORACLE as SERVING
+from corvane.plans.serving import w4_direction
 from corvane.plans.texts import DOMAIN_SQL, SIGNAL_SQL, _HOSTS, _URL, _WORDS_SQL, _quoted
 from corvane.runtime import Scratch, ship_package, table
+from corvane.sources import adapters
 from corvane.sources.items import to_items
 
 QUERIES, ORACLE = {}, {}
+ORACLE_W4 = SERVING["w4_direction"]
 
 
 def query(sql: str | None = None):
@@ -332,3 +336,121 @@ def x40_capped_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source's first twenty addresses, one row an address."""
     rows = table(spark, sf_dir, "items").where("canonical_url <> ''").groupBy("provider", "canonical_url").agg(F.min("item_id").alias("item_id"))
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("provider").orderBy("item_id"))).where("n <= 20").select("provider", "item_id")
+
+
+_CHANGES = ORACLE_W4.replace("select story, day, n as items", ", w as (select story, day, n as items", 1) + ")"
+
+
+@query(f"""{_CHANGES}, z as (select * from w where day = (select max(day) from w)), t as (select story, items from z where direction in ('new', 'growing', 'resurfacing') order by items desc, story limit 5),
+s as (select story, items from z where direction in ('stable', 'fading') order by items desc, story limit 10), m as (select story, items from z where story not in (select story from t) order by items desc, story limit 10)
+select 'top' as part, story, items from t union all select 'watch', story, items from s union all select 'mega', story, items from m""")
+def o14_briefing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest changes of the last run, ten stories to watch, and the ten largest that aren't among the changes."""
+    rows = w4_direction(spark, sf_dir)
+    last = Scratch(spark, "briefing").save(rows.where(F.col("day") == rows.agg(F.max("day")).first()[0]).select("story", "items", "direction"), "last")
+    best = lambda df, most: df.orderBy(F.desc("items"), "story").limit(most).select("story", "items")
+    top = best(last.where(F.col("direction").isin("new", "growing", "resurfacing")), 5)
+    parts = {"top": top, "watch": best(last.where(F.col("direction").isin("stable", "fading")), 10), "mega": best(last.join(top.select("story"), "story", "left_anti"), 10)}
+    named = [df.select(F.lit(part).alias("part"), "story", "items") for part, df in parts.items()]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+@query("""with t as (select dedupe_group_id as story, item_id, provider, title from items where dedupe_group_id <> '' and title is not null), g as (select story, count(distinct item_id) as n, count(distinct provider) as p from t group by 1),
+e as (select distinct story, title, len(list_distinct(regexp_extract_all(regexp_replace(title, '[^\\x00-\\x7f]', ' ', 'g'), '__ENTITY__'))) as e, length(title) as l from t), b as (select *, row_number() over (partition by story order by e desc, l, title) as k from e)
+select g.story, b.title, round(least(0.97::double, 0.55::double + 0.06::double * n + 0.08::double * p), 4) as confidence from g join b using (story) where k = 1 and n >= 2""".replace("__ENTITY__", tx.ENTITY))
+def x11_story_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X11: proposed stories of two items or more, named by the title of most entities, the shortest of these, with confidence."""
+    rows = table(spark, sf_dir, "items").where("dedupe_group_id <> '' and title is not null")
+    plain = F.regexp_replace("title", r"[^\x00-\x7f]", " ")
+    named = F.size(F.array_distinct(F.regexp_extract_all(plain, F.lit(tx.ENTITY), F.lit(0))))
+    best = F.min(F.struct((-named).alias("e"), F.char_length("title").alias("l"), "title")).alias("b")
+    rows = rows.groupBy(F.col("dedupe_group_id").alias("story")).agg(F.count_distinct("item_id").alias("n"), F.count_distinct("provider").alias("p"), best).where("n >= 2")
+    return rows.select("story", "b.title", F.round(F.least(F.lit(0.97), 0.55 + 0.06 * F.col("n") + 0.08 * F.col("p")), 4).alias("confidence"))
+
+
+@query("""with b as (select item_id, snapshot_date as d, sha256(coalesce(title, '') || '|' || coalesce(excerpt, '')) as h from items), l as (select distinct item_id, h from b where d = __LAST__), o as (select distinct item_id, h from b where d < __LAST__)
+select l.item_id, l.h as checksum, case when exists (select 1 from o where o.item_id = l.item_id and o.h = l.h) then 'imported' when exists (select 1 from o where o.item_id = l.item_id) then 'mismatch' else 'registered' end as status from l""".replace("__LAST__", day_sql()))
+def x15_import_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the last batch against the earlier ones by checksum."""
+    last = day(spark, sf_dir)
+    rows = table(spark, sf_dir, "items").select("item_id", "snapshot_date", F.sha2(F.concat_ws("|", F.coalesce("title", F.lit("")), F.coalesce("excerpt", F.lit(""))), 256).alias("checksum"))
+    old = rows.where(F.col("snapshot_date") < last).select("item_id", "checksum").distinct()
+    new = rows.where(F.col("snapshot_date") == last).select("item_id", "checksum").distinct()
+    same, known = old.withColumn("same", F.lit(True)), old.select("item_id").distinct().withColumn("known", F.lit(True))
+    status = F.when(F.col("same"), "imported").when(F.col("known"), "mismatch").otherwise("registered")
+    return new.join(same, ["item_id", "checksum"], "left").join(known, "item_id", "left").select("item_id", "checksum", status.alias("status"))
+
+
+@query("""with c as (select source_cluster as source, count(*) as n from items where source_cluster is not null group by 1) select source, 'ok' as status, n as rows from c union all select 'broken', 'error', 0 union all select 'silent', 'empty', 0 union all select 'unheard', 'skipped', 0""")
+def x3_adapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Health of adapters: one for each cluster, one that fails, one without rows, and a source without any."""
+    items = table(spark, sf_dir, "items")
+    names = [r[0] for r in items.where("source_cluster is not null").select("source_cluster").distinct().collect()]  # a few clusters
+
+    def broken(_: SparkSession) -> DataFrame:
+        raise ValueError("no answer")
+
+    run = {name: (lambda _, n=name: items.where(F.col("source_cluster") == n)) for name in names}
+    run |= {"broken": broken, "silent": lambda _: items.limit(0)}
+    return adapters.run_adapters(spark, run, [*names, "broken", "silent", "unheard"])[1].select("source", "status", "rows")
+
+
+@query("select snapshot_date, count(*) as rows from (select distinct snapshot_date, post_id, subreddit, score from posts) group by 1")
+def x7_snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots written as files partitioned by date, and read back."""
+    path = Scratch(spark, "snapshots").path("written")
+    posts = table(spark, sf_dir, "posts").select("snapshot_date", "post_id", "subreddit", "score").distinct()
+    adapters.write_snapshot({"posts": posts}, path, "snapshot_date")
+    rows = spark.read.schema(posts.schema).parquet(f"{path}/posts")
+    return rows.groupBy("snapshot_date").agg(F.count("*").alias("rows"))
+
+
+@query("""with p as (select distinct post_id, keyword from posts where snapshot_id = (select max(snapshot_id) from posts)) select 'forum:' || post_id as item_id, max(coalesce(keyword, '')) as keyword from p group by 1""")
+def s26_items_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last day's landed files, scans and keyword searches, read again into items."""
+    last = table(spark, sf_dir, "posts").agg(F.max("snapshot_id")).first()[0]
+    scratch, posts = Scratch(spark, "day"), table(spark, sf_dir, "posts").where(F.col("snapshot_id") == last).drop("snapshot_id", "ingested_at")
+    posts.where("keyword is null").write.json(scratch.path("day/posts.jsonl"))
+    posts.where("keyword is not null").write.json(scratch.path("day/keyword-search.jsonl"))
+    items, _ = adapters.items_of_day(spark, scratch.path("day"), ["posts.jsonl", "keyword-search.jsonl"], day(spark, sf_dir) + "T23:59:59Z")
+    words = posts.groupBy(F.concat(F.lit("forum:"), "post_id").alias("item_id")).agg(F.max(F.coalesce("keyword", F.lit(""))).alias("keyword"))
+    return items.select("item_id").join(words, "item_id")
+
+
+@query("""with l as (select item_id_a as a, item_id_b as b, max(score) as score from cluster_candidate_pairs where score is not null group by 1, 2), j as (select a, b, sha256(a || '|' || b) as input from l where score >= 0.62 and score < 0.82),
+c as (select distinct sha256(item_id_a || '|' || item_id_b) as input, max(score) as confidence from cluster_candidate_pairs where experiment_id = (select max(experiment_id) from cluster_candidate_pairs) and score is not null group by 1)
+select a, b, case when confidence is null then 'open' when confidence >= 0.85 then 'merge' when confidence between 0 and 1 then 'keep' else 'invalid' end as outcome from j left join c using (input)""")
+def o22_review_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs for review against answers kept by the hash of their input: open ones, merges of enough confidence, others, and answers that aren't valid."""
+    rows = table(spark, sf_dir, "cluster_candidate_pairs").where("score is not null").select("experiment_id", F.col("item_id_a").alias("a"), F.col("item_id_b").alias("b"), "score")
+    key = F.sha2(F.concat_ws("|", "a", "b"), 256).alias("input")
+    jobs = rows.groupBy("a", "b").agg(F.max("score").alias("score")).where("score >= 0.62 and score < 0.82").select("a", "b", key)
+    last = table(spark, sf_dir, "cluster_candidate_pairs").agg(F.max("experiment_id")).first()[0]
+    kept = rows.where(F.col("experiment_id") == last).groupBy(key).agg(F.max("score").alias("confidence"))
+    c = F.col("confidence")
+    outcome = F.when(c.isNull(), "open").when(c >= 0.85, "merge").when(c.between(0, 1), "keep").otherwise("invalid")
+    return jobs.join(kept, "input", "left").select("a", "b", outcome.alias("outcome"))
+
+
+@query("""with s as (select distinct item_id_a as a, item_id_b as b from cluster_candidate_pairs where experiment_id = (select min(experiment_id) from cluster_candidate_pairs)), i as (select item_id_a as a, item_id_b as b, score, row_number() over (partition by item_id_a, item_id_b order by score desc nulls last) as k from cluster_candidate_pairs where experiment_id = (select max(experiment_id) from cluster_candidate_pairs))
+select case when k > 1 then 'repeated' when score is null then 'unlabelled' when exists (select 1 from s where s.a = i.a and s.b = i.b) then 'imported' else 'unknown' end as outcome, count(*) as labels from i group by 1""")
+def o25_label_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of one experiment put to another's pairs: imported, repeated, without a label, and of unknown pairs."""
+    rows = table(spark, sf_dir, "cluster_candidate_pairs").withColumnsRenamed({"item_id_a": "a", "item_id_b": "b"})
+    low, high = rows.agg(F.min("experiment_id"), F.max("experiment_id")).first()
+    known = rows.where(F.col("experiment_id") == low).select("a", "b").distinct().withColumn("known", F.lit(True))
+    k = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.desc_nulls_last("score")))
+    labels = rows.where(F.col("experiment_id") == high).withColumn("k", k).join(known, ["a", "b"], "left")
+    outcome = F.when(F.col("k") > 1, "repeated").when(F.col("score").isNull(), "unlabelled").when(F.col("known"), "imported").otherwise("unknown")
+    return labels.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("labels"))
+
+
+@query(f"""with {_TRENDS}, d as (select trend, d, count(distinct story) as n from x group by 1, 2), l as (select *, lag(n) over (partition by trend order by d) as n0 from d), c as (select trend, n, case when n0 is null then 'new' when n / greatest(n0, 1) >= 1.5 then 'growing' when n / greatest(n0, 1) < 0.75 then 'fading' else 'stable' end as life from l where d = {day_sql()})
+select trend, life, n from c where n >= 2 and life <> 'stable' order by case life when 'growing' then 1 when 'new' then 2 else 3 end, n desc, trend limit 5""")
+def x36_change_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five first changes of trends in the last run: growing, new, fading ones."""
+    rows = _trend_rows(spark, sf_dir).groupBy("trend", "day").agg(F.count_distinct("story").alias("n"))
+    rows = rows.withColumn("before", F.lag("n").over(Window.partitionBy("trend").orderBy("day"))).where(F.col("day") == day(spark, sf_dir))
+    life = scores.lifecycle(F.lit(True), F.col("n"), F.col("before"), F.lit(2))
+    rank = F.when(F.col("life") == "growing", 1).when(F.col("life") == "new", 2).otherwise(3)
+    return rows.withColumn("life", life).where("n >= 2 and life <> 'stable'").orderBy(rank, F.desc("n"), "trend").limit(5).select("trend", "life", "n")

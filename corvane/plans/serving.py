@@ -288,8 +288,8 @@ def a30_split_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {P_SQL} select post_id, round(100 * cume_dist() over (partition by lower(subreddit) order by score), 4) as percentile from p where score is not null")
 def w1_section_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of the section's posts with at most this score."""
-    posts = posts_now(spark, sf_dir).where("score is not null")
-    return posts.select("post_id", F.round(scores.section_percentile(F.col("subreddit"), F.col("score")), 4).alias("percentile"))
+    posts = posts_now(spark, sf_dir).where("score is not null").select("post_id", F.lower("subreddit").alias("section"), "score")
+    return scores.with_percentile(posts, "section", "score", "percentile").select("post_id", F.round("percentile", 4).alias("percentile"))
 
 
 @query(f"""with {I_SQL}, v as (select *, ln(1 + greatest(coalesce(liked, 0), 0)) + 0.5 * ln(1 + greatest(coalesce(discussed, 0), 0)) as e0 from i), u as (select *, round(e0, 9) as e from v),
@@ -299,7 +299,8 @@ select item_id, round(case when lo = hi then 50 else 100 * r / greatest(n - 1, 1
 def w2_provider_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Engagement percentile within the provider, ties at their average rank."""
     rows = items_now(spark, sf_dir).withColumn("e", F.round(scores.engagement(F.col("liked"), F.col("discussed")), 9))
-    return rows.select("item_id", F.round(scores.average_rank_percentile(F.col("provider"), F.col("e")), 4).alias("percentile"))
+    rows = scores.with_percentile(rows.select("item_id", "provider", "e"), "provider", "e", "percentile", average=True)
+    return rows.select("item_id", F.round("percentile", 4).alias("percentile"))
 
 
 @query("""with o as (select item_id, list_sort(list(engagement_percentile)) as v from observations where engagement_percentile is not null group by 1) select item_id, v[len(v) // 2 + 1] as upper_median from o""")

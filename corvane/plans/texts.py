@@ -278,8 +278,8 @@ def c32_pulse_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = seen_before(posts.select("post_id", "w"), history.select(text.pulse_tokens(F.col("title")).alias("w")), "post_id", "w").withColumn("seen", F.lit(True))
     posts = posts.join(repeated.select("post_id", "repetition"), "post_id", "left").join(seen, "post_id", "left")
     zero = F.lit(0)
-    posts = posts.withColumns({
-        "percentile": scores.section_percentile(F.col("subreddit"), F.coalesce("score", zero)), "repetition": F.coalesce("repetition", F.lit(0.0)),
+    posts = scores.with_percentile(posts.withColumn("score", F.coalesce("score", zero)), "s", "score", "percentile").withColumns({
+        "repetition": F.coalesce("repetition", F.lit(0.0)),
         "velocity": scores.velocity(F.coalesce("num_comments", zero), scores.age_hours(F.col("created_utc"), F.col("snapshot_date"), _ISO)),
         "depth": scores.discussion_depth(F.col("num_comments"), F.coalesce("upvote_ratio", F.lit(0.5))), "novelty": F.when(F.size("w") == 0, 0.5).when(F.col("seen"), 0.0).otherwise(1.0),
     })

@@ -88,7 +88,7 @@ def test_directions(spark):
 
 def test_scores(spark):
     rows = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 3.0), ("b", 5.0)], "g string, v double")
-    found = rows.select("g", "v", scores.average_rank_percentile(F.col("g"), F.col("v")).alias("p"), scores.section_percentile(F.col("g"), F.col("v")).alias("s"))
+    found = scores.with_percentile(scores.with_percentile(rows, "g", "v", "p", average=True), "g", "v", "s")
     assert sorted((r["g"], r["v"], r["p"], round(r["s"], 2)) for r in found.collect()) == [("a", 1.0, 25.0, 66.67), ("a", 1.0, 25.0, 66.67), ("a", 3.0, 100.0, 100.0), ("b", 5.0, 50.0, 100.0)]
     assert one(spark, scores.upper_median(F.array(*map(F.lit, (4.0, 1.0, 3.0, 2.0))))) == 3.0
 
