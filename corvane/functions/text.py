@@ -162,10 +162,6 @@ def fuzzy_udf():
     return ratio
 
 
-def title_similarity(fuzzy: Column, shared: Column) -> Column:
-    return 0.6 * shared + 0.4 * fuzzy
-
-
 def title_shingles(words: Column) -> Column:
     """Distinct runs of three words; of fewer words the words themselves."""
     return F.array_distinct(F.when(F.size(words) < 3, words).otherwise(shingles(words, 3)))

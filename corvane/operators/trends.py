@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions import classify
+from corvane.functions import text as tx
+
 # Floors of a release's quality, and how far a metric may move from the baseline; of the last three a fall is the regression.
 RELEASE_FLOORS = [
     ("stories_overmerge_ge5", "max", 0.0), ("stories_overmerge_ge8", "max", 0.0), ("taxonomy_ai_tech_share", "max", 50.0), ("taxonomy_other_share", "max", 40.0), ("taxonomy_max_rubric_share", "max", 50.0), ("taxonomy_empty_rubrics", "max", 0.0),
@@ -86,6 +89,40 @@ def feature_edges(features: DataFrame, ratio: float = 0.08, least_df: int = 20)
     return met.select("a", "b", F.round(F.aggregate("both", F.lit(0.0), lambda t, f: t + f["weight"]), 6).alias("weight"))
 
 
+# Weights of shared features, phrases that name no topic, and what distance in time costs.
+FEATURE_WEIGHTS = {"pain": 0.5, "topic": 0.45, "action": 0.12}
+GENERIC_TOPICS = ["ai agent", "artificial intelligence", "machine learning", "open source", "president trump", "social media", "united states", "white house"]
+FAR, FARTHER = (30, 0.08), (45, 0.2)
+
+
+def story_features(stories: DataFrame) -> DataFrame:
+    """Adds `features`, an array of (feature, weight), to stories (story, title, excerpt): topics (pairs of neighbouring words of the title's first five), pains and an action."""
+    words = F.filter(F.split(tx.normalized_title(F.col("title")), " "), lambda w: (w != "") & ~w.rlike("^[0-9]+$"))
+    rows = stories.withColumn("_w", F.slice(F.transform(words, tx.stem), 1, 5))
+    twos = F.filter(tx.shingles(F.col("_w"), 2), lambda t: (F.substring_index(t, " ", 1) != F.substring_index(t, " ", -1)) & ~t.isin(GENERIC_TOPICS))
+    body = F.concat_ws(" ", "title", "excerpt")
+    named = lambda values, kind: F.transform(values, lambda v: F.struct(F.concat(F.lit(f"{kind}:"), v).alias("feature"), F.lit(FEATURE_WEIGHTS[kind]).alias("weight")))
+    topics = F.when(tx.is_low_signal(F.col("title")), F.array().cast("array<string>")).otherwise(F.array_distinct(twos))
+    found = F.concat(named(topics, "topic"), named(classify.pain_points(body), "pain"), named(F.array_compact(F.array(classify.action_hint(body))), "action"))
+    return rows.withColumn("features", found).drop("_w")
+
+
+def dated_edges(edges: DataFrame, stories: DataFrame) -> DataFrame:
+    """Edges (a, b, weight) of stories (story, first, last) less what the days between them cost."""
+    side = lambda s: stories.select(F.col("story").alias(s), F.to_date("first").alias(f"f{s}"), F.to_date("last").alias(f"l{s}"))
+    apart = F.greatest(F.date_diff("fa", "lb"), F.date_diff("fb", "la"), F.lit(0))
+    cost = F.when(apart > FARTHER[0], FARTHER[1]).when(apart > FAR[0], FAR[1]).otherwise(0.0)
+    return edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.round(F.col("weight") - cost, 4).alias("weight"))
+
+
+def best_edges(edges: DataFrame, most: int, least: float) -> DataFrame:
+    """Edges (a, b, weight) of at least this weight that are among the best `most` of either end, ties by the other end."""
+    kept = edges.where(F.col("weight") >= least)
+    ends = kept.select("a", "b", "weight", F.col("a").alias("n"), F.col("b").alias("o")).union(kept.select("a", "b", "weight", F.col("b").alias("n"), F.col("a").alias("o")))
+    place = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("weight"), "o"))
+    return ends.withColumn("k", place).where(F.col("k") <= most).select("a", "b", "weight").distinct()
+
+
 def common_members(features: DataFrame, ratio: float = 0.08, least_df: int = 20) -> DataFrame:
     """(feature, story, weight): members of the features that are too common for feature_edges; together they hold every link."""
     sized, cap = _sized(features, ratio, least_df)

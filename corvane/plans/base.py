@@ -54,3 +54,16 @@ I_SQL = f"""i as (select item_id, snapshot_date, canonical_url, liked, discussed
   select *, coalesce(raw_engagement['score'], raw_engagement['points'], raw_engagement['votes']) as liked, raw_engagement['comments'] as discussed,
     row_number() over (partition by item_id order by snapshot_date desc, canonical_url desc nulls last, observed_at desc nulls last) as rn
   from items) where rn = 1)"""
+
+#: Pairs with their best score, and a label that doesn't come from it: whether both items' last batches name the same first domain.
+LABELLED_SQL = f"""{I_SQL}, labelled as (select l.*, x.domain_ids[1] = y.domain_ids[1] as label from (select item_id_a, item_id_b, max(score) as score, max_by(signals_json, score) as signals from cluster_candidate_pairs where score is not null and item_id_a <> item_id_b group by 1, 2) l
+join i x on x.item_id = item_id_a join i y on y.item_id = item_id_b where x.domain_ids[1] is not null and y.domain_ids[1] is not null)"""
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id_a, item_id_b, score, signals, label) as in LABELLED_SQL."""
+    rows = table(spark, sf_dir, "cluster_candidate_pairs").where("score is not null and item_id_a <> item_id_b")
+    rows = rows.groupBy("item_id_a", "item_id_b").agg(F.max("score").alias("score"), F.max_by("signals_json", "score").alias("signals"))
+    first = items_now(spark, sf_dir).select("item_id", F.try_element_at("domain_ids", F.lit(1)).alias("d")).where("d is not null")
+    rows = rows.join(first.toDF("item_id_a", "x"), "item_id_a").join(first.toDF("item_id_b", "y"), "item_id_b")
+    return rows.select("item_id_a", "item_id_b", "score", "signals", (F.col("x") == F.col("y")).alias("label"))

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corvane.functions import classify, scores, urls
+from corvane.functions import classify, ids, scores, urls
 from corvane.functions import text as tx
 from corvane.operators import clusterer, samples, trends
 from corvane.operators.diversify import capped_feed
 from corvane.plans.base import I_SQL, P_SQL, day, day_sql, items_now, posts_now
 from corvane.plans.serving import ORACLE as SERVING
 from corvane.plans.serving import w4_direction
-from corvane.plans.texts import DOMAIN_SQL, SIGNAL_SQL, _HOSTS, _URL, _WORDS_SQL, _quoted
+from corvane.plans.texts import DOMAIN_SQL, SIGNAL_SQL, _HOSTS, _URL, _quoted
 from corvane.runtime import Scratch, ship_package, table
-from corvane.sources import adapters
+from corvane.sources import adapters, landed
 from corvane.sources.items import to_items
 
 QUERIES, ORACLE = {}, {}
@@ -454,3 +455,30 @@ def x36_change_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     life = scores.lifecycle(F.lit(True), F.col("n"), F.col("before"), F.lit(2))
     rank = F.when(F.col("life") == "growing", 1).when(F.col("life") == "new", 2).otherwise(3)
     return rows.withColumn("life", life).where("n >= 2 and life <> 'stable'").orderBy(rank, F.desc("n"), "trend").limit(5).select("trend", "life", "n")
+
+
+@query(f"with {I_SQL} select item_id, case " + " ".join(f"when contains(lower(canonical_url), '{x}') then '{y}'" for x, y in landed.FEED_SECTIONS) + " else 'top' end as section from i where canonical_url is not null")
+def s7_feed_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Section of an address by its words."""
+    return items_now(spark, sf_dir).where("canonical_url is not null").select("item_id", landed.feed_section(F.col("canonical_url")).alias("section"))
+
+
+@query("select provider, cast(null as double) as weight, host, round(tier * 1.0, 8) as tier from sources")
+def x17_with_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table read by a later schema: missing columns are null, types are cast."""
+    schema = T.StructType([T.StructField("provider", T.StringType()), T.StructField("weight", T.DoubleType()), T.StructField("host", T.StringType()), T.StructField("tier", T.DoubleType())])
+    return landed.with_defaults(table(spark, sf_dir, "sources"), schema).withColumn("tier", F.round("tier", 8))
+
+
+@query("select distinct least(item_id_a, item_id_b) || '|' || greatest(item_id_a, item_id_b) as pair from cluster_candidate_pairs where item_id_a is not null and item_id_b is not null")
+def c40_pair_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs by a key that doesn't depend on their order."""
+    rows = table(spark, sf_dir, "cluster_candidate_pairs").where("item_id_a is not null and item_id_b is not null")
+    return rows.select(ids.pair_key(F.col("item_id_a"), F.col("item_id_b")).alias("pair")).distinct()
+
+
+@query("""with l as (select item_id_a as a, item_id_b as b, max(score) as s from cluster_candidate_pairs where score is not null group by 1, 2) select a, b, round(1 / (1 + exp(-(8 * s - 5))), 6) as chance from l""")
+def c41_logistic_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logistic score of a pair."""
+    rows = table(spark, sf_dir, "cluster_candidate_pairs").where("score is not null").groupBy(F.col("item_id_a").alias("a"), F.col("item_id_b").alias("b")).agg(F.max("score").alias("s"))
+    return rows.select("a", "b", F.round(scores.sigmoid(8 * F.col("s") - 5), 6).alias("chance"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import scores
-from corvane.plans.base import I_SQL, P_SQL, day, day_sql, items_now, posts_now, snapshot, snapshot_sql
+from corvane.plans.base import I_SQL, LABELLED_SQL, P_SQL, day, day_sql, items_now, labelled, posts_now, snapshot, snapshot_sql
 from corvane.runtime import table
 
 QUERIES, ORACLE = {}, {}
@@ -236,14 +236,12 @@ def a14_release_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""with l as (select item_id_a, item_id_b, bool_or(score >= 0.62) as predicted, bool_or(score >= 0.8) as truth from cluster_candidate_pairs where score is not null group by 1, 2)
+@query(f"""with {LABELLED_SQL}, l as (select score >= 0.62 as predicted, label as truth from labelled)
 select count(*) filter (predicted and truth) as tp, count(*) filter (predicted and not truth) as fp, count(*) filter (not predicted and truth) as fn, count(*) filter (not predicted and not truth) as tn,
 round(count(*) filter (predicted and truth) / greatest(count(*) filter (predicted), 1), 4) as precision, round(count(*) filter (predicted and truth) / greatest(count(*) filter (truth), 1), 4) as recall from l""")
 def a17_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confusion matrix, precision and recall of a threshold against a stricter one."""
-    pairs = table(spark, sf_dir, "cluster_candidate_pairs").where("score is not null").groupBy("item_id_a", "item_id_b").agg(
-        F.bool_or(F.col("score") >= 0.62).alias("p"), F.bool_or(F.col("score") >= 0.8).alias("t")
-    )
+    """Confusion matrix, precision and recall of a threshold against labels that don't come from the score."""
+    pairs = labelled(spark, sf_dir).select((F.col("score") >= 0.62).alias("p"), F.col("label").alias("t"))
     p, t = F.col("p"), F.col("t")
     tp = F.count_if(p & t)
     return pairs.agg(

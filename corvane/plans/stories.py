@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import classify
 from corvane.functions import text as tx
 from corvane.operators import grouping, pairs, trends
-from corvane.plans.base import I_SQL, day, items_now
+from corvane.plans.base import I_SQL, LABELLED_SQL, day, items_now, labelled
 from corvane.operators.similar import distinct_sets, jaccard_pairs, repetition
 from corvane.plans.texts import PULSE_SQL, _WORDS_SQL
 from corvane.runtime import Scratch, ship_package, table
@@ -95,6 +95,21 @@ def x26_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).groupBy("decision", "rule").agg(F.count("*").alias("pairs"))
 
 
+@query()
+def o5_graph_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trends of at least three stories and two dates, by medoid-constrained merging over shared topics, pains and actions; the fifty largest."""
+    rows = table(spark, sf_dir, "items").where("dedupe_group_id <> '' and title is not null").groupBy(F.col("dedupe_group_id").alias("story"))
+    rows = rows.agg(F.min(F.struct("snapshot_date", "title", "excerpt")).alias("i"), F.min("snapshot_date").alias("first"), F.max("snapshot_date").alias("last"), F.count_distinct("snapshot_date").alias("dates"))
+    rows = Scratch(spark, "trends").save(trends.story_features(rows.select("story", "first", "last", "dates", "i.title", "i.excerpt")), "rows")
+    edges = trends.dated_edges(trends.feature_edges(rows.select("story", F.inline("features"))), rows)
+    edges = Scratch(spark, "trends").save(trends.best_edges(edges, 12, 0.45), "edges")
+    full = edges.select("a", "b", F.col("weight").alias("score"), F.lit("auto").alias("decision"), F.lit("score").alias("rule"), F.lit(False).alias("conflict"), F.lit(None).cast("string").alias("provider"))
+    groups = grouping.medoid_groups(full, least_edge=0.4)
+    found = groups.join(rows.select(F.col("story").alias("item_id"), "first", "last"), "item_id").groupBy(F.col("story").alias("trend"))
+    found = found.agg(F.count("*").alias("stories"), F.min("first").alias("first_seen"), F.max("last").alias("last_seen"), F.count_distinct("first").alias("dates"))
+    return found.where("stories >= 3 and dates >= 2").orderBy(F.desc("stories"), "trend").limit(50)
+
+
 @query()
 def o9_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stories of the later batches take over the ids of the earlier ones."""
@@ -173,23 +188,23 @@ def c20_ctfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trends.term_weights(items_now(spark, sf_dir).select(F.col("source_cluster").alias("cluster"), words.alias("words")))
 
 
-@query("""with s as (select score, score >= 0.62 and length(reason) > 0 as label from cluster_candidate_pairs where score is not null), p as (select score, sum(label::int) as tp, count(*) as n from s group by 1),
-r as (select score, sum(tp) over (order by score desc) / sum(n) over (order by score desc) as p from p) select coalesce(min(score) filter (p >= 0.5), max(score)) as threshold from r""")
+@query(f"""with {LABELLED_SQL}, p as (select score, sum(label::int) as tp, count(*) as n from labelled group by 1),
+r as (select score, sum(tp) over (order by score desc) / sum(n) over (order by score desc) as p from p) select coalesce(min(score) filter (p >= 0.25), max(score)) as threshold from r""")
 def o15_precision_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lowest threshold with the target precision."""
-    rows = table(spark, sf_dir, "cluster_candidate_pairs").where("score is not null").select("score", ((F.col("score") >= 0.62) & (F.length("reason") > 0)).alias("label"))
-    return spark.createDataFrame([(trends.precision_threshold(rows, 0.5),)], "threshold double")
+    """The lowest threshold at which a quarter of the pairs have the label."""
+    rows = labelled(spark, sf_dir).select("score", "label")
+    return spark.createDataFrame([(trends.precision_threshold(rows, 0.25),)], "threshold double")
 
 
 @query()
 def o15_merge_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logistic model of accepted pairs over their signals, and its probabilities per decile."""
+    """Logistic model of labelled pairs over their signals, and its probabilities per decile."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
     names = ["title", "dense", "entity"]
-    rows = table(spark, sf_dir, "cluster_candidate_pairs").where("score is not null")
-    rows = rows.select((F.col("score") >= 0.62).cast("double").alias("label"), *(F.coalesce(F.get_json_object("signals_json", f"$.{n}").try_cast("double"), F.lit(0.0)).alias(n) for n in names))
+    rows = labelled(spark, sf_dir)
+    rows = rows.select(F.col("label").cast("double").alias("label"), *(F.coalesce(F.get_json_object("signals", f"$.{n}").try_cast("double"), F.lit(0.0)).alias(n) for n in names))
     rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
     fitted = LogisticRegression(regParam=0.01, maxIter=50).fit(rows).transform(rows)
     decile = F.least(F.floor(F.element_at(_to_array("probability"), 2) * 10), F.lit(9)).cast("int")

@@ -96,10 +96,14 @@ def page_links(pages: DataFrame, key: str, html: str, article: str = r"^https?:/
     return rows.withColumn("n", first).where("n = 1").select(key, "url", "title")
 
 
+#: Words of feed addresses and their sections, in order.
+FEED_SECTIONS = [("world", "world"), ("politic", "politics"), ("business", "business"), ("tech", "technology"), ("science", "science"), ("health", "health"), ("sport", "sports"), ("art", "arts"), ("opinion", "opinion")]
+
+
 def feed_section(url: Column) -> Column:
     """Section of a feed's address by its words; top without any."""
     low, out = F.lower(url), F.when(F.lit(False), "")
-    for word, section in (("world", "world"), ("politic", "politics"), ("business", "business"), ("tech", "technology"), ("science", "science"), ("health", "health"), ("sport", "sports"), ("art", "arts"), ("opinion", "opinion")):
+    for word, section in FEED_SECTIONS:
         out = out.when(low.contains(word), section)
     return out.otherwise("top")
 

@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from corvane.operators.similar import distinct_sets, jaccard_pairs, repetition, seen_before
 
