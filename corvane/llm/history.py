@@ -25,7 +25,7 @@ from corvane.runtime import Scratch, delete_path, read_text, ship_package, write
 #: Rows of the band table in one of its hash buckets, beyond which the tables get twice as many.
 ROWS_PER_BUCKET = 4_000_000
 #: Texts of a batch in one band bucket that a probe meets at once; it meets the rest only if these leave it open.
-CROWDED = 64
+CROWDED = 1_024
 #: The tables, with the column they are bucketed by. A text is named by the two digests of its word set.
 TABLES = {
     "exact": ("bucket bigint, mark bigint, batch int", "bucket"),
@@ -42,7 +42,7 @@ class History:
     counts once the manifest names it: one that broke off is taken again as if never begun.
     """
 
-    def __init__(self, spark: SparkSession, path: str, shared: int = 3, of: int = 5, how: Signature = Signature(bands=24), buckets: int = 8):
+    def __init__(self, spark: SparkSession, path: str, shared: int = 3, of: int = 5, how: Signature = Signature(bands=28), buckets: int = 8):
         self.spark, self.path = spark, path.rstrip("/")
         self.state = {"shared": shared, "of": of, "how": asdict(how), "buckets": buckets, "generation": 0, "batches": 0, "begun": 0, "crowded": False, "bands": 0}
         found = read_text(spark, f"{self.path}/manifest.json")
