@@ -201,7 +201,13 @@ def a15_release_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return release_metrics(spark, sf_dir)
 
 
-@query()
+_FLOORED = [m for m, _, _ in trends.RELEASE_FLOORS if not m.startswith("trends_")]
+_COMPARED = [m for m in trends.TOLERANCES if not m.startswith("trends_")]
+
+
+@query(f"""with m as ({_QUALITY}), v as (unpivot (select {", ".join(f"{c}::double as {c}" for c in dict.fromkeys(_FLOORED + _COMPARED))} from m) on columns(*) into name metric value value),
+f(metric, op, bound) as (values {", ".join(f"('{m}', '{o}', {b}::double)" for m, o, b in trends.RELEASE_FLOORS)})
+select 'floor' as check, metric, value, case op when 'max' then value <= bound else value >= bound end as passed from f join v using (metric) union all select 'regression', metric, value, true from v where metric in ({_quoted(_COMPARED)})""")
 def a16_release_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Floors of a release, and its regressions against itself as the baseline (none)."""
     metrics = Scratch(spark, "quality").save(release_metrics(spark, sf_dir), "metrics")

@@ -136,7 +136,8 @@ def j12_feature_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trends.feature_edges(_story_features(spark, sf_dir))
 
 
-@query()
+@query("""with f as (select distinct dedupe_group_id as story, unnest(domain_ids) || ':' || coalesce(source_section, '') as feature from items where dedupe_group_id <> ''),
+n as (select feature from f group by 1 having count(*) > (select greatest(20, floor(0.08 * count(distinct story))) from f)) select feature, story, 0.5::double as weight from f join n using (feature)""")
 def j12_common_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The links of the commoner features, as their members."""
     return trends.common_members(_story_features(spark, sf_dir))
