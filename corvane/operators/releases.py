@@ -70,3 +70,18 @@ def rollback(spark: SparkSession, root: str, channel: str) -> str:
     if not earlier:
         raise ReleaseError("there is no earlier release")
     return publish(spark, root, channel, earlier[-1])[-1]
+
+
+def register(rows: DataFrame, root: str, stem: str, info: dict | None = None) -> str:
+    """Freezes rows as the next release of a stem below a folder, notes it in the folder's register, and returns its id."""
+    spark, at = rows.sparkSession, f"{root}/register.json"
+    known = json.loads(read_text(spark, at) or "[]")
+    name = next_id([r["id"] for r in known], stem)
+    manifest = freeze(rows, f"{root}/{name}", info=info)
+    write_text(spark, at, json.dumps([*known, {"id": name, "rows": manifest["rows"], "checksum": manifest["checksum"]}]))
+    return name
+
+
+def registered(spark: SparkSession, root: str) -> list[dict]:
+    """The register of a folder: id, rows and checksum of each release, in order."""
+    return json.loads(read_text(spark, f"{root}/register.json") or "[]")

@@ -67,3 +67,17 @@ def selection(items: DataFrame, limit: int, seed: int = 13, share: float = 0.4)
         return chosen.select("item_id", "part")
     held = F.row_number().over(Window.partitionBy("provider").orderBy("_p", "_v", "_h", "item_id"))
     return chosen.withColumn("_k", held).where(F.col("_k") <= int(limit * share)).select("item_id", "part")
+
+
+def with_neighbours(items: DataFrame, pairs: DataFrame, seeds: int, stratum: str = "provider", seed: int = 13, least: float = 0.65, shared: int = 2, days: int = 14) -> DataFrame:
+    """(item_id, part): seeds from the strata in turn, and for each seed its best neighbour.
+
+    pairs: (a, b, title, n_shared, same_url, days). A neighbour shares an address, or enough
+    words under a similar enough title, within so many days; the most similar title counts, ties by id.
+    """
+    chosen = in_turn(items, seeds, stratum, hashed(seed, "item_id")).select("item_id")
+    near = pairs.where((F.col("days") <= days) & (F.col("same_url") | ((F.col("n_shared") >= shared) & (F.col("title") >= least))))
+    both = near.select(F.col("a").alias("item_id"), F.col("b").alias("other"), "title").union(near.select("b", "a", "title"))
+    best = both.join(chosen, "item_id").groupBy("item_id").agg(F.min(F.struct((-F.col("title")).alias("t"), "other")).alias("m"))
+    more = best.select(F.col("m.other").alias("item_id")).distinct().join(chosen, "item_id", "left_anti")
+    return chosen.withColumn("part", F.lit("seed")).union(more.withColumn("part", F.lit("neighbour")))

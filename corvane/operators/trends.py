@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -187,3 +191,18 @@ def precision_threshold(scores: DataFrame, target: float) -> float | None:
     run = per.withColumn("precision", F.sum("tp").over(down) / F.sum("n").over(down))
     row = run.agg(F.min(F.when(F.col("precision") >= target, F.col("score"))).alias("at"), F.max("score").alias("top")).first()
     return row["at"] if row["at"] is not None else row["top"]
+
+
+def model_row(features: list[str], weights: list[float], bias: float) -> tuple[str, str]:
+    """(JSON, hash) of a linear model: features in order, numbers with eight decimals, so that equal models have equal hashes."""
+    if len(features) != len(weights):
+        raise ValueError("a weight for each feature")
+    text = json.dumps({"bias": f"{bias:.8f}", "features": features, "weights": [f"{w:.8f}" for w in weights]}, sort_keys=True, separators=(",", ":"))
+    return text, hashlib.sha256(text.encode()).hexdigest()[:16]
+
+
+def discover(method: str, ways: dict[str, Callable[[DataFrame], DataFrame]], stories: DataFrame, verified: DataFrame | None = None) -> DataFrame:
+    """Trends by one of several ways over stories (story, …), with `verified` (story) of these only; an unknown method is refused."""
+    if method not in ways:
+        raise ValueError(f"no method {method}: {', '.join(sorted(ways))}")
+    return ways[method](stories if verified is None else stories.join(verified.select("story").distinct(), "story", "left_semi"))

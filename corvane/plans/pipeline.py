@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from corvane.functions import classify, ids, scores, urls
 from corvane.functions import text as tx
-from corvane.operators import clusterer, samples, trends
+from corvane.operators import clusterer, pairs, releases, samples, trends
 from corvane.operators.diversify import capped_feed
 from corvane.plans.base import I_SQL, P_SQL, day, day_sql, items_now, posts_now
 from corvane.plans.serving import ORACLE as SERVING
@@ -488,3 +488,54 @@ def c41_logistic_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logistic score of a pair."""
     rows = table(spark, sf_dir, "cluster_candidate_pairs").where("score is not null").groupBy(F.col("item_id_a").alias("a"), F.col("item_id_b").alias("b")).agg(F.max("score").alias("s"))
     return rows.select("a", "b", F.round(scores.sigmoid(8 * F.col("s") - 5), 6).alias("chance"))
+
+
+@query("with n as (select count(distinct item_id) as n from items) select 'items-r1' as id, n as rows from n union all select 'items-r2', n from n union all select 'posts-r1', count(distinct post_id) from posts")
+def x10_release_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Releases registered under the next free id of their stem."""
+    root = Scratch(spark, "register").path("releases")
+    items, posts = table(spark, sf_dir, "items").select("item_id").distinct(), table(spark, sf_dir, "posts").select("post_id").distinct()
+    for rows, stem in ((items, "items"), (posts, "posts"), (items, "items")):
+        releases.register(rows, root, stem)
+    return spark.createDataFrame([(r["id"], r["rows"]) for r in releases.registered(spark, root)], "id string, rows bigint")
+
+
+@query(ORACLE["o14_briefing"])
+def x30_briefing_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A briefing stored as a release and read back by the newest of its versions."""
+    root = Scratch(spark, "briefings").path("store")
+    rows = o14_briefing(spark, sf_dir)
+    for version in (1, 2):
+        last = releases.register(rows, root, "briefing", {"version": version})
+    return releases.verify(spark, f"{root}/{last}").select("part", "story", "items")
+
+
+_MODEL = trends.model_row(["title", "jaccard", "dense"], [0.46, 0.18, 0.22], -1.5)
+
+
+@query(f"select '{_MODEL[0]}' as model, substr(sha256('{_MODEL[0]}'), 1, 16) as hash")
+def x42_model_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model as a row, with its hash."""
+    return spark.createDataFrame([_MODEL], "model string, hash string")
+
+
+@query("""with v as (select dedupe_group_id as story from items where dedupe_group_id <> '' group by 1 having count(distinct provider) >= 2), x as (select distinct unnest(domain_ids) || ':' || coalesce(source_section, '') as bucket, dedupe_group_id as story from items where dedupe_group_id in (select story from v))
+select bucket, count(*) as stories from x group by 1""")
+def x24_verified_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trends by the bucket method, of verified stories only."""
+    rows = table(spark, sf_dir, "items").where("dedupe_group_id <> ''").select(F.col("dedupe_group_id").alias("story"), "provider", F.explode_outer("domain_ids").alias("d"), F.coalesce("source_section", F.lit("")).alias("s"))
+    verified = rows.groupBy("story").agg(F.count_distinct("provider").alias("p")).where("p >= 2")
+    buckets = lambda df: df.where("d is not null").select(F.concat_ws(":", "d", "s").alias("bucket"), "story").distinct().groupBy("bucket").agg(F.count("*").alias("stories"))
+    return trends.discover("bucket", {"bucket": buckets}, rows, verified)
+
+
+@query()
+def t9_engine_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixty seeds from the providers in turn, each with its best neighbour by address or title."""
+    ship_package(spark)
+    rows = items_now(spark, sf_dir).select("item_id", "provider", F.col("source_section").alias("section"), F.col("snapshot_date").alias("day"), F.col("canonical_url").alias("url"), "target_url", "title", "excerpt")
+    rows = Scratch(spark, "slice").save(pairs.featured(rows), "rows")
+    side = lambda s: rows.select(F.col("item_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("day", "words", "joined", "urls")))
+    met = pairs.blocked_pairs(pairs.blocking_keys(rows)).select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    met = met.select("a", "b", tx.fuzzy_udf()("joined_a", "joined_b").alias("title"), F.size(F.array_intersect("words_a", "words_b")).alias("n_shared"), F.arrays_overlap("urls_a", "urls_b").alias("same_url"), F.abs(F.date_diff("day_a", "day_b")).alias("days"))
+    return samples.with_neighbours(rows, Scratch(spark, "slice").save(met, "met"), 60)
