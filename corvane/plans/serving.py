@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import scores
+from corvane.operators.ranks import numbered
 from corvane.plans.base import I_SQL, LABELLED_SQL, P_SQL, day, day_sql, items_now, labelled, posts_now, snapshot, snapshot_sql
 from corvane.runtime import table
 
@@ -424,7 +425,8 @@ def o12_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     is_kind = F.lower("subreddit").contains("hq")
     other = posts.where(~is_kind | F.col("subreddit").isNull())
     allowed = int(other.count() * 3 / 7)
-    return other.select("post_id").union(posts.where(is_kind).orderBy(F.desc_nulls_last("score"), "post_id").limit(allowed).select("post_id"))
+    ranked = numbered(posts.where(is_kind).select("post_id", "score"), [F.desc_nulls_last("score"), F.col("post_id")])
+    return other.select("post_id").union(ranked.where(F.col("n") <= allowed).select("post_id"))
 
 
 @query(f"""with {P_SQL}, s1 as (select post_id, 'hot' as shelf from p where score >= 100 order by score desc, post_id limit 6),
