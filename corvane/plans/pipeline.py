@@ -469,7 +469,7 @@ def s7_feed_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items_now(spark, sf_dir).where("canonical_url is not null").select("item_id", landed.feed_section(F.col("canonical_url")).alias("section"))
 
 
-@query("select provider, cast(null as double) as weight, host, round(tier * 1.0, 8) as tier from sources")
+@query("select provider, cast(null as double) as weight, host, round(tier::double, 8) as tier from sources")
 def x17_with_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table read by a later schema: missing columns are null, types are cast."""
     schema = T.StructType([T.StructField("provider", T.StringType()), T.StructField("weight", T.DoubleType()), T.StructField("host", T.StringType()), T.StructField("tier", T.DoubleType())])

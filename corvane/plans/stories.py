@@ -204,7 +204,7 @@ def o15_merge_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 
     names = ["title", "dense", "entity"]
-    rows = labelled(spark, sf_dir)
+    rows = Scratch(spark, "model").save(labelled(spark, sf_dir), "labelled")  # read many times while fitting
     rows = rows.select(F.col("label").cast("double").alias("label"), *(F.coalesce(F.get_json_object("signals", f"$.{n}").try_cast("double"), F.lit(0.0)).alias(n) for n in names))
     rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
     fitted = LogisticRegression(regParam=0.01, maxIter=50).fit(rows).transform(rows)
