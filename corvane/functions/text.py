@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -179,12 +180,21 @@ def min_hashes(words: Column) -> Column:
 
 
 def simhash(words: Column) -> Column:
-    """64 sign bits of the summed word hashes as a bigint; 0 for no words."""
-    one = lambda i: F.aggregate(words, F.lit(0), lambda acc, w: acc + 2 * F.getbit(F.xxhash64(w), F.lit(i)).cast("int") - 1)
-    out = F.lit(0).cast("bigint")
-    for i in range(64):
-        out = out.bitwiseOR(F.when(one(i) > 0, F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    return out
+    """64 sign bits of the summed word hashes as a bigint; 0 for no words. Summed over Arrow batches: 64 sums a row are slow as expressions."""
+
+    @pandas_udf("bigint")
+    def signs(hashed: pd.Series) -> pd.Series:
+        lists = [np.asarray(h if h is not None else [], dtype=np.int64).view(np.uint64) for h in hashed]
+        sizes = np.array([len(h) for h in lists])
+        out, some = np.zeros(len(lists), dtype=np.uint64), np.flatnonzero(sizes)
+        if len(some):
+            flat = np.concatenate([lists[k] for k in some])
+            bits = (flat[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+            votes = np.add.reduceat(bits.astype(np.int32) * 2 - 1, np.r_[0, np.cumsum(sizes[some])[:-1]], axis=0)
+            out[some] = ((votes > 0).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        return pd.Series(out.view(np.int64))
+
+    return signs(F.transform(words, lambda w: F.xxhash64(w)))
 
 
 def bands(fingerprint: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import jaccard
+from corvane.runtime import Scratch
 
 
 def distinct_sets(rows: DataFrame, words: str) -> DataFrame:
@@ -26,6 +27,7 @@ def jaccard_pairs(sets: DataFrame, shared: int, of: int) -> DataFrame:
     ordered = words.join(rare, "word").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ranked"))
     least = F.ceil(F.size("ranked") * shared / of).cast("int")
     first = ordered.select("set_id", F.col("ranked.word").alias("words"), F.explode(F.slice("ranked.word", F.lit(1), F.size("ranked") - least + 1)).alias("word"))
+    first = Scratch(sets.sparkSession, "prefixes").save(first, "first")  # read from both sides
     a = first.select("word", F.col("set_id").alias("a"), F.col("words").alias("wa"))
     b = first.select("word", F.col("set_id").alias("b"), F.col("words").alias("wb"))
     sized = (F.size("wa") * of >= F.size("wb") * shared) & (F.size("wb") * of >= F.size("wa") * shared)
@@ -40,7 +42,7 @@ def repetition(rows: DataFrame, key: str, section: str, words: str, shared: int
 
     Rows without words repeat nothing. Sections are compared as given; a null section is none.
     """
-    sets = distinct_sets(rows, words)
+    sets = Scratch(rows.sparkSession, "sets").save(distinct_sets(rows, words), "sets")
     named = rows.select(key, section, F.array_sort(F.array_distinct(words)).alias("words")).join(sets, "words").select(key, section, "set_id")
     pairs = jaccard_pairs(sets, shared, of).select("a", "b")
     ways = pairs.union(pairs.select("b", "a")).union(sets.select("set_id", F.col("set_id")))
@@ -55,8 +57,9 @@ def seen_before(rows: DataFrame, history: DataFrame, key: str, words: str, share
     old = distinct_sets(history, words).withColumn("old", F.lit(True))
     new = distinct_sets(rows, words).withColumn("new", F.lit(True))
     sets = old.unionByName(new, allowMissingColumns=True).groupBy("set_id", "words").agg(F.max("old").alias("old"), F.max("new").alias("new"))
+    sets = Scratch(rows.sparkSession, "sets").save(sets, "sets")
     pairs = jaccard_pairs(sets.select("set_id", "words"), shared, of).select("a", "b")
     ways = pairs.union(pairs.select("b", "a")).union(sets.where("old and new").select("set_id", F.col("set_id"))).toDF("set_id", "b")
     hit = ways.join(sets.where("old").select(F.col("set_id").alias("b")), "b", "left_semi").select("set_id").distinct()
-    named = rows.select(key, F.array_sort(F.array_distinct(words)).alias("words")).join(new.select("set_id", "words"), "words")
+    named = rows.select(key, F.array_sort(F.array_distinct(words)).alias("words")).join(sets.where("new").select("set_id", "words"), "words")
     return named.join(hit, "set_id", "left_semi").select(key).distinct()
