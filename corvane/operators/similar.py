@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import jaccard
@@ -25,16 +25,22 @@ def jaccard_pairs(sets: DataFrame, shared: int, of: int) -> DataFrame:
     words = sets.select("set_id", F.explode("words").alias("word"))
     rare = words.groupBy("word").agg(F.count("*").alias("n"))
     ordered = words.join(rare, "word").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ranked"))
-    least = F.ceil(F.size("ranked") * shared / of).cast("int")
-    first = ordered.select("set_id", F.col("ranked.word").alias("words"), F.explode(F.slice("ranked.word", F.lit(1), F.size("ranked") - least + 1)).alias("word"))
+    hashed = F.transform("ranked.word", lambda w: F.xxhash64(w))
+    first = ordered.select("set_id", hashed.alias("words")).select("set_id", "words", F.explode(F.slice("words", F.lit(1), F.size("words") - (F.ceil(F.size("words") * shared / of).cast("int")) + 1)).alias("word"))
     first = Scratch(sets.sparkSession, "prefixes").save(first, "first")  # read from both sides
     a = first.select("word", F.col("set_id").alias("a"), F.col("words").alias("wa"))
     b = first.select("word", F.col("set_id").alias("b"), F.col("words").alias("wb"))
-    sized = (F.size("wa") * of >= F.size("wb") * shared) & (F.size("wb") * of >= F.size("wa") * shared)
-    met = a.join(b, "word").where("a < b").where(sized)
-    both = F.size(F.array_intersect("wa", "wb"))
-    near = both * of >= (F.size("wa") + F.size("wb") - both) * shared
-    return met.where(near).select("a", "b", jaccard(F.col("wa"), F.col("wb")).alias("jaccard")).distinct()
+    met = a.join(b, "word").where("a < b").where(_share(F.col("wa"), F.col("wb"), shared, of)).select("a", "b").distinct()
+    # Hashes of words are quick to compare; what they leave is checked on the words.
+    met = met.join(sets.select(F.col("set_id").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("words").alias("wb")), "b")
+    return met.where(_share(F.col("wa"), F.col("wb"), shared, of)).select("a", "b", jaccard(F.col("wa"), F.col("wb")).alias("jaccard"))
+
+
+def _share(a: Column, b: Column, shared: int, of: int) -> Column:
+    """Whether two sets have at least shared/of of all their members in common."""
+    sized = (F.size(a) * of >= F.size(b) * shared) & (F.size(b) * of >= F.size(a) * shared)
+    both = F.size(F.array_intersect(a, b))
+    return sized & (both * of >= (F.size(a) + F.size(b) - both) * shared)
 
 
 def repetition(rows: DataFrame, key: str, section: str, words: str, shared: int = 1, of: int = 2, most: int = 4) -> DataFrame:

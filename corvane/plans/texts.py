@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import classify, ids, scores, text, urls
 from corvane.plans.base import I_SQL, P_SQL, items_now, posts_now
 from corvane.operators.similar import distinct_sets, jaccard_pairs, repetition, seen_before
-from corvane.runtime import table
+from corvane.runtime import Scratch, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -272,6 +272,7 @@ def c32_pulse_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     Repetition: similar titles in other sections; novelty: none like it in the seven days before.
     """
     posts = posts_now(spark, sf_dir).withColumn("w", text.pulse_tokens(F.col("title"))).withColumn("s", F.lower("subreddit"))
+    posts = Scratch(spark, "pulse").save(posts, "posts")  # read for each part
     last = table(spark, sf_dir, "posts").agg(F.max("snapshot_id").alias("id"), F.max("snapshot_date").alias("day")).first()
     history = table(spark, sf_dir, "posts").where((F.col("snapshot_id") < last["id"]) & (F.to_date("snapshot_date") >= F.date_sub(F.lit(last["day"]).cast("date"), 7)) & F.col("title").isNotNull())
     repeated = repetition(posts.select("post_id", "s", "w"), "post_id", "s", "w").withColumn("repetition", F.col("sections") * 0.25)
