@@ -16,11 +16,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.neardup import Signature, band_keys, mark_of, may_reach, set_digest, signatures, unpacked, word_weights, words_of
-from corvane.runtime import Scratch, delete_path, read_text, ship_package, write_text
+from corvane.runtime import Scratch, delete_path, is_empty, read_text, ship_package, write_text
 
 #: Rows of the band table in one of its hash buckets, beyond which the tables get twice as many.
 ROWS_PER_BUCKET = 4_000_000
@@ -212,12 +212,11 @@ class History:
         open_ = rows.where("h1 is not null").join(hits, "record", "left_anti")
         self._append(self._spread(open_.select("h1", "h2", "words"), "sets").groupBy("h1", "h2").agg(F.first("words").alias("words")), "sets")
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("h1"))
-        counted = Observation()  # counted while written, not in a pass of its own
-        bands = self._spread(self._banded(self._own("sets"), self._weights()), "bands").withColumn("rank", rank)
-        self._append(bands.observe(counted, F.count("*").alias("rows"), F.max("rank").alias("rank")), "bands")
+        self._append(self._spread(self._banded(self._own("sets"), self._weights()), "bands").withColumn("rank", rank), "bands")
+        crowded = not is_empty(self._own("bands").where(F.col("rank") > CROWDED))  # told by the files' statistics
         known = hits
         if number:
-            near = scratch.save(self._near((counted.get["rank"] or 0) > CROWDED), f"{batch}-near")
+            near = scratch.save(self._near(crowded), f"{batch}-near")
             near_rows = rows.select("record", "h1", "h2").join(near, ["h1", "h2"], "left_semi")
             known = scratch.save(hits.union(near_rows.select("record")).distinct(), f"{batch}-known")
         new = rows.join(known, "record", "left_anti")
@@ -225,8 +224,8 @@ class History:
         if number:  # sets that only known records have aren't accepted
             taken = new.where("h1 is not null").select("h1", "h2").distinct()
             self._append(self._spread(self._own("sets").select("h1", "h2").join(taken, ["h1", "h2"], "left_anti"), "refused"), "refused")
-        got = counted.get
-        self._commit(batches=number + 1, crowded=self.state["crowded"] or (got["rank"] or 0) > CROWDED, bands=self.state["bands"] + got["rows"])
+        bands = self.state["bands"] + self._own("sets").count() * self.how.bands
+        self._commit(batches=number + 1, crowded=self.state["crowded"] or crowded, bands=bands)
         self._grow()
         scratch.drop(*(f"{batch}-{t}" for t in ("rows", "exact", "near", "first") if t != "exact" or number))
         return known.select(F.col("record").alias(key))
