@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.runtime import ship_package
+from corvane.runtime import Scratch, ship_package
 
 THRESHOLD = 0.6
 KINDS = ("email", "address", "id_number", "phone", "name")
@@ -137,29 +137,46 @@ class Span:
     score: float
 
 
+@dataclass(frozen=True)
+class Ordinary:
+    """What texts tell of words: the usual ones with their share of the texts; of all words that are no listed names, their number and how many have each run of letters."""
+
+    usual: tuple[tuple[str, float], ...] = ()
+    runs: tuple[tuple[str, int], ...] = ()
+    words: int = 0
+
+    @staticmethod
+    def of(shares: tuple[tuple[str, float], ...], listed: set[str]) -> Ordinary:
+        """From every word with its share."""
+        plain = {w for w, _ in shares} - listed
+        return Ordinary(tuple(shares), tuple(Counter(g for w in plain for g in letter_runs(w)).items()), len(plain))
+
+
+def letter_runs(word: str) -> set[str]:
+    """The word's runs of two to four letters, its start and end among them."""
+    word = f"^{word}$"
+    return {word[i : i + n] for n in (2, 3, 4) for i in range(len(word) - n + 1)}
+
+
 class Likeness:
     """How much a word resembles the known names of a kind, by its runs of two to four letters.
 
     A naive Bayes model of listed names against ordinary words, per letter of the word.
+    Of the words it takes their number and how many of them have a run.
     """
 
-    def __init__(self, names: list[str], ordinary: list[str]):
-        self.seen, self.usual = Counter(g for w in names for g in self._runs(w)), Counter(g for w in ordinary for g in self._runs(w))
-        self.names, self.few, self.many = frozenset(names), len(names) + 1.0, len(ordinary) + 1.0
-
-    @staticmethod
-    def _runs(word: str) -> set[str]:
-        word = f"^{word}$"
-        return {word[i : i + n] for n in (2, 3, 4) for i in range(len(word) - n + 1)}
+    def __init__(self, names: list[str], usual: Counter, words: int):
+        self.seen, self.usual, self.words = Counter(g for w in names for g in letter_runs(w)), usual, words
+        self.names, self.few, self.many = frozenset(names), len(names) + 1.0, words + 1.0
 
     def __call__(self, word: str) -> float:
         """The model's log odds; a listed name is judged by the others."""
-        if not self.names or not self.usual:
+        if not self.names or not self.words:
             return 0.0
         own, odds = word in self.names, 0.0
-        for g in self._runs(word):
+        for g in letter_runs(word):
             seen, usual = self.seen[g] - own, self.usual[g]
-            if seen or usual > 3:
+            if seen or usual > FEW:
                 odds += math.log((seen + 0.5) / self.few) - math.log((usual + 0.5 * self.many / self.few) / self.many)
         return odds / max(1, len(word))
 
@@ -168,8 +185,10 @@ class Likeness:
 SOME_LIKE, LIKE, VERY_LIKE = 0.7, 1.5, 3.0
 #: Share of texts from which an unlisted word is no name, and from which a listed one may be a word of the language.
 USUAL, COMMON = 0.001, 0.004
-#: Words whose scores a Python worker keeps.
-KEPT_WORDS = 200_000
+#: Words up to which a run of letters that no listed name has says nothing.
+FEW = 3
+#: Words whose scores, and runs of letters whose counts, a Python worker keeps.
+KEPT_WORDS, KEPT_RUNS = 200_000, 200_000
 _TOKEN = re.compile(r"[^\W\d_]{2,}")
 _INITIAL = re.compile(r"\s+[A-ZÀ-ÞА-ЯЁ]\.")
 _INITIALS_BEFORE = re.compile(r"(?<![\w@./+%-])(?:[A-ZÀ-ÞА-ЯЁ]\.\s?){1,2}\s*$")
@@ -183,12 +202,13 @@ _STARTS = frozenset("@./+%-_")
 class Finder:
     """Finds personal information, given the known names as (name, kind), and ordinary words to tell names from."""
 
-    def __init__(self, known: tuple[tuple[str, str], ...], ordinary: tuple[tuple[str, float], ...] = ()):
-        self.listed = {kind: {n.lower() for n, k in known if k == kind and n} for kind in ("given", "family")}
-        listed = self.listed["given"] | self.listed["family"]
-        plain = sorted({w for w, _ in ordinary} - listed)
-        self.usual, self.common = (frozenset(w for w, share in ordinary if share > least) for least in (USUAL, COMMON))
-        self.like = {kind: Likeness(sorted(names), plain) for kind, names in self.listed.items()}
+    def __init__(self, known: tuple[tuple[str, str], ...], ordinary: Ordinary | tuple[tuple[str, float], ...] = ()):
+        self.listed = listed_names(known)
+        if not isinstance(ordinary, Ordinary):
+            ordinary = Ordinary.of(ordinary, set().union(*self.listed.values()))
+        self.usual, self.common = (frozenset(w for w, share in ordinary.usual if share > least) for least in (USUAL, COMMON))
+        runs = Counter(dict(ordinary.runs))
+        self.like = {kind: Likeness(sorted(names), runs, ordinary.words) for kind, names in self.listed.items()}
         # Where the listed names resemble each other, one that doesn't is likely to be a word too.
         self.alike = {kind: bool(names) and sorted(map(self.like[kind], names))[len(names) // 2] >= LIKE for kind, names in self.listed.items()}
         self.cached: dict[str, tuple[float, float, bool]] = {}
@@ -337,7 +357,7 @@ class Finder:
 
 
 @functools.lru_cache(2)
-def finder(known: tuple[tuple[str, str], ...], ordinary: tuple[tuple[str, float], ...] = ()) -> Finder:
+def finder(known: tuple[tuple[str, str], ...], ordinary: Ordinary | tuple[tuple[str, float], ...] = ()) -> Finder:
     return Finder(known, ordinary)
 
 
@@ -351,24 +371,52 @@ def known_names(names: DataFrame) -> tuple[tuple[str, str], ...]:
     return tuple(sorted((r["person_name"], r["name_kind"]) for r in names.select("person_name", "name_kind").where("person_name is not null").collect()))
 
 
-#: Texts whose words the likeness model learns ordinary words from, and the words it keeps.
-SAMPLE, WORDS = 20_000, 20_000
+def listed_names(known: tuple[tuple[str, str], ...]) -> dict[str, set[str]]:
+    """The known names of each kind, in lower case."""
+    return {kind: {n.lower() for n, k in known if k == kind and n} for kind in ("given", "family")}
 
 
-def ordinary_words(texts: DataFrame, sample: int = SAMPLE, most: int = WORDS) -> tuple[tuple[str, float], ...]:
-    """(word, share): the commonest words, in lower case, of about `sample` texts that a hash picks, and their share of these texts.
+def ordinary_words(texts: DataFrame, known: tuple[tuple[str, str], ...]) -> Ordinary:
+    """The words, in lower case, of all distinct texts.
 
-    This is the bounded sample that the likeness model is fitted on; texts are searched whole and all.
+    Each word is counted over every text and its runs of letters over every word. The driver
+    gets what the finder asks for: words in a share of over USUAL of the texts, which are at
+    most a text's mean number of words / USUAL, and runs that over FEW words or listed names have.
     """
-    one_in = max(1, texts.count() // sample)
-    some = texts.where("text <> ''").where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).select("text").distinct()
-    words = some.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{2,}"), F.lit(0)))).alias("word"))
-    rows = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).collect()
-    total = max(1, some.count())
-    return tuple((r["word"], r["count"] / total) for r in rows)
+    spark = ship_package(texts.sparkSession)
+    scratch, listed = Scratch(spark, "words"), frozenset().union(*listed_names(known).values())
+    named = frozenset(g for name in listed for g in letter_runs(name))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{2,}"), F.lit(0)))
+    every = F.explode(F.array_append(words, F.lit(""))).alias("word")  # the empty word counts the texts
+    counts = scratch.save(texts.where("text <> ''").select("text").distinct().select(every).groupBy("word").count(), "counts")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+
+        def row() -> pa.RecordBatch:
+            columns = [pa.array(list(found), pa.string()), pa.array([g in named for g in found], pa.bool_()), pa.array(list(found.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["run", "named", "count"])
 
-def find_pii(texts: DataFrame, known: tuple[tuple[str, str], ...], ordinary: tuple[tuple[str, float], ...] = ()) -> DataFrame:
+        for batch in batches:
+            for word in batch.column(0).to_pylist():
+                if word not in listed:
+                    found[""] += 1  # the empty run counts the words
+                    found.update(letter_runs(word))
+            if len(found) >= KEPT_RUNS:
+                yield row()
+                found.clear()
+        yield row()
+
+    total = sum(r["count"] for r in counts.where("word = ''").collect())
+    usual = counts.where("word <> ''").where(F.col("count") / max(1, total) > USUAL).collect()
+    runs = counts.where("word <> ''").select("word").mapInArrow(run, "run string, named boolean, count bigint").groupBy("run", "named").agg(F.sum("count").alias("count"))
+    runs = {r["run"]: r["count"] for r in runs.where(F.col("named") | (F.col("run") == "") | (F.col("count") > FEW)).select("run", "count").collect()}
+    scratch.close()
+    many = runs.pop("", 0)
+    return Ordinary(tuple(sorted((r["word"], r["count"] / total) for r in usual)), tuple(sorted(runs.items())), many)
+
+
+def find_pii(texts: DataFrame, known: tuple[tuple[str, str], ...], ordinary: Ordinary | tuple[tuple[str, float], ...] = ()) -> DataFrame:
     """(field_name, record_id, pii_kind, seq): one row for each occurrence in texts (field_name, record_id, text).
 
     seq counts the occurrences of a kind within a record in text order from 1. Null, empty
@@ -397,7 +445,7 @@ def find_pii(texts: DataFrame, known: tuple[tuple[str, str], ...], ordinary: tup
     return distinct.mapInArrow(run, "field_name string, record_id string, pii_kind string, seq int").distinct()
 
 
-def redact(texts: DataFrame, known: tuple[tuple[str, str], ...], ordinary: tuple[tuple[str, float], ...] = ()) -> DataFrame:
+def redact(texts: DataFrame, known: tuple[tuple[str, str], ...], ordinary: Ordinary | tuple[tuple[str, float], ...] = ()) -> DataFrame:
     """(field_name, record_id, text) with placeholders; null and empty texts stay as they are, repeated rows are repeated."""
     ship_package(texts.sparkSession)
 

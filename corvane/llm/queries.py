@@ -44,13 +44,15 @@ def free_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every occurrence of personal information."""
     texts = free_texts(spark, sf_dir)
-    return find_pii(texts, known_names(table(spark, sf_dir, "person_names")), ordinary_words(texts))
+    known = known_names(table(spark, sf_dir, "person_names"))
+    return find_pii(texts, known, ordinary_words(texts, known))
 
 
 def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct texts with placeholders for what p4_found finds."""
     texts = free_texts(spark, sf_dir)
-    return redact(texts.distinct(), known_names(table(spark, sf_dir, "person_names")), ordinary_words(texts))
+    known = known_names(table(spark, sf_dir, "person_names"))
+    return redact(texts.distinct(), known, ordinary_words(texts, known))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
