@@ -168,14 +168,14 @@ class History:
 
         def met(stage: DataFrame, bands: DataFrame) -> DataFrame:
             reach = may_reach(F.col("s.mark"), F.col("s.size"), F.col("k.mark"), F.col("k.size"), self.shared, self.of)
-            few, more = stage.where(F.col("rank") <= CROWDED).hint("shuffle_hash"), stage.where(F.col("rank") > CROWDED)
-            both = (s.alias("s").join(bands.alias("k"), "bucket").where(reach) for s in ((few, more) if crowded else (few,)))
+            parts = (stage.where(F.col("rank") <= CROWDED).hint("shuffle_hash"), stage.where(F.col("rank") > CROWDED)) if crowded else (stage.hint("shuffle_hash"),)
+            both = (s.alias("s").join(bands.alias("k"), "bucket").where(reach) for s in parts)
             return reduce(DataFrame.union, (b.select("s.h1", F.col("k.h1").alias("kept")) for b in both)).distinct()
 
         stage, number = self._own("bands").select("bucket", "mark", "size", "h1", "rank"), self.state["batches"]
+        if not self.state["crowded"]:  # no row is beyond: none needs its rank read
+            return self._verified(met(stage, self._kept("bands")))
         found = self._verified(met(stage, self._kept("bands").where(F.col("rank") <= CROWDED)))
-        if not self.state["crowded"]:
-            return found
         found = self.scratch.save(found, f"batch-{number}-first")
         rest = self.spark.read.schema(TABLES["bands"][0]).parquet(self._place("bands")).where((F.col("batch") < number) & (F.col("rank") > CROWDED))
         return found.union(self._verified(met(stage.join(found.select("h1"), "h1", "left_anti"), rest)))
@@ -201,11 +201,12 @@ class History:
         digest = lambda i, k: F.when(k.isNotNull(), F.struct(F.xxhash64(F.lit(i), k).alias("bucket"), F.xxhash64(k, F.lit(i)).alias("mark")))
         named = [digest(i, F.col("named")[i]) for i in range(len(exact))]
         whole = F.when(worded, F.struct(F.col("h1").alias("bucket"), F.col("h2").alias("mark")))
-        rows = rows.withColumn("digests", F.array_compact(F.array(*named, whole))).drop("named")
-        rows = scratch.save(rows, f"{batch}-rows", **{"parquet.dictionary.page.size": str(16 << 20)})
+        rows = rows.withColumn("digests", F.array(*named, whole)).drop("named")  # array_compact isn't compiled: nulls are left out where it is read
+        rows = scratch.save(rows, f"{batch}-rows", **{"parquet.enable.dictionary": "false"})  # dropped with the batch
+        digests = lambda of, *more: of.select(*more, F.inline("digests")).where("bucket is not null")
         hits = rows.select("record").limit(0)
         if number:
-            keys = rows.select("record", F.inline("digests"))
+            keys = digests(rows, "record")
             asked = keys.select("bucket", "mark").distinct()  # a key of many records is asked for once
             met = asked.join(self._kept("exact").select("bucket", "mark"), ["bucket", "mark"], "left_semi")
             hits = scratch.save(keys.join(met, ["bucket", "mark"], "left_semi").select("record").distinct(), f"{batch}-exact")
@@ -220,7 +221,7 @@ class History:
             near_rows = rows.select("record", "h1", "h2").join(near, ["h1", "h2"], "left_semi")
             known = scratch.save(hits.union(near_rows.select("record")).distinct(), f"{batch}-known")
         new = rows.join(known, "record", "left_anti")
-        self._append(self._spread(new.select(F.inline("digests")).distinct(), "exact"), "exact")
+        self._append(self._spread(digests(new).distinct(), "exact"), "exact")
         if number:  # sets that only known records have aren't accepted
             taken = new.where("h1 is not null").select("h1", "h2").distinct()
             self._append(self._spread(self._own("sets").select("h1", "h2").join(taken, ["h1", "h2"], "left_anti"), "refused"), "refused")
